@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from saunter.llm.fm_index import FmIndex, ranges
-from saunter.llm.shared import staged
+from saunter.llm.shared import cut_spans, staged
 from saunter.llm.words import Numbers, alnum_words, utf8
 
 WINDOW = 10
@@ -93,39 +93,67 @@ def spans_of(mask: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edges[::2].tolist(), edges[1::2].tolist()))
 
 
+def _shards(batches, text_col: str):
+    """(shard, the record batches of its documents) until the partition ends. Keys are row numbers."""
+    shard, held, n = Shard(), [], TaskContext.get().partitionId() << 40
+    for b in batches:
+        first = 0
+        for i, text in enumerate(utf8(b.column(text_col))):
+            shard.add(n, text)
+            n += 1
+            if shard.words >= SHARD_WORDS:
+                yield shard, [*held, b.slice(first, i + 1 - first)]
+                shard, held, first = Shard(), [], i + 1
+        if first < b.num_rows:
+            held.append(b.slice(first))
+    if shard.docs:
+        yield shard, held
+
+
 def _searched(docs: DataFrame, windows: dict, id_col: str, text_col: str) -> DataFrame:
     id_type = docs.schema[id_col].dataType.simpleString()
     span = pa.struct([("first", pa.int64()), ("end", pa.int64()), ("start_char", pa.int64()), ("end_char", pa.int64())])
 
-    def answer(shard: Shard, id_kind) -> pa.RecordBatch:
-        cols = [[], [], [], [], [], []]
-        for (row, key), text, n_words, mask, items in shard.search(windows):
-            spans = []
-            if mask.any():
-                places = [m.span() for m in WORD.finditer(text.lower().decode())]
-                spans = [{"first": a, "end": b, "start_char": places[a][0], "end_char": places[b - 1][1]} for a, b in spans_of(mask)]
-            for c, v in zip(cols, (row, key, n_words, int(mask.sum()), items, spans)):
-                c.append(v)
-        kinds = (pa.int64(), id_kind, pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(span))
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["row", "id", "n_words", "n_hit", "items", "spans"])
-
     def run(batches):
-        shard, n, kind = Shard(), TaskContext.get().partitionId() << 40, None
-        for b in batches:
-            kind = b.column(0).type
-            for key, text in zip(b.column(0).to_pylist(), utf8(b.column(1))):
-                shard.add((n, key), text)
-                n += 1
-                if shard.words >= SHARD_WORDS:
-                    yield answer(shard, kind)
-                    shard = Shard()
-        if shard.docs:
-            yield answer(shard, kind)
+        for shard, held in _shards(batches, text_col):
+            cols = [[], [], [], [], []]
+            for row, text, n_words, mask, items in shard.search(windows):
+                spans = []
+                if mask.any():
+                    places = [m.span() for m in WORD.finditer(text.lower().decode())]
+                    spans = [{"first": a, "end": b, "start_char": places[a][0], "end_char": places[b - 1][1]} for a, b in spans_of(mask)]
+                for c, v in zip(cols, (row, n_words, int(mask.sum()), items, spans)):
+                    c.append(v)
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(span))
+            made = [pa.array(c, k) for c, k in zip(cols, kinds)]
+            ids = pa.concat_arrays([b.column(id_col) for b in held])
+            yield pa.RecordBatch.from_arrays([made[0], ids, *made[1:]], names=["row", "id", "n_words", "n_hit", "items", "spans"])
 
     spans = "array<struct<first: long, end: long, start_char: long, end_char: long>>"
     return docs.select(id_col, text_col).mapInArrow(run, f"row long, id {id_type}, n_words long, n_hit long, items array<string>, spans {spans}")
 
 
+def _kept(docs: DataFrame, windows: dict, text_col: str) -> DataFrame:
+    def run(batches):
+        for shard, held in _shards(batches, text_col):
+            clean = pa.array([not mask.any() for _, _, _, mask, _ in shard.search(windows)], pa.bool_())
+            yield from pa.Table.from_batches(held).filter(clean).to_batches()
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def _blocks(benchmark: DataFrame, item_col: str, item_text_col: str, window: int, block_words: int):
+    """The benchmark's windows, block by block: each of about ``block_words`` words."""
+    items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("null")).alias("item"), F.col(item_text_col).alias("text")).where("text is not null")
+    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = max(1, -(-size // (2 * block_words)))  # a word takes two bytes at least
+    if n > 1:
+        items = staged(items.withColumn("block", F.pmod(F.xxhash64("item", "text"), F.lit(n))))
+    for k in range(n):
+        some = items.where(F.col("block") == k) if n > 1 else items
+        yield windows_of([(r["item"], r["text"].encode()) for r in some.select("item", "text").collect()], window)
+
+
 def _merged(parts: list[DataFrame], id_type: str) -> DataFrame:
     """One row per document from the rows of each block of windows (the same documents in each)."""
     rows = parts[0]
@@ -145,21 +173,23 @@ def _merged(parts: list[DataFrame], id_type: str) -> DataFrame:
 def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text",
                        item_col: str = "item_id", item_text_col: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
     """One row per document: id, n_words, n_hit, items (sorted strings), spans (words and code points, end exclusive)."""
-    items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("null")).alias("item"), F.col(item_text_col).alias("text")).where("text is not null")
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, -(-size // (2 * block_words)))  # a word takes two bytes at least
-    if blocks > 1:
-        items = staged(items.withColumn("block", F.pmod(F.xxhash64("item"), F.lit(blocks))))
-        docs = staged(docs.select(id_col, text_col))
-    parts = []
-    for k in range(blocks):
-        some = items.where(F.col("block") == k) if blocks > 1 else items
-        texts = [(r["item"], r["text"].encode()) for r in some.select("item", "text").collect()]  # block_words at most
-        parts.append(_searched(docs, windows_of(texts, window), id_col, text_col))
-    found = parts[0] if blocks == 1 else _merged(parts, docs.schema[id_col].dataType.simpleString())
+    docs = docs.select(id_col, text_col)
+    blocks = list(_blocks(benchmark, item_col, item_text_col, window, block_words))
+    if len(blocks) > 1:
+        docs = staged(docs)  # row numbers must agree between the blocks
+    parts = [_searched(docs, w, id_col, text_col) for w in blocks]
+    found = parts[0] if len(parts) == 1 else _merged(parts, docs.schema[id_col].dataType.simpleString())
     return found.drop("row").withColumnRenamed("id", id_col)
 
 
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text_col: str = "text", item_col: str = "item_id",
+                      item_text_col: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
+    """The rows of ``docs`` in which no window occurs, with all their columns; nothing is shuffled."""
+    for windows in _blocks(benchmark, item_col, item_text_col, window, block_words):
+        docs = _kept(docs, windows, text_col)
+    return docs
+
+
 def report(found: DataFrame) -> DataFrame:
     """Counts and digests of `find_contamination`."""
     return found.select(found.columns[0], "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
@@ -167,11 +197,5 @@ def report(found: DataFrame) -> DataFrame:
 
 
 def remove_spans(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with the spans cut out of the texts. Ids must be unique and not null for this join."""
-    hit = found.where("n_hit > 0").select(F.col(id_col).alias("_hit_id"), F.col("spans").alias("_spans"))
-    t = F.col(text_col)
-    ends = F.transform(F.col("_spans"), lambda s: s["end_char"])
-    kept = F.transform(F.col("_spans"), lambda s, i: F.substring(t, F.when(i == 0, F.lit(0)).otherwise(F.get(ends, i - 1)) + 1, s["start_char"] - F.when(i == 0, F.lit(0)).otherwise(F.get(ends, i - 1))))
-    cut = F.concat(F.array_join(kept, ""), F.substring(t, F.element_at(ends, -1) + 1, F.length(t)))
-    joined = docs.join(hit, docs[id_col] == F.col("_hit_id"), "left")
-    return joined.withColumn(text_col, F.when(F.col("_spans").isNotNull(), cut).otherwise(t)).select(*docs.columns)
+    """``docs`` with the found spans cut out of the texts. Ids must be unique."""
+    return cut_spans(docs, found.where("n_hit > 0"), id_col, text_col)

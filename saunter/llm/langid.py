@@ -20,18 +20,20 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from saunter.llm.shared import crc_mod
 from saunter.llm.words import Numbers
 
 BUCKETS, LONGEST = 1 << 16, 3
 MAX_TRAIN = 6000
-EPOCHS, ALPHA, BETA, L1, L2 = 4, 0.3, 1.0, 0.02, 0.05
+EPOCHS, ALPHA, BETA, L1, L2 = 3, 0.3, 1.0, 0.02, 0.05
 SCALE = 100.0
 UNKNOWN = "und"
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -84,13 +86,14 @@ class Grams(Numbers):
 MEMO_WORDS = 200_000
 
 
-def _grams(batches):
-    """Each batch with its texts' words; the memo is emptied when it gets large."""
+def _grams(batches, text_col: str = "text"):
+    """Each batch with its texts' words, all looked up; the memo is emptied when it gets large."""
     memo = Grams()
     for b in batches:
-        texts = [letter_words(t) for t in b.column("text").to_pylist()]
+        texts = [letter_words(t) for t in b.column(text_col).to_pylist()]
         if len(memo) > MEMO_WORDS:
             memo = Grams()
+        memo.look_up(list(chain.from_iterable(texts)))
         yield b, memo, texts
 
 
@@ -188,14 +191,13 @@ def fit(docs: DataFrame, max_train: int = MAX_TRAIN) -> Model | None:
     return train(rows, idf)
 
 
-def predict(docs: DataFrame, model: Model | None) -> DataFrame:
-    """(id, lang_pred, score) for rows (id, text)."""
-    kind = docs.schema["id"].dataType.simpleString()
+def predict(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
+    """The columns of ``docs`` with lang_pred and lang_score behind them."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS x languages
 
     def run(batches):
         m = shared.value
-        for b, memo, texts in _grams(batches):
+        for b, memo, texts in _grams(batches, text_col):
             pred, score = [UNKNOWN] * len(texts), np.zeros(len(texts))
             some = [i for i, words in enumerate(texts) if words]
             if some and m is not None:
@@ -209,14 +211,23 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
                 p = m.probabilities(np.add.reduceat(per_word[at], first, axis=0) / total[:, None] + m.bias)
                 for i, best, s in zip(some, p.argmax(axis=1), p.max(axis=1)):
                     pred[i], score[i] = m.languages[best], s
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(pred, pa.string()), pa.array(score)], names=["id", "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(pred, pa.string()), pa.array(score)], names=[*b.schema.names, "lang_pred", "lang_score"])
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("lang_score", T.DoubleType())]))
+
+
+def _training_rows(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
+
 
-    return docs.select("id", "text").mapInArrow(run, f"id {kind}, lang_pred string, score double")
+def label(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_train: int = MAX_TRAIN) -> DataFrame:
+    """``docs`` with lang_pred and lang_score, by a model of its own labelled rows."""
+    return predict(docs, fit(_training_rows(docs, id_col, text_col, lang_col), max_train), text_col)
 
 
 def identify(docs: DataFrame, held_out_mod: int = 5, held_out_rest: int = 0, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_train: int = MAX_TRAIN) -> DataFrame:
     """One row per row of ``docs``: id, held_out, lang_pred, score. Held-out rows are never learned from."""
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
+    rows = _training_rows(docs, id_col, text_col, lang_col)
     held = F.coalesce(crc_mod("id", held_out_mod) == held_out_rest, F.lit(False))
-    found = predict(rows, fit(rows.where(~held), max_train))
-    return found.select(F.col("id").alias(id_col), held.alias("held_out"), "lang_pred", "score")
+    found = predict(rows.select("id", "text"), fit(rows.where(~held), max_train))
+    return found.select(F.col("id").alias(id_col), held.alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))

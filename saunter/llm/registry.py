@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from saunter.llm import decontam, exact_dedup, langid, ngram_join, packing, quality, secrets, token_store
+from saunter.llm import decontam, exact_dedup, langid, line_dedup, ngram_join, packing, quality, secrets, token_count, token_store
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,6 +40,14 @@ def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read_back(spark, token_store.write_store(_documents(spark, sf_dir)))
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_count.count_tokens(_documents(spark, sf_dir))
+
+
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.find_repeats(_documents(spark, sf_dir))
+
+
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(_documents(spark, sf_dir), _table(spark, sf_dir, "labels"))
 
@@ -51,7 +59,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_ngram_jaccard_join, op2_best_fit_packing, op3_language_id, op4_decontamination, op5_exact_dedup,
-    op6_token_store, op9_quality_classifier, op10_secret_scan)}
+    op6_token_store, op7_token_counts, op8_line_dedup, op9_quality_classifier, op10_secret_scan)}
 
 ORACLES = {
     "op4_decontamination": r"""
@@ -106,4 +114,14 @@ def _secrets_sql() -> str:
         FROM d LEFT JOIN listed USING (doc_id)"""
 
 
+ORACLES["op8_line_dedup"] = r"""
+    WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL),
+    e AS (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM d),
+    u AS (SELECT doc_id, CAST(i - 1 AS INTEGER) AS unit,
+                 CAST(i - 1 + coalesce(list_sum(list_transform(l[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS start, length(l[i]) AS n_chars,
+                 regexp_extract_all(translate(l[i], 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM e),
+    h AS (SELECT doc_id, unit, start, start + n_chars AS "end", CAST(len(w) AS BIGINT) AS n_words, md5(array_to_string(w, ' ')) AS digest FROM u WHERE len(w) >= 20),
+    r AS (SELECT *, row_number() OVER o AS nth, first_value(doc_id) OVER o AS keep_id, first_value(unit) OVER o AS keep_unit
+          FROM h WINDOW o AS (PARTITION BY digest ORDER BY doc_id, unit ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))
+    SELECT doc_id, unit, start, "end", n_words, digest, keep_id, keep_unit FROM r WHERE nth > 1"""
 ORACLES["op10_secret_scan"] = _secrets_sql()
