@@ -31,11 +31,13 @@ def live_summary(trials: DataFrame, keys, value: str = "detection_time") -> Data
     return out.withColumn("sem", F.try_divide(F.col("std"), F.sqrt(F.col("n").cast("double"))))
 
 
-def first_passage_stream(steps: DataFrame, centre, radius: float, side: float, max_touches: int, p: float, timeout_ms: int = 600_000) -> DataFrame:
+def first_passage_stream(steps: DataFrame, centre, radius: float, side: float, max_touches: int, p: float, timeout_ms: int | None = 600_000) -> DataFrame:
     """Per walker the touch that ends its search, as soon as it is known. Same columns and rules as in batch.
 
     Steps of a walker may arrive out of order: those that come early wait in its state until
     the next expected number is there. A walker that sends nothing for ``timeout_ms`` is dropped.
+    A stream that is drained and ends (availableNow) needs ``timeout_ms=None``: with a timeout
+    Spark keeps starting batches to see whether one is due.
     """
     def touch(x: float, y: float, z: float) -> bool:
         d2 = 0.0
@@ -63,11 +65,13 @@ def first_passage_stream(steps: DataFrame, centre, radius: float, side: float, m
                 if n >= max(1, max_touches) or u <= p:
                     done, found = True, (*key, step, n, time)
         state.update((nxt, x, y, z, time, n, done, [] if done else sorted(waiting.values())))
-        state.setTimeoutDuration(timeout_ms)
+        if timeout_ms is not None:
+            state.setTimeoutDuration(timeout_ms)
         if found:
             yield pd.DataFrame([found], columns=["trial_id", "walker_id", "step", "touch_no", "time"])
 
-    return steps.groupBy("trial_id", "walker_id").applyInPandasWithState(advance, PASSAGE, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    kind = GroupStateTimeout.NoTimeout if timeout_ms is None else GroupStateTimeout.ProcessingTimeTimeout
+    return steps.groupBy("trial_id", "walker_id").applyInPandasWithState(advance, PASSAGE, STATE, "append", kind)
 
 
 def run_available(stream: DataFrame, name: str, mode: str, checkpoint: str) -> DataFrame:
