@@ -24,6 +24,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -83,13 +84,27 @@ class Grams(Numbers):
         return self.flat[np.arange(len(skip)) + skip]
 
 
-MEMO_WORDS = 200_000
+MEMO_WORDS = 100_000
+#: Texts are taken together up to so many bytes: bounds what a task holds of them.
+SLICE_BYTES = 2_000_000
+
+
+def _slices(batches, text_col: str):
+    """The batches in runs of rows whose texts have about SLICE_BYTES."""
+    for b in batches:
+        ends = np.cumsum(np.nan_to_num(pc.binary_length(b.column(text_col)).to_numpy(zero_copy_only=False).astype(np.float64)))
+        first = 0
+        while first < b.num_rows:
+            most = (ends[first - 1] if first else 0) + SLICE_BYTES
+            last = max(first + 1, int(np.searchsorted(ends, most, side="right")))
+            yield b.slice(first, last - first)
+            first = last
 
 
 def _grams(batches, text_col: str = "text"):
-    """Each batch with its texts' words, all looked up; the memo is emptied when it gets large."""
+    """Runs of rows with their texts' words, all looked up; the memo is emptied when it gets large."""
     memo = Grams()
-    for b in batches:
+    for b in _slices(batches, text_col):
         texts = [letter_words(t) for t in b.column(text_col).to_pylist()]
         if len(memo) > MEMO_WORDS:
             memo = Grams()
@@ -126,7 +141,7 @@ def features(docs: DataFrame) -> DataFrame:
 @dataclass
 class Model:
     languages: list[str]
-    weights: np.ndarray  # buckets x languages, times idf and scale
+    weights: np.ndarray  # buckets x languages, times idf and scale, in 32 bits
     bias: np.ndarray
     temperature: float = 1.0
 
@@ -161,7 +176,7 @@ def train(examples: list[tuple[str, np.ndarray, np.ndarray]], idf: np.ndarray) -
             step = (np.sqrt(nb + g * g) - np.sqrt(nb)) / ALPHA
             z[b], n[b] = zb + g - step * w, nb + g * g
     w = weights(z, n)
-    model = Model(languages, w[:-1] * (np.append(idf, 0)[:-1] * SCALE)[:, None], w[-1])
+    model = Model(languages, (w[:-1] * (idf * SCALE)[:, None]).astype(np.float32), w[-1])
     if held:
         logits, ys = np.array([x @ w[b] for _, b, x in held]), np.array([y for y, _, _ in held])
 
@@ -205,7 +220,7 @@ def predict(docs: DataFrame, model: Model | None, text_col: str = "text") -> Dat
                 used, at = np.unique(numbers, return_inverse=True)
                 sizes = memo.ends[used + 1] - memo.ends[used]
                 starts = np.cumsum(sizes) - sizes
-                per_word = np.add.reduceat(m.weights[memo.buckets(used)], starts, axis=0)
+                per_word = np.add.reduceat(m.weights[memo.buckets(used)], starts, axis=0, dtype=np.float64)
                 first = np.cumsum([0, *(len(texts[i]) for i in some)])[:-1]
                 total = np.add.reduceat(sizes[at], first)
                 p = m.probabilities(np.add.reduceat(per_word[at], first, axis=0) / total[:, None] + m.bias)
