@@ -17,10 +17,9 @@ LARGE_LIST = 1000
 
 def slice_eq(df: DataFrame, fixed: dict) -> DataFrame:
     """Rows where every column equals its value; a value of None leaves its column free."""
-    require_columns(df, fixed)
+    fixed = {name: value for name, value in fixed.items() if value is not None}
     for name, value in fixed.items():
-        if value is not None:
-            df = df.where(F.col(name) == F.lit(value))
+        df = require_columns(df, fixed).where(F.col(name) == F.lit(value))
     return df
 
 
