@@ -5,7 +5,7 @@
 * ``chunks``: (chunk_id, n, ids): each distinct chunk once. A rolling hash over the last
   ``WINDOW`` ids cuts an id stream where its top bits are zero, so equal passages give equal
   chunks wherever they stand. ``chunk_id`` is the first 128 bits of sha256 of the ids;
-  ids are little-endian, 16 bits wide if the vocabulary allows, else 32.
+  ids are little-endian, 16 bits wide if the vocabulary allows, else 32, in a zstd frame.
 * ``recipes``: (shard, doc_id, row, start, n_tokens, chunk_ids, root), in ascending doc_id
   order over the shards and within each; ``start`` counts the ids of all documents before.
 * ``manifest``: (shard, docs, tokens, root): the Merkle root over the shard's document
@@ -27,6 +27,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -82,7 +83,7 @@ def _encode(docs: DataFrame, vocabulary: str, id_col: str, text_col: str, width:
     kinds = {"row": pa.int64(), "at": pa.int32(), "seq": pa.int32(), "chunk_id": pa.binary(), "n": pa.int32(), "ids": pa.binary()}
 
     def chunked(batches):
-        n, words, met = TaskContext.get().partitionId() << 40, encoder(vocabulary), set()
+        n, words, met, frame = TaskContext.get().partitionId() << 40, encoder(vocabulary), set(), zstandard.ZstdCompressor().compress
         for b in batches:
             cols = {k: [] for k in kinds}
             for at, text in enumerate(b.column(1).to_pylist()):
@@ -91,7 +92,7 @@ def _encode(docs: DataFrame, vocabulary: str, id_col: str, text_col: str, width:
                 for seq, end in enumerate(cuts(ids)):
                     part = ids[last:end].astype(f"<u{width}").tobytes()
                     key = hashlib.sha256(part).digest()[:16]
-                    for k, v in zip(cols, (n, at, seq, key, end - last, None if key in met else part)):
+                    for k, v in zip(cols, (n, at, seq, key, end - last, None if key in met else frame(part))):
                         cols[k].append(v)
                     met.add(key)
                     last = end
@@ -194,13 +195,27 @@ def combine(crcs: np.ndarray, sizes: np.ndarray, firsts: np.ndarray) -> np.ndarr
     return np.bitwise_xor.reduceat(_times(power, crcs.astype(np.uint32)), firsts)
 
 
+def unframed(frame: bytes, n: int) -> bytes:
+    """The ids of a chunk; nothing for a frame that is damaged."""
+    try:
+        return zstandard.ZstdDecompressor().decompress(frame, max_output_size=4 * n)
+    except zstandard.ZstdError:
+        return b""
+
+
+def widened(ids: bytes, n: int) -> bytes:
+    """Ids of either width in 32 bits."""
+    return np.frombuffer(ids, dtype="<u2" if len(ids) == 2 * n else "<u4").astype("<u4").tobytes()
+
+
 def read_chunks(spark: SparkSession, path: str) -> DataFrame:
     """(chunk_id, n, crc, sound): what the chunk files hold; crc over 32-bit ids."""
     def checked(batches):
         for b in batches:
-            keys, ns, ids = (b.column(k).to_pylist() for k in ("chunk_id", "n", "ids"))
+            keys, ns, frames = (b.column(k).to_pylist() for k in ("chunk_id", "n", "ids"))
+            ids = [unframed(x, n) for x, n in zip(frames, ns)]
             sound = [hashlib.sha256(x).digest()[:16] == k and len(x) in (2 * n, 4 * n) for k, n, x in zip(keys, ns, ids)]
-            crc = [zlib.crc32(np.frombuffer(x, dtype=f"<u{len(x) // n}").astype("<u4").tobytes()) for n, x in zip(ns, ids)]
+            crc = [zlib.crc32(widened(x, n)) for n, x in zip(ns, ids)]
             yield pa.RecordBatch.from_arrays([b.column("chunk_id"), b.column("n"), pa.array(crc, pa.int64()), pa.array(sound, pa.bool_())], names=["chunk_id", "n", "crc", "sound"])
 
     return spark.read.parquet(f"{path}/chunks").select("chunk_id", "n", "ids").mapInArrow(checked, "chunk_id binary, n int, crc long, sound boolean")
@@ -237,9 +252,13 @@ def read_back(spark: SparkSession, path: str) -> DataFrame:
 
 
 def reconstruct(spark: SparkSession, path: str) -> DataFrame:
-    """(doc_id, row, ids): every document's ids again, from recipes and chunks."""
-    recipes = spark.read.parquet(f"{path}/recipes")
-    refs = recipes.select("doc_id", "row", F.posexplode("chunk_ids").alias("seq", "chunk_id"))
-    parts = refs.join(spark.read.parquet(f"{path}/chunks"), "chunk_id").groupBy("row").agg(
-        F.first("doc_id").alias("doc_id"), F.array_sort(F.collect_list(F.struct("seq", "ids"))).alias("parts"))
+    """(doc_id, row, ids): every document's ids again (32 bits wide), from recipes and chunks."""
+    def wide(batches):
+        for b in batches:
+            keys, ns, frames = (b.column(k).to_pylist() for k in ("chunk_id", "n", "ids"))
+            yield pa.RecordBatch.from_pydict({"chunk_id": pa.array(keys, pa.binary()), "ids": pa.array([widened(unframed(x, n), n) for x, n in zip(frames, ns)], pa.binary())})
+
+    chunks = spark.read.parquet(f"{path}/chunks").mapInArrow(wide, "chunk_id binary, ids binary")
+    refs = spark.read.parquet(f"{path}/recipes").select("doc_id", "row", F.posexplode("chunk_ids").alias("seq", "chunk_id"))
+    parts = refs.join(chunks, "chunk_id").groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.array_sort(F.collect_list(F.struct("seq", "ids"))).alias("parts"))
     return parts.select("doc_id", "row", F.aggregate("parts", F.lit(b""), lambda a, x: F.concat(a, x["ids"])).alias("ids"))
