@@ -20,7 +20,6 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -50,19 +49,19 @@ class Shard:
     def __init__(self):
         self.numbers, self.docs, self.words = Numbers(), [], 0
 
-    def add(self, key, text: bytes) -> None:
+    def add(self, text: bytes) -> None:
         ids = self.numbers.of(alnum_words(text))
-        self.docs.append((key, ids, text))
+        self.docs.append((ids, text))
         self.words += len(ids)
 
     def search(self, windows: dict[tuple[bytes, ...], set[str]]):
-        """For each document: key, text, words, covered words as a mask, items found."""
-        n_docs, sizes = len(self.docs), np.array([len(ids) for _, ids, _ in self.docs])
+        """For each document: text, words, covered words as a mask, items found."""
+        n_docs, sizes = len(self.docs), np.array([len(ids) for ids, _ in self.docs])
         # Symbols: 0 ends the string, 1..n_docs end the documents, then the words.
         shift = n_docs + 1
         string = np.empty(sizes.sum() + n_docs + 1, np.int64)
         starts = np.cumsum(sizes + 1) - sizes - 1
-        for d, (_, ids, _) in enumerate(self.docs):
+        for d, (ids, _) in enumerate(self.docs):
             string[starts[d] : starts[d] + len(ids)] = ids + shift
             string[starts[d] + len(ids)] = d + 1
         string[-1] = 0
@@ -84,8 +83,8 @@ class Shard:
         mask, items = np.cumsum(covered) > 0, [[] for _ in range(n_docs)]
         for d, item in pairs:
             items[d].append(item)
-        for d, (key, ids, text) in enumerate(self.docs):
-            yield key, text, len(ids), mask[starts[d] : starts[d] + len(ids)], sorted(items[d])
+        for d, (ids, text) in enumerate(self.docs):
+            yield text, len(ids), mask[starts[d] : starts[d] + len(ids)], sorted(items[d])
 
 
 def spans_of(mask: np.ndarray) -> list[tuple[int, int]]:
@@ -94,13 +93,12 @@ def spans_of(mask: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _shards(batches, text_col: str):
-    """(shard, the record batches of its documents) until the partition ends. Keys are row numbers."""
-    shard, held, n = Shard(), [], TaskContext.get().partitionId() << 40
+    """(shard, the record batches of its documents) until the partition ends."""
+    shard, held = Shard(), []
     for b in batches:
         first = 0
         for i, text in enumerate(utf8(b.column(text_col))):
-            shard.add(n, text)
-            n += 1
+            shard.add(text)
             if shard.words >= SHARD_WORDS:
                 yield shard, [*held, b.slice(first, i + 1 - first)]
                 shard, held, first = Shard(), [], i + 1
@@ -110,33 +108,34 @@ def _shards(batches, text_col: str):
         yield shard, held
 
 
-def _searched(docs: DataFrame, windows: dict, id_col: str, text_col: str) -> DataFrame:
-    id_type = docs.schema[id_col].dataType.simpleString()
+def _searched(docs: DataFrame, windows: dict) -> DataFrame:
+    """For (row, id, text): row, id, n_words, n_hit, items, spans."""
+    id_type = docs.schema["id"].dataType.simpleString()
     span = pa.struct([("first", pa.int64()), ("end", pa.int64()), ("start_char", pa.int64()), ("end_char", pa.int64())])
 
     def run(batches):
-        for shard, held in _shards(batches, text_col):
-            cols = [[], [], [], [], []]
-            for row, text, n_words, mask, items in shard.search(windows):
+        for shard, held in _shards(batches, "text"):
+            cols = [[], [], [], []]
+            for text, n_words, mask, items in shard.search(windows):
                 spans = []
                 if mask.any():
                     places = [m.span() for m in WORD.finditer(text.lower().decode())]
                     spans = [{"first": a, "end": b, "start_char": places[a][0], "end_char": places[b - 1][1]} for a, b in spans_of(mask)]
-                for c, v in zip(cols, (row, n_words, int(mask.sum()), items, spans)):
+                for c, v in zip(cols, (n_words, int(mask.sum()), items, spans)):
                     c.append(v)
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(span))
+            kinds = (pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(span))
             made = [pa.array(c, k) for c, k in zip(cols, kinds)]
-            ids = pa.concat_arrays([b.column(id_col) for b in held])
-            yield pa.RecordBatch.from_arrays([made[0], ids, *made[1:]], names=["row", "id", "n_words", "n_hit", "items", "spans"])
+            row, ids = (pa.concat_arrays([b.column(c) for b in held]) for c in ("row", "id"))
+            yield pa.RecordBatch.from_arrays([row, ids, *made], names=["row", "id", "n_words", "n_hit", "items", "spans"])
 
     spans = "array<struct<first: long, end: long, start_char: long, end_char: long>>"
-    return docs.select(id_col, text_col).mapInArrow(run, f"row long, id {id_type}, n_words long, n_hit long, items array<string>, spans {spans}")
+    return docs.mapInArrow(run, f"row long, id {id_type}, n_words long, n_hit long, items array<string>, spans {spans}")
 
 
 def _kept(docs: DataFrame, windows: dict, text_col: str) -> DataFrame:
     def run(batches):
         for shard, held in _shards(batches, text_col):
-            clean = pa.array([not mask.any() for _, _, _, mask, _ in shard.search(windows)], pa.bool_())
+            clean = pa.array([not mask.any() for _, _, mask, _ in shard.search(windows)], pa.bool_())
             yield from pa.Table.from_batches(held).filter(clean).to_batches()
 
     return docs.mapInArrow(run, docs.schema)
@@ -154,7 +153,7 @@ def _blocks(benchmark: DataFrame, item_col: str, item_text_col: str, window: int
         yield windows_of([(r["item"], r["text"].encode()) for r in some.select("item", "text").collect()], window)
 
 
-def _merged(parts: list[DataFrame], id_type: str) -> DataFrame:
+def _merged(parts: list[DataFrame]) -> DataFrame:
     """One row per document from the rows of each block of windows (the same documents in each)."""
     rows = parts[0]
     for p in parts[1:]:
@@ -173,12 +172,12 @@ def _merged(parts: list[DataFrame], id_type: str) -> DataFrame:
 def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text",
                        item_col: str = "item_id", item_text_col: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
     """One row per document: id, n_words, n_hit, items (sorted strings), spans (words and code points, end exclusive)."""
-    docs = docs.select(id_col, text_col)
+    docs = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     blocks = list(_blocks(benchmark, item_col, item_text_col, window, block_words))
     if len(blocks) > 1:
         docs = staged(docs)  # row numbers must agree between the blocks
-    parts = [_searched(docs, w, id_col, text_col) for w in blocks]
-    found = parts[0] if len(parts) == 1 else _merged(parts, docs.schema[id_col].dataType.simpleString())
+    parts = [_searched(docs, w) for w in blocks]
+    found = parts[0] if len(parts) == 1 else _merged(parts)
     return found.drop("row").withColumnRenamed("id", id_col)
 
 
