@@ -155,7 +155,8 @@ def find_secrets(docs: DataFrame, rules=BASE_RULES, added=ADDED_RULES, id_col: s
     every = (*rules, *added)
     may = candidates(docs, every, id_col, text_col)
     d = docs.select(F.col(id_col).alias("_doc"), text_of(text_col).alias("_text"))
-    df = d.join(may, F.col("_doc").eqNullSafe(F.col("_id")), "left")
+    # Merged whatever its size: a plan that broadcasts small candidate tables alone would behave otherwise on large ones.
+    df = d.join(may.hint("merge"), F.col("_doc").eqNullSafe(F.col("_id")), "left")
     for order, rule in enumerate(every):
         df = _with_spans(df, rule, order, F.coalesce(F.col(f"may_{rule.kind}"), F.lit(False)) if f"may_{rule.kind}" in may.columns else F.lit(True))
     base = F.concat(*(F.col(f"_sp_{r.kind}") for r in rules))
