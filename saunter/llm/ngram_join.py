@@ -8,13 +8,14 @@
    many documents have are not met on. Classes that meet are linked to the least class
    of the meeting: the *leader*. A leader and all that it led form a group; every
    similar pair has a group in common.
-3. Each class is compared with its leaders. That joins groups of near copies, of whatever
-   size, in one step.
+   Shingles are also hashed into groups, and a class's group counts are its point: the sum
+   of coordinate minima bounds what two sets, or two tree nodes, can share.
+3. Each class is compared with those of its leaders that the bound leaves. That joins groups
+   of near copies, of whatever size, in one step.
 4. Groups that still hold several components are split into blocks of ``BLOCK``, and each
-   pair of blocks goes into one R-tree of group counts: tokens (shingles) are hashed into
-   groups, a set's counts are a point, and the sum of coordinate minima bounds what two
-   sets, or two nodes, can share. Surviving pairs of different components are verified on
-   the sets; a pair that verified links already connect is not needed for the components.
+   pair of blocks goes into one R-tree of points. Classes with a possible partner in another
+   component get their sets, and the surviving pairs are verified on these; a pair that
+   verified links already connect is not needed for the components.
 
 Defined results: a text without words has an empty set and is linked with nothing; repeated
 rows and equal texts are of one class; a null id takes part, but never is a component's id
@@ -33,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from saunter.llm.graph import components
-from saunter.llm.rtree import RTree, folded, group_counts
+from saunter.llm.rtree import candidate_pairs, folded, group_counts
 from saunter.llm.shared import staged
 from saunter.llm.words import spaced_words, utf8
 
@@ -91,8 +92,8 @@ def _sets(batches, size: int):
 
 
 def _profile(docs: DataFrame, size: int, id_type: str) -> DataFrame:
-    """Rows (row, id, n, sig) per document; at a task's end rows (cell, count)."""
-    names = ["row", "id", "n", "sig", "cell", "count"]
+    """Rows (row, id, n, sig, point) per document; at a task's end rows (cell, count)."""
+    names = ["row", "id", "n", "sig", "point", "cell", "count"]
 
     def run(batches):
         cells, n, kind = np.zeros(1 << CELL_BITS, np.int64), TaskContext.get().partitionId() << 40, None
@@ -100,15 +101,16 @@ def _profile(docs: DataFrame, size: int, id_type: str) -> DataFrame:
             kind, m = b.column(0).type, len(sets)
             for s in sets:
                 np.add.at(cells, (s >> np.uint64(64 - CELL_BITS)).astype(np.int64), 1)
-            cols = [pa.array(np.arange(n, n + m)), b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([signature(s) for s in sets], pa.binary()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.int64())]
+            cols = [pa.array(np.arange(n, n + m)), b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([signature(s) for s in sets], pa.binary()),
+                    pa.array([packed(group_counts(s)) for s in sets], pa.binary()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.int64())]
             n += m
             yield pa.RecordBatch.from_arrays(cols, names=names)
         if kind is not None:
             used = np.flatnonzero(cells)
             m = len(used)
-            yield pa.RecordBatch.from_arrays([pa.nulls(m, pa.int64()), pa.nulls(m, kind), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary()), pa.array(used, pa.int32()), pa.array(cells[used])], names=names)
+            yield pa.RecordBatch.from_arrays([pa.nulls(m, pa.int64()), pa.nulls(m, kind), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary()), pa.nulls(m, pa.binary()), pa.array(used, pa.int32()), pa.array(cells[used])], names=names)
 
-    return docs.mapInArrow(run, f"row long, id {id_type}, n long, sig binary, cell int, count long")
+    return docs.mapInArrow(run, f"row long, id {id_type}, n long, sig binary, point binary, cell int, count long")
 
 
 def _common(profile: DataFrame) -> np.ndarray:
@@ -155,23 +157,24 @@ def _meetings(docs: DataFrame, common, size: int, percent: int) -> DataFrame:
     return met.mapInArrow(led, "lead long, lo long").distinct()
 
 
+def packed(point: np.ndarray) -> bytes:
+    return b"%d" % point.itemsize + point.tobytes()
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw[1:], dtype=np.uint8 if raw[:1] == b"1" else np.uint32)
+
+
 def _set_table(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """(sig, n, point, set) of the wanted classes: only the texts of their first documents are read again."""
-    some = docs.alias("d").join(wanted.select(F.col("min_id").alias("_id")).distinct().alias("w"), F.expr("d.id <=> w._id"), "left_semi")
+    """(sig, set) of the wanted classes (and of documents that share an id with one): the texts of their first documents are read again."""
+    ids = wanted.select(F.col("min_id").alias("_id")).distinct()
+    some = docs.alias("d").join(ids.alias("w"), F.expr("d.id <=> w._id"), "left_semi")
 
     def run(batches):
         for _, sets in _sets(batches, size):
-            points = [group_counts(s) for s in sets]
-            yield pa.RecordBatch.from_arrays([pa.array([signature(s) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64()),
-                                              pa.array([b"%d " % p.itemsize + p.tobytes() for p in points], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())],
-                                             names=["sig", "n", "point", "set"])
-
-    made = some.select("id", "text").mapInArrow(run, "sig binary, n long, point binary, set binary")
-    return made.join(wanted.select("sig"), "sig", "left_semi").dropDuplicates(["sig"])
+            yield pa.RecordBatch.from_arrays([pa.array([signature(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["sig", "set"])
 
-
-def _point(raw: bytes) -> np.ndarray:
-    return np.frombuffer(raw[2:], dtype=np.uint8 if raw[:1] == b"1" else np.uint32)
+    return some.select("id", "text").mapInArrow(run, "sig binary, set binary")
 
 
 def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -183,72 +186,119 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * shared >= percent * (len(a) + len(b) - shared)
 
 
-def _star_links(stars: DataFrame, table: DataFrame, percent: int) -> DataFrame:
+def _paired(pairs: DataFrame, table: DataFrame, cols: list[str]) -> DataFrame:
+    """``pairs`` (a, b) with the table's columns of either side, as <col>_a and <col>_b."""
+    for side in "ab":
+        pairs = pairs.join(table.select(F.col("sig").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in cols)), side)
+    return pairs
+
+
+def _possible_stars(stars: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The pairs that sizes and points leave possible."""
+    def run(batches):
+        for b in batches:
+            x, y = ([unpacked(v) for v in b.column(k).to_pylist()] for k in ("point_a", "point_b"))
+            n = b.column("n_a").to_numpy() + b.column("n_b").to_numpy()
+            shared = np.array([np.minimum(*folded([p, q])).sum() for p, q in zip(x, y)], np.int64)
+            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], names=["a", "b"]).filter(pa.array((100 + percent) * shared >= percent * n))
+
+    sized = _paired(stars, classes, ["n", "point"]).where(F.expr(f"100 * n_a >= {percent} * n_b and 100 * n_b >= {percent} * n_a"))
+    return sized.select("a", "b", "n_a", "n_b", "point_a", "point_b").mapInArrow(run, "a binary, b binary")
+
+
+def _star_links(stars: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     def run(batches):
         for b in batches:
             x, y = (b.column(k).to_pylist() for k in ("set_a", "set_b"))
             yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], names=["a", "b"]).filter(pa.array(
                 [similar(np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64), percent) for p, q in zip(x, y)], pa.bool_()))
 
-    sized = stars.join(table.select(F.col("sig").alias("b"), F.col("n").alias("nb"), F.col("set").alias("set_b")), "b")
-    sized = sized.join(table.select(F.col("sig").alias("a"), F.col("n").alias("na"), F.col("set").alias("set_a")), "a")
-    sized = sized.where(F.expr(f"100 * na >= {percent} * nb and 100 * nb >= {percent} * na"))
-    return sized.select("a", "b", "set_a", "set_b").mapInArrow(run, "a binary, b binary")
+    return _paired(stars, sets, ["set"]).select("a", "b", "set_a", "set_b").mapInArrow(run, "a binary, b binary")
+
+
+def _solved(groups: DataFrame, names: list[str], solve, schema: str) -> DataFrame:
+    """``solve`` on the rows of each (lead, i, j); rows arrive sorted by these, and a group has two blocks at most."""
+    out = [c.split()[0] for c in schema.split(", ")]
+
+    def run(batches):
+        key, rows = None, []
+        for b in batches:
+            found = []
+            for r in zip(*(b.column(k).to_pylist() for k in ("lead", "i", "j", *names))):
+                if r[:3] != key:
+                    found += solve(rows)
+                    key, rows = r[:3], []
+                rows.append(r[3:])
+            yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.binary()) for k in range(len(out))], names=out)
+        found = solve(rows)
+        yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.binary()) for k in range(len(out))], names=out)
+
+    return groups.repartition("lead", "i", "j").sortWithinPartitions("lead", "i", "j").mapInArrow(run, schema)
+
+
+def _possible_pairs(points: list[bytes], sizes: list[int], comps: list[bytes], percent: int):
+    number = {c: i for i, c in enumerate(sorted(set(comps)))}
+    return candidate_pairs([unpacked(p) for p in points], np.array(sizes), np.array([number[c] for c in comps]), percent)
+
+
+def _with_partner(groups: DataFrame, percent: int) -> DataFrame:
+    """(lead, sig): the classes that have a possible partner in another component of a group."""
+    def solve(rows: list[tuple]) -> list[tuple]:
+        if len({r[2] for r in rows}) < 2:
+            return []
+        lead, sigs, comps, sizes, points = zip(*rows)
+        found: set[int] = set()
+        for a, b in _possible_pairs(points, sizes, comps, percent):
+            found.update(a.tolist(), b.tolist())
+        return [(lead[k], sigs[k]) for k in sorted(found)]
+
+    return _solved(groups.withColumn("group", F.col("lead")), ["group", "sig", "comp", "n", "point"], solve, "lead binary, sig binary")
 
 
 def _group_links(groups: DataFrame, percent: int) -> DataFrame:
-    """Links between components inside each (lead, i, j) of ``groups``, whose rows arrive sorted by these."""
-    def solve(rows: list[tuple]) -> list[tuple[bytes, bytes]]:
-        comp_no = {c: i for i, c in enumerate(sorted({r[1] for r in rows}))}
-        if len(comp_no) < 2:
+    """Verified links between components inside each group; of those that connect the same components one is enough."""
+    def solve(rows: list[tuple]) -> list[tuple]:
+        if len({r[1] for r in rows}) < 2:
             return []
-        up = list(range(len(comp_no)))
+        sigs, comps, sizes, points, raw = zip(*rows)
+        sets, up, found = [np.frombuffer(x, np.uint64) for x in raw], {c: c for c in comps}, []
 
-        def top(x: int) -> int:
+        def top(x: bytes) -> bytes:
             while up[x] != x:
                 up[x] = up[up[x]]
                 x = up[x]
             return x
 
-        classes = np.array([comp_no[r[1]] for r in rows])
-        sets = [np.frombuffer(r[3], np.uint64) for r in rows]
-        tree = RTree(folded([_point(r[2]) for r in rows]), np.array([len(s) for s in sets]), classes)
-        found = []
-        for a, b in tree.similar_pairs(percent):
+        for a, b in _possible_pairs(points, sizes, comps, percent):
             for i, j in zip(a.tolist(), b.tolist()):
-                x, y = top(classes[i]), top(classes[j])
+                x, y = top(comps[i]), top(comps[j])
                 if x != y and similar(sets[i], sets[j], percent):
                     up[x] = y
-                    found.append((rows[i][0], rows[j][0]))
+                    found.append((sigs[i], sigs[j]))
         return found
 
-    def run(batches):
-        key, rows = None, []
-        for b in batches:
-            links = []
-            for r in zip(*(b.column(k).to_pylist() for k in ("lead", "i", "j", "sig", "comp", "point", "set"))):
-                if r[:3] != key:
-                    links += solve(rows)
-                    key, rows = r[:3], []
-                rows.append(r[3:])
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.binary()), pa.array([y for _, y in links], pa.binary())], names=["a", "b"])
-        links = solve(rows)
-        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.binary()), pa.array([y for _, y in links], pa.binary())], names=["a", "b"])
+    return _solved(groups, ["sig", "comp", "n", "point", "set"], solve, "a binary, b binary")
+
 
-    return groups.mapInArrow(run, "a binary, b binary")
+def _dealt(members: DataFrame) -> DataFrame:
+    """Members (lead, sig, comp, ...) of groups with several components, in pairs (i, j) of blocks."""
+    several = members.groupBy("lead").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size")).where("lo <> hi").select("lead", "size")
+    split = members.join(several, "lead").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
+    split = split.withColumn("own", F.expr("int(pmod(xxhash64(sig), blocks))")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    return split.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("size", "blocks", "own", "other")
 
 
-def _blocks(stars: DataFrame, comps: DataFrame, table: DataFrame) -> DataFrame:
-    """The members of groups with several components, dealt out in pairs of blocks."""
+def _rest_links(stars: DataFrame, comps: DataFrame, classes: DataFrame, sets: DataFrame, slim: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links inside the groups that the leaders have not joined."""
     members = stars.select(F.col("a").alias("lead"), F.col("b").alias("sig")).union(stars.select("a", "a")).distinct()
     named = members.join(comps.withColumnRenamed("v", "sig"), "sig", "left").withColumn("comp", F.coalesce("comp", "sig"))
-    named = staged(named)
-    mixed_groups = named.groupBy("lead").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size")).where("lo <> hi").select("lead", "size")
-    split = named.join(mixed_groups, "lead").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
-    split = split.withColumn("own", F.expr("int(pmod(xxhash64(sig), blocks))")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-    dealt = split.select("lead", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "sig", "comp")
-    full = dealt.join(table.select("sig", "point", "set"), "sig")
-    return full.repartition("lead", "i", "j").sortWithinPartitions("lead", "i", "j")
+    named = staged(named.join(classes.select("sig", "n", "point"), "sig"))
+    some = staged(_with_partner(_dealt(named), percent).distinct())
+    missing = staged(classes.join(some.select("sig").distinct(), "sig", "left_semi").join(sets, "sig", "left_anti").select("sig", "min_id"))
+    if not missing.isEmpty():
+        sets = sets.unionByName(staged(_set_table(slim, missing, size)))
+    full = named.join(some, ["lead", "sig"]).join(sets.dropDuplicates(["sig"]), "sig")
+    return staged(_group_links(_dealt(full), percent))
 
 
 def jaccard_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -256,25 +306,25 @@ def jaccard_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERC
     spark, id_type = docs.sparkSession, docs.schema[id_col].dataType.simpleString()
     slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     profile = staged(_profile(slim, size, id_type))
-    rows = profile.where("cell is null").select("row", "id", "n", "sig")
-    classes = staged(rows.where("n > 0").groupBy("sig").agg(F.min("id").alias("min_id")))
+    rows = profile.where("cell is null").select("row", "id", "n", "sig", "point")
+    classes = staged(rows.where("n > 0").groupBy("sig").agg(F.min("id").alias("min_id"), F.first("n").alias("n"), F.first("point").alias("point")))
     low = classes.select("sig", F.expr("conv(hex(substring(sig, 9, 8)), 16, -10)").cast("long").alias("lo"))
 
     met = staged(_meetings(slim, spark.sparkContext.broadcast(_common(profile)), size, percent))
     stars = met.join(low.select("lo", F.col("sig").alias("b")), "lo").join(low.select(F.col("lo").alias("lead"), F.col("sig").alias("a")), "lead")
     stars = staged(stars.select("a", "b"))
-    wanted = classes.join(stars.select(F.col("a").alias("sig")).union(stars.select("b")).distinct(), "sig", "left_semi")
-    table = staged(_set_table(slim, wanted, size))
+    likely = staged(_possible_stars(stars, classes, percent))
+    wanted = classes.join(likely.select(F.col("a").alias("sig")).union(likely.select("b")).distinct(), "sig", "left_semi")
+    sets = staged(_set_table(slim, wanted, size))
 
-    links = staged(_star_links(stars, table, percent))
-    comps = components(links)
-    more = staged(_group_links(_blocks(stars, comps, table), percent))
+    comps = components(_star_links(likely, sets, percent))
+    more = _rest_links(stars, comps, classes, sets, slim, size, percent)
     if not more.isEmpty():
         comps = components(comps.select(F.col("v").alias("a"), F.col("comp").alias("b")).union(more))
 
     named = classes.join(comps.withColumnRenamed("v", "sig"), "sig", "left").withColumn("comp", F.coalesce("comp", "sig"))
     ids = named.join(named.groupBy("comp").agg(F.min("min_id").alias("component_id")), "comp").select("sig", "component_id")
-    joined = rows.join(ids, "sig", "left")
+    joined = rows.drop("point").join(ids, "sig", "left")
     return joined.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
 
 

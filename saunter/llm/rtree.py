@@ -15,8 +15,8 @@ CHUNK = 2048
 
 
 def group_counts(hashes: np.ndarray) -> np.ndarray:
-    """A set's point: about four elements a group, in 64 to 1024 groups (a power of two)."""
-    groups = 1 << min(10, max(6, (len(hashes) // 4).bit_length()))
+    """A set's point: two to four elements a group, in 64 to 4096 groups (a power of two)."""
+    groups = 1 << min(12, max(6, (len(hashes) // 4).bit_length()))
     counts = np.bincount((hashes & np.uint64(groups - 1)).astype(np.int64), minlength=groups)
     return counts.astype(np.uint8 if counts.max(initial=0) < 256 else np.uint32)
 
@@ -70,3 +70,25 @@ class RTree:
             fine = (x < below) & (y < below) & (x <= y)
             if fine.any():
                 stack.append((level - 1, x[fine], y[fine]))
+
+
+def candidate_pairs(points: list[np.ndarray], sizes: np.ndarray, classes: np.ndarray, percent: int):
+    """`RTree.similar_pairs` over points of several lengths, each pair in the finest groups that both have.
+
+    Similar sets differ in size by less than a factor of two (percent > 50), so the lengths of
+    their points are equal or neighbours: there is a tree for each length and the next.
+    """
+    if 2 * percent <= 100:
+        raise ValueError("percent must be above 50")
+    lengths = np.array([len(p) for p in points])
+    for groups in np.unique(lengths):
+        own = lengths == groups
+        largest = 100 * sizes[own].max()
+        at = np.flatnonzero(own | (lengths == 2 * groups) & (percent * sizes <= largest))
+        if len(at) < 2:
+            continue
+        tree = RTree(folded([points[k] for k in at]), sizes[at], classes[at])
+        for a, b in tree.similar_pairs(percent):
+            a, b = at[a], at[b]
+            here = own[a] | own[b]
+            yield a[here], b[here]
