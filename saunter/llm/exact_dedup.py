@@ -55,7 +55,7 @@ def mark_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
-    stay = mark_duplicates(docs, id_col, text_col, keep).where("kept").select(F.col(id_col).alias("_id"), F.col("text_sha256").alias("_sha")).distinct()
-    rows = docs.withColumn("_sha", F.sha2(text_of(text_col), 256)).alias("d").join(
-        stay.alias("s"), F.col(f"d.{id_col}").eqNullSafe(F.col("s._id")) & (F.col("d._sha") == F.col("s._sha")), "left_semi")
-    return rows.dropDuplicates([id_col, "_sha"]).drop("_sha")
+    stay = mark_duplicates(docs, id_col, text_col, keep).where("kept").select(F.col(id_col).alias("__dedup_id"), F.col("text_sha256").alias("__dedup_sha")).distinct()
+    rows = docs.withColumn("__dedup_sha", F.sha2(text_of(text_col), 256)).alias("d").join(
+        stay.alias("s"), F.col(f"d.{id_col}").eqNullSafe(F.col("s.__dedup_id")) & (F.col("d.__dedup_sha") == F.col("s.__dedup_sha")), "left_semi")
+    return rows.dropDuplicates([id_col, "__dedup_sha"]).drop("__dedup_sha")

@@ -236,7 +236,8 @@ def _training_rows(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -
 
 
 def label(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_train: int = MAX_TRAIN) -> DataFrame:
-    """``docs`` with lang_pred and lang_score, by a model of its own labelled rows."""
+    """``docs`` with lang_pred and lang_score (in place of columns of these names), by a model of its own labelled rows."""
+    docs = docs.drop("lang_pred", "lang_score")
     return predict(docs, fit(_training_rows(docs, id_col, text_col, lang_col), max_train), text_col)
 
 

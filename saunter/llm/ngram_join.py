@@ -331,5 +331,5 @@ def jaccard_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERC
 def keep_one(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay: of each component the row with the component's id. Ids are unique."""
     found = jaccard_components(docs, size, percent, id_col, text_col)
-    stay = found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_stay")).distinct()
-    return docs.join(stay, F.col(id_col).eqNullSafe(F.col("_stay")), "left_semi")
+    stay = found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__near_stay")).distinct()
+    return docs.join(stay, F.col(id_col).eqNullSafe(F.col("__near_stay")), "left_semi")

@@ -46,10 +46,10 @@ def crc_mod(col: str, n: int) -> Column:
 
 def cut_spans(docs: DataFrame, found: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``docs`` with spans (start_char, end_char; sorted, apart) cut out of the texts of ``found`` (id, spans)."""
-    hit = found.select(F.col(id_col).alias("_hit_id"), F.col("spans").alias("_spans"))
-    text, ends = F.col(text_col), F.transform("_spans", lambda s: s["end_char"])
+    hit = found.select(F.col(id_col).alias("__cut_id"), F.col("spans").alias("__cut_spans"))
+    text, ends = F.col(text_col), F.transform("__cut_spans", lambda s: s["end_char"])
     before = lambda i: F.when(i == 0, F.lit(0)).otherwise(F.get(ends, i - 1))
-    kept = F.transform("_spans", lambda s, i: F.substring(text, (before(i) + 1).cast("int"), (s["start_char"] - before(i)).cast("int")))
+    kept = F.transform("__cut_spans", lambda s, i: F.substring(text, (before(i) + 1).cast("int"), (s["start_char"] - before(i)).cast("int")))
     cut = F.concat(F.array_join(kept, ""), F.substring(text, (F.element_at(ends, -1) + 1).cast("int"), F.length(text)))
-    joined = docs.join(hit, docs[id_col] == F.col("_hit_id"), "left")
-    return joined.withColumn(text_col, F.when(F.col("_spans").isNotNull(), cut).otherwise(text)).select(*docs.columns)
+    joined = docs.join(hit, docs[id_col] == F.col("__cut_id"), "left")
+    return joined.withColumn(text_col, F.when(F.col("__cut_spans").isNotNull(), cut).otherwise(text)).select(*docs.columns)
