@@ -106,7 +106,7 @@ STEP = "trial_id long, walker_id long, step int, l double, theta double, phi dou
 
 
 def walk(spark, n=500, walkers=3):
-    return spark.range(n * walkers).select((F.col("id") % 2).alias("trial_id"), (F.col("id") % walkers).alias("walker_id"), (F.floor(F.col("id") / walkers) + 1).cast("int").alias("step"),
+    return spark.range(n * walkers).select((F.col("id") % walkers % 2).alias("trial_id"), (F.col("id") % walkers).alias("walker_id"), (F.floor(F.col("id") / walkers) + 1).cast("int").alias("step"),
                                            ((F.col("id") * 7919 % 97) / 10.0).alias("l"), (F.col("id") * 31 % 628 / 100.0).alias("theta"), (F.col("id") * 17 % 314 / 100.0).alias("phi"),
                                            *(F.lit(5.0).alias(c) for c in ("x0", "y0", "z0")), (F.col("id") * 13 % 100 / 100.0).alias("u"))
 
