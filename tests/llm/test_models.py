@@ -157,6 +157,7 @@ def test_language_edges(spark):
     assert labelled.columns == [*docs.columns, "lang_pred", "lang_score"] and labelled.count() == 45
     assert {r["lang_pred"] for r in langid.identify(docs.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
     assert langid.identify(docs.limit(0)).count() == 0
+    assert langid.label(labelled.withColumn("bucket", F.lit(1))).columns == [*docs.columns, "bucket", "lang_pred", "lang_score"]
 
 
 def test_quality_on_held_out_rows(spark):
