@@ -15,8 +15,8 @@ from functools import lru_cache
 import numpy as np
 
 END_ID = 1
-#: Entries after which a worker's memo is emptied: bounds its memory.
-MEMO_WORDS = 400_000
+#: Entries after which a worker's memos are emptied: bounds their memory.
+MEMO_WORDS, MEMO_CORES = 200_000, 700_000
 
 
 def default_vocabulary() -> str:
@@ -45,6 +45,7 @@ class WordEncoder(dict):
         super().__init__()
         self.library = Tokenizer.from_file(path)
         self.model, self.alphabet, self.cores = self.library.model, byte_alphabet(), {}
+        self.packed = [i.to_bytes(4, "little") for i in range(self.library.get_vocab_size(with_added_tokens=True))]
         spec = json.load(open(path, encoding="utf-8"))
         kinds = {x.get("type") for x in [spec["normalizer"] or {}, *(spec["normalizer"] or {}).get("normalizers", [])]}
         self.direct = "Lowercase" in kinds and spec["model"].get("end_of_word_suffix") == "</w>"
@@ -52,7 +53,7 @@ class WordEncoder(dict):
     def _core(self, piece: str) -> bytes:
         if (ids := self.cores.get(piece)) is None:
             shown = piece.encode().decode("latin-1").translate(self.alphabet)
-            ids = self.cores[piece] = np.array([t.id for t in self.model.tokenize(shown)], dtype="<u4").tobytes()
+            ids = self.cores[piece] = b"".join([self.packed[t.id] for t in self.model.tokenize(shown)])
         return ids
 
     def __missing__(self, word: str) -> bytes:
@@ -67,7 +68,7 @@ class WordEncoder(dict):
         """The ids of a whole text, then the end id."""
         if len(self) > MEMO_WORDS:
             self.clear()
-        if len(self.cores) > MEMO_WORDS:
+        if len(self.cores) > MEMO_CORES:
             self.cores.clear()
         words = (text or "").replace("\n", " ").split(" ")
         return b"".join(map(self.__getitem__, words)) + END_ID.to_bytes(4, "little")
