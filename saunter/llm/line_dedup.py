@@ -62,6 +62,11 @@ def find_repeats(docs: DataFrame, least_words: int = LEAST_WORDS, separator: str
     return rest.select(F.col("id").alias(id_col), "unit", "start", "end", "n_words", "digest", F.col("keep.id").alias("keep_id"), F.col("keep.unit").alias("keep_unit"))
 
 
+def repeated_text(docs: DataFrame, separator: str = "\n", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per repeat of any length: kind, id, unit, start, end, n_words, digest, keep_id, keep_unit. Every line with a word is a unit."""
+    return find_repeats(docs, 1, separator, id_col, text_col).withColumn("kind", F.lit("line"))
+
+
 def remove_repeats(docs: DataFrame, least_words: int = LEAST_WORDS, separator: str = "\n", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the repeated units (and the separator behind each). Ids must be unique."""
     found = find_repeats(docs, least_words, separator, id_col, text_col)

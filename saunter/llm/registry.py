@@ -44,6 +44,10 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(_documents(spark, sf_dir))
 
 
+def op8_repeated_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.repeated_text(_documents(spark, sf_dir))
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.find_repeats(_documents(spark, sf_dir))
 
@@ -59,7 +63,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_ngram_jaccard_join, op2_best_fit_packing, op3_language_id, op4_decontamination, op5_exact_dedup,
-    op6_token_store, op7_token_counts, op8_line_dedup, op9_quality_classifier, op10_secret_scan)}
+    op6_token_store, op7_token_counts, op8_repeated_text, op8_line_dedup, op9_quality_classifier, op10_secret_scan)}
 
 ORACLES = {
     "op4_decontamination": r"""
@@ -124,4 +128,5 @@ ORACLES["op8_line_dedup"] = r"""
     r AS (SELECT *, row_number() OVER o AS nth, first_value(doc_id) OVER o AS keep_id, first_value(unit) OVER o AS keep_unit
           FROM h WINDOW o AS (PARTITION BY digest ORDER BY doc_id, unit ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))
     SELECT doc_id, unit, start, "end", n_words, digest, keep_id, keep_unit FROM r WHERE nth > 1"""
+ORACLES["op8_repeated_text"] = ORACLES["op8_line_dedup"].replace("len(w) >= 20", "len(w) >= 1").replace("SELECT doc_id, unit, start,", "SELECT 'line' AS kind, doc_id, unit, start,")
 ORACLES["op10_secret_scan"] = _secrets_sql()

@@ -162,6 +162,12 @@ def test_repeated_lines(spark):
     assert line_dedup.find_repeats(docs, least_words=1).where("doc_id = 5").count() == 1
 
 
+def test_repeated_text_sees_short_lines(spark):
+    docs = table(spark, ["one short line\nown words", "other words\nOne  short line\n\n", "\n \n", None, "x\nx"])
+    found = sorted((r["doc_id"], r["unit"], r["start"], r["end"], r["keep_id"], r["keep_unit"]) for r in line_dedup.repeated_text(docs).where("kind = 'line'").collect())
+    assert found == [(1, 1, 12, 27, 0, 0), (4, 1, 2, 3, 4, 0)]
+
+
 def test_repeated_rows_keep_one_unit(spark):
     long = " ".join(f"w{k}" for k in range(30))
     assert line_dedup.find_repeats(table(spark, [long] * 3, [7, 7, None])).count() == 2
