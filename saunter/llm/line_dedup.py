@@ -22,6 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from saunter.llm.passages import find_passages
 from saunter.llm.shared import cut_spans, staged
 from saunter.llm.words import spaced_words
 
@@ -63,8 +64,14 @@ def find_repeats(docs: DataFrame, least_words: int = LEAST_WORDS, separator: str
 
 
 def repeated_text(docs: DataFrame, separator: str = "\n", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per repeat of any length: kind, id, unit, start, end, n_words, digest, keep_id, keep_unit. Every line with a word is a unit."""
-    return find_repeats(docs, 1, separator, id_col, text_col).withColumn("kind", F.lit("line"))
+    """One row per repeat: kind, id, unit, start, end, n_words, digest, keep_id, keep_unit.
+
+    A ``line`` with a word is a unit; a ``passage`` (see `passages`) has the number of its first word as
+    unit and no digest. The two may overlap.
+    """
+    lines = find_repeats(docs, 1, separator, id_col, text_col).withColumn("kind", F.lit("line"))
+    found = find_passages(docs, id_col=id_col, text_col=text_col).withColumnsRenamed({"word": "unit", "keep_word": "keep_unit"})
+    return lines.unionByName(found.withColumns({"kind": F.lit("passage"), "digest": F.lit(None).cast("string")}))
 
 
 def remove_repeats(docs: DataFrame, least_words: int = LEAST_WORDS, separator: str = "\n", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

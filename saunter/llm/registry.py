@@ -129,4 +129,23 @@ ORACLES["op8_line_dedup"] = r"""
           FROM h WINDOW o AS (PARTITION BY digest ORDER BY doc_id, unit ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))
     SELECT doc_id, unit, start, "end", n_words, digest, keep_id, keep_unit FROM r WHERE nth > 1"""
 ORACLES["op8_repeated_text"] = ORACLES["op8_line_dedup"].replace("len(w) >= 20", "len(w) >= 1").replace("SELECT doc_id, unit, start,", "SELECT 'line' AS kind, doc_id, unit, start,")
+#: Passages by every window of 50 words as it stands; offsets are sums of the lengths before.
+ORACLES["op8_repeated_text"] += r"""
+    UNION ALL SELECT * FROM (
+    WITH m AS (SELECT doc_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS m, regexp_split_to_array(text, '[^\x20\x09-\x0D]+') AS p FROM documents WHERE text IS NOT NULL),
+    each AS (SELECT doc_id, unnest(m) AS w, unnest(p[1:len(m)]) AS gap, unnest(range(0, len(m))) AS i FROM m),
+    pos AS (SELECT doc_id, i, sum(length(gap) + length(w)) OVER (PARTITION BY doc_id ORDER BY i) AS e, length(w) AS n FROM each),
+    low AS (SELECT doc_id, list_transform(m, lambda x: translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS m FROM m WHERE len(m) >= 50),
+    win AS (SELECT doc_id, m, unnest(range(0, len(m) - 49)) AS i FROM low),
+    h AS (SELECT doc_id, i, md5(array_to_string(m[i + 1:i + 50], ' ')) AS h FROM win),
+    f AS (SELECT doc_id, i, first_value(doc_id) OVER o AS kd, first_value(i) OVER o AS ki FROM h WINDOW o AS (PARTITION BY h ORDER BY doc_id, i)),
+    g AS (SELECT *, doc_id = kd AND i < ki + 50 AS inside FROM f WHERE NOT (doc_id = kd AND i = ki)),
+    s AS (SELECT g.doc_id, g.i, kd, ki, CASE WHEN inside THEN ki + 50 ELSE g.i END AS word, CASE WHEN inside THEN c.e ELSE a.e - a.n END AS s, b.e
+          FROM g JOIN pos a ON a.doc_id = g.doc_id AND a.i = g.i JOIN pos b ON b.doc_id = g.doc_id AND b.i = g.i + 49
+          LEFT JOIN pos c ON c.doc_id = g.doc_id AND c.i = ki + 49 AND inside),
+    cut AS (SELECT *, word > max(i + 50) OVER (PARTITION BY doc_id ORDER BY word, i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS apart FROM s),
+    part AS (SELECT *, sum(CASE WHEN coalesce(apart, true) THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY word, i) AS part FROM cut),
+    top AS (SELECT doc_id, min(struct_pack(word, s, i, kd, ki)) AS t, max(e) AS e, max(i + 50) AS z FROM part GROUP BY doc_id, part)
+    SELECT 'passage' AS kind, doc_id, CAST(t.word AS INTEGER) AS unit, CAST(t.s AS BIGINT) AS start, CAST(e AS BIGINT) AS "end", CAST(z - t.word AS BIGINT) AS n_words,
+           CAST(NULL AS VARCHAR) AS digest, t.kd AS keep_id, CAST(t.ki AS INTEGER) AS keep_unit FROM top)"""
 ORACLES["op10_secret_scan"] = _secrets_sql()

@@ -34,6 +34,15 @@ def discard(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], n: str = "n") -> DataFrame:
+    """Staged ``rows`` with what was found per key. Keys with over a thousandth of all rows (so under a thousand
+    keys) are broadcast, the rest meets in a shuffle: no task gets a large group whole. Keys are not null."""
+    limit = max(rows.count() // 1000, 1)
+    large, slim = F.broadcast(groups.where(F.col(n) > limit)), groups.where(F.col(n) <= limit)
+    rest = rows.join(large.select(*keys), keys, "left_anti").join(slim, keys)
+    return rows.join(large, keys).unionByName(rest)
+
+
 def text_of(col: str) -> Column:
     """The text, with null as the empty text."""
     return F.coalesce(F.col(col), F.lit(""))

@@ -10,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from saunter.llm import exact_dedup, graph, line_dedup, ngram_join, rtree
+from saunter.llm import exact_dedup, graph, line_dedup, ngram_join, passages, rtree
 
 COLS = "doc_id long, text string, lang string, keep_id string, group_size long, _id string, row string, sig string, start string, spans string"
 
@@ -168,6 +168,52 @@ def test_repeated_text_sees_short_lines(spark):
     assert found == [(1, 1, 12, 27, 0, 0), (4, 1, 2, 3, 4, 0)]
 
 
+def brute_passages(texts, least):
+    """Characters of repeated windows per text, by comparing every window with those before it."""
+    first, out = {}, {}
+    for i, t in enumerate(texts):
+        spans, w = [m.span() for m in re.finditer(r"[^\x20\x09-\x0D]+", t or "")], words(t)
+        for k in range(len(w) - least + 1):
+            j, q = first.setdefault(tuple(w[k : k + least]), (i, k))
+            if (j, q) != (i, k):
+                start = spans[q + least - 1][1] if j == i and k < q + least else spans[k][0]
+                out.setdefault(i, set()).update(c for c in range(start, spans[k + least - 1][1]) if not t[c].isspace())
+    return out
+
+
+def passage_texts():
+    r = random.Random(3)
+    word = lambda: "".join(r.choice("abcdé") for _ in range(r.randint(1, 5)))
+    pool = [[word() for _ in range(n)] for n in (49, 50, 51, 75, 120, 12, 8)]
+    texts = [None, "", "a " * 160, " ".join(f"p{k % 7}" for k in range(130)), "x y"]
+    for _ in range(40):
+        parts = [w for _ in range(r.randint(1, 4)) for w in [word() for _ in range(r.randint(0, 30))] + r.choice(pool)]
+        texts.append("".join(w.upper() * (w[0] == "a") or w for w in (x + r.choice((" ", "  ", "\n", "\t")) for x in parts)))
+    return texts
+
+
+def test_passages_inside_other_lines(spark):
+    texts = passage_texts()
+    got = {}
+    for x in passages.find_passages(table(spark, texts)).collect():
+        t = texts[x["doc_id"]]
+        span = {c for c in range(x["start"], x["end"]) if not t[c].isspace()}
+        assert not span & got.setdefault(x["doc_id"], set()) and x["n_words"] == len(words(t[x["start"] : x["end"]]))
+        got[x["doc_id"]] |= span
+    assert got == brute_passages(texts, 50) and len(got) > 20
+    assert passages.find_passages(table(spark, texts).limit(0)).count() == 0
+    run = " ".join(f"w{k}" for k in range(50))
+    docs = table(spark, [f"own start {run} own end", f"another line\nbegins {run.replace(' 9', chr(10) + '9')} and goes on"])
+    (x,) = line_dedup.repeated_text(docs).collect()
+    assert (x["kind"], x["doc_id"], x["unit"], x["start"], x["n_words"], x["keep_id"], x["keep_unit"]) == ("passage", 1, 3, 20, 50, 0, 2)
+
+
+def test_passage_of_repeated_rows(spark):
+    run = " ".join(f"w{k}" for k in range(60))
+    found = passages.find_passages(table(spark, [run] * 4, [7, 7, None, None])).collect()
+    assert sorted((str(x["doc_id"]), x["keep_id"], x["n_words"]) for x in found) == [("7", 7, 60), ("None", 7, 60), ("None", 7, 60)]
+
+
 def test_repeated_rows_keep_one_unit(spark):
     long = " ".join(f"w{k}" for k in range(30))
     assert line_dedup.find_repeats(table(spark, [long] * 3, [7, 7, None])).count() == 2
