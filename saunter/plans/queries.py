@@ -443,7 +443,7 @@ def live_passage(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{_scratch(spark)}/{name}"
     view(spark, sf_dir, "steps").write.parquet(f"{path}/steps")
     stream = spark.readStream.schema(spark.read.parquet(f"{path}/steps").schema).parquet(f"{path}/steps")
-    return rounded(live.run_available(live.first_passage_stream(stream, CENTRE, RADIUS, SIDE, 2, 0.5, timeout_ms=None), name, "append", f"{path}/checkpoint"))
+    return rounded(live.drain_to_parquet(live.first_passage_stream(stream, CENTRE, RADIUS, SIDE, 2, 0.5, timeout_ms=None), f"{path}/found", f"{path}/checkpoint"))
 
 
 def _scratch(spark: SparkSession) -> str:

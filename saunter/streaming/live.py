@@ -81,6 +81,12 @@ def run_available(stream: DataFrame, name: str, mode: str, checkpoint: str) -> D
     return stream.sparkSession.table(name)
 
 
+def drain_to_parquet(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
+    """Drains what is there now into Parquet below ``path`` and returns it: no row passes the driver, however many there are."""
+    stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(path)
+
+
 def append_trials(stream: DataFrame, path: str, checkpoint: str):
     """Writes a trial stream to Parquet, each batch durable when it is done."""
     return stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()

@@ -41,3 +41,10 @@ def test_appended_trials(spark, tmp_path):
     for _ in range(2):
         live.append_trials(live.trial_stream(spark, str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
     assert spark.read.schema(schema("surface")).parquet(str(tmp_path / "out")).count() == 1
+
+
+def test_passage_query_keeps_its_rows_in_files(spark):
+    from saunter.plans.queries import QUERIES
+
+    found = QUERIES["live_passage"](spark, "/root/testdata/sf0.001")
+    assert found.count() > 0 and found.inputFiles() and all("live_passage_" in f for f in found.inputFiles())
