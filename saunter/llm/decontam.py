@@ -5,9 +5,9 @@ indexed (`fm_index`), every window of every benchmark item is searched backwards
 occurrences are located by sampled suffix positions, and covered words are merged into
 removal spans. Documents never leave their partition: nothing is shuffled.
 
-The windows travel to the executors in blocks of at most ``BLOCK_WORDS`` benchmark words,
-however large the benchmark is; with several blocks the spans of a document are merged
-afterwards.
+The benchmark goes through the driver block by block, about ``BLOCK_WORDS`` words at a time, and is
+broadcast as blocks of item texts. A shard is indexed once and searched with each block in turn; only
+one block's windows exist at a time. The stated bound of what is broadcast: the benchmark's text.
 
 Defined results: a null text has no words; items without words have no windows; a null
 item id is written "null"; repeated rows and null ids get a row each; an empty table gives
@@ -24,8 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from saunter.llm.fm_index import FmIndex, ranges
-from saunter.llm.shared import cut_spans, staged
-from saunter.llm.words import Numbers, alnum_words, utf8
+from saunter.llm.shared import cut_spans, free_name, numbered_rows, staged
+from saunter.llm.words import Numbers, alnum_words, slices, utf8
 
 WINDOW = 10
 SHARD_WORDS = 1 << 20
@@ -54,7 +54,7 @@ class Shard:
         self.docs.append((ids, text))
         self.words += len(ids)
 
-    def search(self, windows: dict[tuple[bytes, ...], set[str]]):
+    def search(self, blocks, window: int):
         """For each document: text, words, covered words as a mask, items found."""
         n_docs, sizes = len(self.docs), np.array([len(ids) for ids, _ in self.docs])
         # Symbols: 0 ends the string, 1..n_docs end the documents, then the words.
@@ -67,19 +67,20 @@ class Shard:
         string[-1] = 0
         covered, pairs = np.zeros(len(string) + 1, np.int32), set()
         index = FmIndex(string, shift + len(self.numbers))
-        by_length: dict[int, list] = {}
-        for w, items in windows.items():
-            if all(x in self.numbers for x in w):
-                by_length.setdefault(len(w), []).append(([self.numbers[x] + shift for x in w], items))
-        for length, some in by_length.items():
-            which, lo, hi = index.search(np.array([p for p, _ in some], np.int64))
-            rows, of = ranges(lo, hi)
-            at = index.locate(rows)
-            np.add.at(covered, at, 1)
-            np.add.at(covered, at + length, -1)
-            doc = np.searchsorted(starts, at, side="right") - 1
-            for d, k in set(zip(doc.tolist(), which[of].tolist())):
-                pairs.update((d, item) for item in some[k][1])
+        for block in blocks:
+            by_length: dict[int, list] = {}
+            for w, items in windows_of(block.value, window).items():
+                if all(x in self.numbers for x in w):
+                    by_length.setdefault(len(w), []).append(([self.numbers[x] + shift for x in w], items))
+            for length, some in by_length.items():
+                which, lo, hi = index.search(np.array([p for p, _ in some], np.int64))
+                rows, of = ranges(lo, hi)
+                at = index.locate(rows)
+                np.add.at(covered, at, 1)
+                np.add.at(covered, at + length, -1)
+                doc = np.searchsorted(starts, at, side="right") - 1
+                for d, k in set(zip(doc.tolist(), which[of].tolist())):
+                    pairs.update((d, item) for item in some[k][1])
         mask, items = np.cumsum(covered) > 0, [[] for _ in range(n_docs)]
         for d, item in pairs:
             items[d].append(item)
@@ -95,7 +96,7 @@ def spans_of(mask: np.ndarray) -> list[tuple[int, int]]:
 def _shards(batches, text_col: str):
     """(shard, the record batches of its documents) until the partition ends."""
     shard, held = Shard(), []
-    for b in batches:
+    for b in slices(batches, text_col):
         first = 0
         for i, text in enumerate(utf8(b.column(text_col))):
             shard.add(text)
@@ -108,7 +109,7 @@ def _shards(batches, text_col: str):
         yield shard, held
 
 
-def _searched(docs: DataFrame, windows: dict) -> DataFrame:
+def _searched(docs: DataFrame, blocks: list, window: int) -> DataFrame:
     """For (row, id, text): row, id, n_words, n_hit, items, spans."""
     id_type = docs.schema["id"].dataType.simpleString()
     span = pa.struct([("first", pa.int64()), ("end", pa.int64()), ("start_char", pa.int64()), ("end_char", pa.int64())])
@@ -116,7 +117,7 @@ def _searched(docs: DataFrame, windows: dict) -> DataFrame:
     def run(batches):
         for shard, held in _shards(batches, "text"):
             cols = [[], [], [], []]
-            for text, n_words, mask, items in shard.search(windows):
+            for text, n_words, mask, items in shard.search(blocks, window):
                 spans = []
                 if mask.any():
                     places = [m.span() for m in WORD.finditer(text.lower().decode())]
@@ -132,61 +133,43 @@ def _searched(docs: DataFrame, windows: dict) -> DataFrame:
     return docs.mapInArrow(run, f"row long, id {id_type}, n_words long, n_hit long, items array<string>, spans {spans}")
 
 
-def _kept(docs: DataFrame, windows: dict, text_col: str) -> DataFrame:
+def _kept(docs: DataFrame, blocks: list, window: int, text_col: str) -> DataFrame:
     def run(batches):
         for shard, held in _shards(batches, text_col):
-            clean = pa.array([not mask.any() for _, _, mask, _ in shard.search(windows)], pa.bool_())
+            clean = pa.array([not mask.any() for _, _, mask, _ in shard.search(blocks, window)], pa.bool_())
             yield from pa.Table.from_batches(held).filter(clean).to_batches()
 
     return docs.mapInArrow(run, docs.schema)
 
 
-def _blocks(benchmark: DataFrame, item_col: str, item_text_col: str, window: int, block_words: int):
-    """The benchmark's windows, block by block: each of about ``block_words`` words."""
+def _blocks(benchmark: DataFrame, item_col: str, item_text_col: str, block_words: int) -> list:
+    """The benchmark's items (item, text) as broadcast blocks of about ``block_words`` words; the driver holds one block."""
     items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("null")).alias("item"), F.col(item_text_col).alias("text")).where("text is not null")
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(1, -(-size // (2 * block_words)))  # a word takes two bytes at least
-    if n > 1:
-        items = staged(items.withColumn("block", F.pmod(F.xxhash64("item", "text"), F.lit(n))))
-    for k in range(n):
-        some = items.where(F.col("block") == k) if n > 1 else items
-        yield windows_of([(r["item"], r["text"].encode()) for r in some.select("item", "text").collect()], window)
-
-
-def _merged(parts: list[DataFrame]) -> DataFrame:
-    """One row per document from the rows of each block of windows (the same documents in each)."""
-    rows = parts[0]
-    for p in parts[1:]:
-        rows = rows.unionByName(p)
-    gathered = rows.groupBy("row").agg(F.first("id").alias("id"), F.first("n_words").alias("n_words"),
-                                       F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    last = "element_at(acc, -1)"
-    joined = f"""aggregate(spans, cast(array() as array<struct<first: bigint, end: bigint, start_char: bigint, end_char: bigint>>), (acc, x) ->
-        if(size(acc) > 0 and {last}.end >= x.first,
-           concat(slice(acc, 1, size(acc) - 1), array(named_struct('first', {last}.first, 'end', greatest({last}.end, x.end),
-                  'start_char', {last}.start_char, 'end_char', greatest({last}.end_char, x.end_char)))),
-           concat(acc, array(x))))"""
-    return gathered.withColumn("spans", F.expr(joined)).withColumn("n_hit", F.expr("aggregate(spans, 0L, (a, x) -> a + x.end - x.first)")).select("row", "id", "n_words", "n_hit", "items", "spans")
+    made, some, size = [], [], 0
+    for r in items.toLocalIterator():
+        some.append((r["item"], r["text"].encode()))
+        size += len(some[-1][1])
+        if size >= 2 * block_words:  # a word takes two bytes at least
+            made.append(benchmark.sparkSession.sparkContext.broadcast(some))
+            some, size = [], 0
+    return [*made, benchmark.sparkSession.sparkContext.broadcast(some)] if some else made
+
+
+def _located(docs: DataFrame, benchmark: DataFrame, window: int, item_col: str, item_text_col: str, block_words: int) -> DataFrame:
+    return _searched(docs, _blocks(benchmark, item_col, item_text_col, block_words), window)
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text",
                        item_col: str = "item_id", item_text_col: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
     """One row per document: id, n_words, n_hit, items (sorted strings), spans (words and code points, end exclusive)."""
-    docs = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    blocks = list(_blocks(benchmark, item_col, item_text_col, window, block_words))
-    if len(blocks) > 1:
-        docs = staged(docs)  # row numbers must agree between the blocks
-    parts = [_searched(docs, w) for w in blocks]
-    found = parts[0] if len(parts) == 1 else _merged(parts)
-    return found.drop("row").withColumnRenamed("id", id_col)
+    docs = docs.select(F.lit(0).cast("long").alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    return _located(docs, benchmark, window, item_col, item_text_col, block_words).drop("row").withColumnRenamed("id", id_col)
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text_col: str = "text", item_col: str = "item_id",
                       item_text_col: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
     """The rows of ``docs`` in which no window occurs, with all their columns; nothing is shuffled."""
-    for windows in _blocks(benchmark, item_col, item_text_col, window, block_words):
-        docs = _kept(docs, windows, text_col)
-    return docs
+    return _kept(docs, _blocks(benchmark, item_col, item_text_col, block_words), window, text_col)
 
 
 def report(found: DataFrame) -> DataFrame:
@@ -196,5 +179,17 @@ def report(found: DataFrame) -> DataFrame:
 
 
 def remove_spans(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with the found spans cut out of the texts. Ids must be unique."""
-    return cut_spans(docs, found.where("n_hit > 0"), id_col, text_col)
+    """``docs`` with the spans of `find_contamination` cut out of the texts; an error if an id repeats (see `cut_contaminated`)."""
+    if not found.groupBy(id_col).count().where("count > 1").isEmpty():
+        raise ValueError(f"{id_col} repeats: spans found by id can't be told apart; use cut_contaminated")
+    row = free_name(docs, "row_id")
+    return cut_spans(docs.withColumn(row, F.col(id_col)), found.where("n_hit > 0").select(F.col(id_col).alias("row"), "spans"), row, text_col)
+
+
+def cut_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text_col: str = "text", item_col: str = "item_id",
+                     item_text_col: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
+    """``docs`` with every occurrence of a window cut out of the texts. Rows are told apart by number: ids may repeat or be null."""
+    numbered, row = numbered_rows(docs)
+    texts = numbered.select(F.col(row).alias("row"), F.lit(0).alias("id"), F.col(text_col).alias("text"))
+    found = staged(_located(texts, benchmark, window, item_col, item_text_col, block_words).where("n_hit > 0").select("row", "spans"))
+    return cut_spans(numbered, found, row, text_col)

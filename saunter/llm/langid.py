@@ -24,13 +24,12 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from saunter.llm.shared import crc_mod
-from saunter.llm.words import Numbers
+from saunter.llm.words import Numbers, slices
 
 BUCKETS, LONGEST = 1 << 16, 3
 MAX_TRAIN = 6000
@@ -85,26 +84,12 @@ class Grams(Numbers):
 
 
 MEMO_WORDS = 100_000
-#: Texts are taken together up to so many bytes: bounds what a task holds of them.
-SLICE_BYTES = 2_000_000
-
-
-def _slices(batches, text_col: str):
-    """The batches in runs of rows whose texts have about SLICE_BYTES."""
-    for b in batches:
-        ends = np.cumsum(np.nan_to_num(pc.binary_length(b.column(text_col)).to_numpy(zero_copy_only=False).astype(np.float64)))
-        first = 0
-        while first < b.num_rows:
-            most = (ends[first - 1] if first else 0) + SLICE_BYTES
-            last = max(first + 1, int(np.searchsorted(ends, most, side="right")))
-            yield b.slice(first, last - first)
-            first = last
 
 
 def _grams(batches, text_col: str = "text"):
     """Runs of rows with their texts' words, all looked up; the memo is emptied when it gets large."""
     memo = Grams()
-    for b in _slices(batches, text_col):
+    for b in slices(batches, text_col):
         texts = [letter_words(t) for t in b.column(text_col).to_pylist()]
         if len(memo) > MEMO_WORDS:
             memo = Grams()
@@ -206,8 +191,8 @@ def fit(docs: DataFrame, max_train: int = MAX_TRAIN) -> Model | None:
     return train(rows, idf)
 
 
-def predict(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
-    """The columns of ``docs`` with lang_pred and lang_score behind them."""
+def predict(docs: DataFrame, model: Model | None, text_col: str = "text", names: tuple[str, str] = ("lang_pred", "lang_score")) -> DataFrame:
+    """The columns of ``docs`` with the predicted language and its score behind them, under ``names``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS x languages
 
     def run(batches):
@@ -226,19 +211,20 @@ def predict(docs: DataFrame, model: Model | None, text_col: str = "text") -> Dat
                 p = m.probabilities(np.add.reduceat(per_word[at], first, axis=0) / total[:, None] + m.bias)
                 for i, best, s in zip(some, p.argmax(axis=1), p.max(axis=1)):
                     pred[i], score[i] = m.languages[best], s
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(pred, pa.string()), pa.array(score)], names=[*b.schema.names, "lang_pred", "lang_score"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(pred, pa.string()), pa.array(score)], names=[*b.schema.names, *names])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("lang_score", T.DoubleType())]))
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())]))
 
 
 def _training_rows(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
 
 
-def label(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_train: int = MAX_TRAIN) -> DataFrame:
-    """``docs`` with lang_pred and lang_score (in place of columns of these names), by a model of its own labelled rows."""
-    docs = docs.drop("lang_pred", "lang_score")
-    return predict(docs, fit(_training_rows(docs, id_col, text_col, lang_col), max_train), text_col)
+def label(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_train: int = MAX_TRAIN,
+          names: tuple[str, str] = ("lang_pred", "lang_score")) -> DataFrame:
+    """``docs`` with the predicted language and its score (in place of columns of these names), by a model of its own labelled rows."""
+    docs = docs.drop(*names)
+    return predict(docs, fit(_training_rows(docs, id_col, text_col, lang_col), max_train), text_col, names)
 
 
 def identify(docs: DataFrame, held_out_mod: int = 5, held_out_rest: int = 0, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_train: int = MAX_TRAIN) -> DataFrame:

@@ -44,6 +44,10 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(_documents(spark, sf_dir))
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.find_units(_documents(spark, sf_dir))
+
+
 def op8_repeated_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.repeated_text(_documents(spark, sf_dir))
 
@@ -63,7 +67,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_ngram_jaccard_join, op2_best_fit_packing, op3_language_id, op4_decontamination, op5_exact_dedup,
-    op6_token_store, op7_token_counts, op8_repeated_text, op8_line_dedup, op9_quality_classifier, op10_secret_scan)}
+    op6_token_store, op7_token_counts, op8_substring_dedup, op8_repeated_text, op8_line_dedup, op9_quality_classifier, op10_secret_scan)}
 
 ORACLES = {
     "op4_decontamination": r"""

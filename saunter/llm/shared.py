@@ -7,33 +7,94 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used only where the session names no shared folder (tests on one machine).
+#: Used only where the session names no shared folder and runs on one machine, as in tests.
 LOCAL_DEFAULT = "/tmp/checkpoints"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new path below ``spark.checkpoint.dir``, the folder that driver and executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or LOCAL_DEFAULT
+    """A new path below ``spark.checkpoint.dir``, the folder that driver and executors share; on a cluster it must be set."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        master = spark.conf.get("spark.master", "")
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = LOCAL_DEFAULT
     return f"{base.rstrip('/')}/saunter-{uuid.uuid4().hex}"
 
 
-def staged(df: DataFrame, path: str | None = None) -> DataFrame:
+def staged(df: DataFrame, path: str | None = None, compression: str = "snappy") -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
     It cuts lineage: what was staged survives lost executors, and rows whose making
     is costly or order-dependent are made once.
     """
     path = path or shared_dir(df.sparkSession)
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Tables staged during one call of an operator; they go when its result is staged."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.base, self.n = spark, shared_dir(spark), 0
+
+    def __call__(self, df: DataFrame) -> DataFrame:
+        self.n += 1
+        return staged(df, f"{self.base}/{self.n}")
+
+    def result(self, df: DataFrame) -> DataFrame:
+        out = staged(df)
+        discard(self.spark, self.base)
+        return out
+
+
 def discard(spark: SparkSession, path: str) -> None:
     """Delete a staged path that nothing reads any more."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def free_name(df: DataFrame, stem: str) -> str:
+    """A column name that ``df`` doesn't have: ``stem``, with underscores behind it if need be."""
+    taken = {c.lower() for c in df.columns}
+    while stem.lower() in taken:
+        stem += "_"
+    return stem
+
+
+def numbered_rows(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` with a number per row, and that column's name; staged, so a row keeps its number however often it is read."""
+    name = free_name(docs, "row_number")
+    return staged(docs.withColumn(name, F.monotonically_increasing_id())), name
+
+
+#: Bits of the bitmap of `split_likely`: 8 MB, whatever the tables' sizes.
+FILTER_BITS = 26
+
+
+def split_likely(rows: DataFrame, keys: DataFrame, cols: list[str], bits: int = FILTER_BITS) -> tuple[DataFrame, DataFrame]:
+    """``rows`` in two parts: those whose ``cols`` may be among those of ``keys``, and those that are surely not.
+
+    Marks 2^bits slots, one for each hashed key, and broadcasts the marks: a bound that doesn't depend
+    on the tables. What is surely not there needs no shuffle. The more keys, the more rows are in the first
+    part by chance; a join behind tells them apart.
+    """
+    slot = lambda names: F.pmod(F.xxhash64(*names), F.lit(1 << bits)) + 1
+    marks = keys.select(slot(cols).alias("s")).groupBy(F.expr("bitmap_bucket_number(s)").alias("b")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(s))").alias("m"))
+    place, bucket, mark = (free_name(rows, x) for x in ("mark_place", "mark_bucket", "marks"))
+    placed = rows.withColumn(place, slot([F.col(c) for c in cols])).withColumn(bucket, F.expr(f"bitmap_bucket_number({place})")).withColumn(place, F.expr(f"bitmap_bit_position({place})"))
+    near = placed.join(F.broadcast(marks.withColumnsRenamed({"b": bucket, "m": mark})), bucket, "left")
+    set_ = F.expr(f"coalesce(getbit(cast(conv(hex(substring({mark}, int({place} div 8) + 1, 1)), 16, 10) as int), int({place} % 8)) = 1, false)")
+    names = [F.col(f"`{c}`") for c in rows.columns]
+    return near.where(set_).select(*names), near.where(~set_).select(*names)
+
+
+def likely(rows: DataFrame, keys: DataFrame, cols: list[str], bits: int = FILTER_BITS) -> DataFrame:
+    """The first part of `split_likely`."""
+    return split_likely(rows, keys, cols, bits)[0]
+
+
 def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], n: str = "n") -> DataFrame:
     """Staged ``rows`` with what was found per key. Keys with over a thousandth of all rows (so under a thousand
     keys) are broadcast, the rest meets in a shuffle: no task gets a large group whole. Keys are not null."""
@@ -53,12 +114,16 @@ def crc_mod(col: str, n: int) -> Column:
     return F.crc32(F.col(col).cast("string").cast("binary")) % n
 
 
-def cut_spans(docs: DataFrame, found: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``docs`` with spans (start_char, end_char; sorted, apart) cut out of the texts of ``found`` (id, spans)."""
-    hit = found.select(F.col(id_col).alias("__cut_id"), F.col("spans").alias("__cut_spans"))
-    text, ends = F.col(text_col), F.transform("__cut_spans", lambda s: s["end_char"])
+def cut_spans(docs: DataFrame, found: DataFrame, row_col: str, text_col: str) -> DataFrame:
+    """``docs`` with spans cut out of the texts of ``found`` (row, spans: start_char, end_char; sorted, apart).
+
+    ``row_col`` tells the rows of ``docs`` apart, as `numbered_rows` makes it; it goes in the end.
+    """
+    row, spans = free_name(docs, "cut_row"), free_name(docs, "cut_spans")
+    hit = found.select(F.col("row").alias(row), F.col("spans").alias(spans))
+    text, ends = F.col(text_col), F.transform(spans, lambda s: s["end_char"])
     before = lambda i: F.when(i == 0, F.lit(0)).otherwise(F.get(ends, i - 1))
-    kept = F.transform("__cut_spans", lambda s, i: F.substring(text, (before(i) + 1).cast("int"), (s["start_char"] - before(i)).cast("int")))
+    kept = F.transform(spans, lambda s, i: F.substring(text, (before(i) + 1).cast("int"), (s["start_char"] - before(i)).cast("int")))
     cut = F.concat(F.array_join(kept, ""), F.substring(text, (F.element_at(ends, -1) + 1).cast("int"), F.length(text)))
-    joined = docs.join(hit, docs[id_col] == F.col("__cut_id"), "left")
-    return joined.withColumn(text_col, F.when(F.col("__cut_spans").isNotNull(), cut).otherwise(text)).select(*docs.columns)
+    joined = docs.join(hit, docs[row_col].eqNullSafe(F.col(row)), "left")
+    return joined.withColumn(text_col, F.when(F.col(spans).isNotNull(), cut).otherwise(text)).select(*(c for c in docs.columns if c != row_col))

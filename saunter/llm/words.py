@@ -4,11 +4,25 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
+#: Texts are taken together up to so many bytes: bounds what a task holds of them as Python objects.
+SLICE_BYTES = 2_000_000
 #: Lower-cases A-Z and turns every ASCII byte but a-z and 0-9 into a space; bytes from 0x80 stay.
 ALNUM_TABLE = bytes((b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32) for b in range(256))
 
 
+def slices(batches, text_col: int | str, most: int = SLICE_BYTES):
+    """The batches in runs of rows whose texts have about ``most`` bytes; a row is never split."""
+    for b in batches:
+        ends = np.cumsum(np.nan_to_num(pc.binary_length(b.column(text_col)).to_numpy(zero_copy_only=False).astype(np.float64)))
+        first = 0
+        while first < b.num_rows:
+            last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + most, side="right")))
+            yield b.slice(first, last - first)
+            first = last
+
+
 def utf8(column: pa.Array) -> list[bytes]:
     """The texts of a string column as bytes, null as empty."""
     kind = pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()
@@ -38,3 +52,47 @@ class Numbers(dict):
 
     def of(self, words: list[bytes]) -> np.ndarray:
         return np.fromiter(map(self.__getitem__, words), dtype=np.int64, count=len(words))
+
+
+#: Bytes between words, and the same with A-Z lower-cased, for arrays of bytes.
+_GAP = np.isin(np.arange(256), [*range(9, 14), 32])
+_LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit numbers whose bits all depend on all."""
+    x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    return x ^ x >> np.uint64(31)
+
+
+class HashedWords:
+    """The spaced words of several texts as 64-bit hashes, made for all words at once, eight bytes a step.
+
+    ``firsts[k]`` to ``firsts[k + 1]`` are the words of text k; ``starts`` and ``ends`` are places
+    in the joined texts, of which text k begins at ``begins[k]``.
+    """
+
+    def __init__(self, texts: list[bytes]):
+        data = np.frombuffer(b"\n" + b"\n".join(texts) + b"\n" + bytes(8), np.uint8)
+        self.data = data[:-8]
+        self.begins = np.cumsum([1, *(len(t) + 1 for t in texts)])
+        edges = np.flatnonzero(np.diff(_GAP[self.data])) + 1
+        self.starts, self.ends = edges[::2], edges[1::2]
+        self.firsts = np.searchsorted(self.starts, self.begins)
+        low, sizes = _LOWER[data], self.ends - self.starts
+        eight = np.ndarray((len(low) - 7,), np.uint64, low, strides=(1,))
+        self.hashes, todo, at = sizes.astype(np.uint64), np.arange(len(sizes)), 0
+        while len(todo):
+            part = eight[self.starts[todo] + at] & _MASKS[np.minimum(sizes[todo] - at, 8)]
+            self.hashes[todo] = mixed((self.hashes[todo] + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15) ^ part)
+            at += 8
+            todo = todo[sizes[todo] > at]
+
+    def of(self, k: int) -> np.ndarray:
+        return self.hashes[self.firsts[k] : self.firsts[k + 1]]
+
+    def characters(self) -> np.ndarray:
+        """How many code points stand before each byte."""
+        return np.concatenate(([0], np.cumsum((self.data & 0xC0) != 0x80)))
