@@ -5,7 +5,8 @@
 * ``chunks``: (chunk_id, n, ids): each distinct chunk once. A rolling hash over the last
   ``WINDOW`` ids cuts an id stream where its top bits are zero, so equal passages give equal
   chunks wherever they stand. ``chunk_id`` is the first 128 bits of sha256 of the ids;
-  ids are little-endian, 16 bits wide if the vocabulary allows, else 32, in a zstd frame.
+  ids are little-endian, 16 bits wide if the vocabulary allows, else 32; the files are
+  compressed with zstd.
 * ``recipes``: (shard, doc_id, row, start, n_tokens, chunk_ids, root), in ascending doc_id
   order over the shards and within each; ``start`` counts the ids of all documents before.
 * ``manifest``: (shard, docs, tokens, root): the Merkle root over the shard's document
@@ -27,46 +28,58 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import zstandard
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from saunter.llm.shared import discard, shared_dir, staged
 from saunter.llm.tokens import default_vocabulary, encoder
+from saunter.llm.words import slices
 
 WINDOW, LEAST, MOST, CUT_BITS = 16, 64, 4096, 9
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
-@lru_cache(maxsize=64)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    inverse = np.uint64(pow(int(MULTIPLIER), -1, 1 << 64))
-    up, down = (np.cumprod(np.concatenate([[np.uint64(1)], np.full(n - 1, x)]), dtype=np.uint64) for x in (MULTIPLIER, inverse))
-    return up, down
+INVERSE = pow(int(MULTIPLIER), -1, 1 << 64)
+
+
+def rolling_marks(ids: np.ndarray) -> np.ndarray:
+    """Positions behind which the hash of the last WINDOW ids has CUT_BITS zeros on top.
+
+    The hash is a polynomial in an odd number modulo 2^64, made by doubling its length.
+    """
+    total = (ids.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
+    total ^= total >> np.uint64(32)
+    size, factor = 1, INVERSE
+    while size < WINDOW:
+        total[size:] = total[size:] + total[:-size] * np.uint64(factor)
+        size, factor = 2 * size, factor * factor % (1 << 64)
+    return np.flatnonzero(total * np.uint64(0xFF51AFD7ED558CCD) >> np.uint64(64 - CUT_BITS) == 0) + 1
+
+
+def cuts_of(ids: np.ndarray, ends: list[int]) -> tuple[list[int], list[int]]:
+    """End positions of the chunks of several id streams that stand one behind another, and the stream of each.
+
+    No chunk but a last one is below LEAST ids, which is above WINDOW: a mark that depends on
+    the stream before is never used.
+    """
+    marks, found, of, k, last = [*rolling_marks(ids).tolist(), len(ids) + LEAST], [], [], 0, 0
+    for stream, n in enumerate(ends):
+        had = len(found)
+        while last < n:
+            while marks[k] - last < LEAST:
+                k += 1
+            m = min(marks[k], n, last + MOST)
+            found.append(m)
+            last = m
+        of += [stream] * (len(found) - had)
+    return found, of
 
 
 def cuts(ids: np.ndarray) -> list[int]:
     """End positions of the chunks of an id stream."""
-    n = len(ids)
-    up, down = _powers(1 << max(16, n.bit_length()))
-    with np.errstate(over="ignore"):
-        term = (ids.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
-        term ^= term >> np.uint64(32)
-        total = np.cumsum(term * up[:n], dtype=np.uint64)
-        window = total.copy()
-        window[WINDOW:] -= total[:-WINDOW]
-        hashed = window * down[:n] * np.uint64(0xFF51AFD7ED558CCD)
-    marks = np.flatnonzero(hashed >> np.uint64(64 - CUT_BITS) == 0) + 1
-    ends, last = [], 0
-    for m in [*marks.tolist(), n]:
-        while m - last > MOST:
-            last += MOST
-            ends.append(last)
-        if m - last >= LEAST or m == n and m > last:
-            last = m
-            ends.append(m)
-    return ends
+    return cuts_of(ids, [len(ids)])[0]
 
 
 def merkle_root(leaves: list[bytes]) -> bytes:
@@ -80,25 +93,25 @@ def merkle_root(leaves: list[bytes]) -> bytes:
 def _encode(docs: DataFrame, vocabulary: str, id_col: str, text_col: str, width: int) -> DataFrame:
     """A row per chunk of a document; the ids are there the first time a task meets the chunk."""
     id_type = docs.schema[id_col].dataType.simpleString()
-    kinds = {"row": pa.int64(), "at": pa.int32(), "seq": pa.int32(), "chunk_id": pa.binary(), "n": pa.int32(), "ids": pa.binary()}
-
     def chunked(batches):
-        n, words, met, frame = TaskContext.get().partitionId() << 40, encoder(vocabulary), set(), zstandard.ZstdCompressor().compress
-        for b in batches:
-            cols = {k: [] for k in kinds}
-            for at, text in enumerate(b.column(1).to_pylist()):
-                ids = np.frombuffer(words.encode(text), dtype="<u4")
-                last = 0
-                for seq, end in enumerate(cuts(ids)):
-                    part = ids[last:end].astype(f"<u{width}").tobytes()
-                    key = hashlib.sha256(part).digest()[:16]
-                    for k, v in zip(cols, (n, at, seq, key, end - last, None if key in met else frame(part))):
-                        cols[k].append(v)
-                    met.add(key)
-                    last = end
-                n += 1
-            at = pa.array(cols.pop("at"), pa.int32())
-            yield pa.RecordBatch.from_pydict({"id": b.column(0).take(at), **{k: pa.array(v, kinds[k]) for k, v in cols.items()}})
+        row, words, met = TaskContext.get().partitionId() << 40, encoder(vocabulary), set()
+        for b in slices(batches, 1):
+            whole = [words.encode(t) for t in b.column(1).to_pylist()]
+            ids, ends = np.frombuffer(b"".join(whole), "<u4"), np.cumsum([len(x) // 4 for x in whole])
+            found, of = cuts_of(ids, ends.tolist())
+            raw, to = ids.astype(f"<u{width}").tobytes(), np.array(found, np.int64)
+            parts = [raw[width * s : width * e] for s, e in zip([0, *found], found)]
+            keys = [hashlib.sha256(x).digest()[:16] for x in parts]
+            at = np.array(of, np.int32)
+            seq = np.arange(len(of)) - np.searchsorted(at, at)
+            new = []
+            for key, part in zip(keys, parts):
+                new.append(None if key in met else part)
+                met.add(key)
+            yield pa.RecordBatch.from_pydict({
+                "id": b.column(0).take(pa.array(at)), "row": pa.array(row + at.astype(np.int64)), "seq": pa.array(seq.astype(np.int32)),
+                "chunk_id": pa.array(keys, pa.binary()), "n": pa.array(np.diff(to, prepend=0).astype(np.int32)), "ids": pa.array(new, pa.binary())})
+            row += b.num_rows
 
     return docs.select(id_col, text_col).mapInArrow(chunked, f"id {id_type}, row long, seq int, chunk_id binary, n int, ids binary")
 
@@ -144,8 +157,9 @@ def write_store(docs: DataFrame, path: str | None = None, vocabulary: str | None
     path, rough = path or shared_dir(docs.sparkSession), shared_dir(docs.sparkSession)
     width = 2 if Tokenizer.from_file(vocabulary).get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
     id_type = docs.schema[id_col].dataType.simpleString()
-    rows = staged(_encode(docs, vocabulary, id_col, text_col, width), rough)
-    rows.where("ids is not null").groupBy("chunk_id").agg(F.first("n").alias("n"), F.first("ids").alias("ids")).write.parquet(f"{path}/chunks")
+    rows = staged(_encode(docs, vocabulary, id_col, text_col, width), rough, compression="zstd")
+    once = rows.where("ids is not null").groupBy("chunk_id").agg(F.first("n").alias("n"), F.first("ids").alias("ids"))
+    once.write.option("compression", "zstd").parquet(f"{path}/chunks")
 
     parts = F.array_sort(F.collect_list(F.struct("seq", "chunk_id", "n")))
     recipes = rows.groupBy("row").agg(F.first("id").alias("id"), parts.alias("parts"))
@@ -195,25 +209,16 @@ def combine(crcs: np.ndarray, sizes: np.ndarray, firsts: np.ndarray) -> np.ndarr
     return np.bitwise_xor.reduceat(_times(power, crcs.astype(np.uint32)), firsts)
 
 
-def unframed(frame: bytes, n: int) -> bytes:
-    """The ids of a chunk; nothing for a frame that is damaged."""
-    try:
-        return zstandard.ZstdDecompressor().decompress(frame, max_output_size=4 * n)
-    except zstandard.ZstdError:
-        return b""
-
-
 def widened(ids: bytes, n: int) -> bytes:
-    """Ids of either width in 32 bits."""
-    return np.frombuffer(ids, dtype="<u2" if len(ids) == 2 * n else "<u4").astype("<u4").tobytes()
+    """Ids of either width in 32 bits; nothing for a chunk that is damaged in its length."""
+    return ids if len(ids) == 4 * n else np.frombuffer(ids, "<u2").astype("<u4").tobytes() if len(ids) == 2 * n else b""
 
 
 def read_chunks(spark: SparkSession, path: str) -> DataFrame:
     """(chunk_id, n, crc, sound): what the chunk files hold; crc over 32-bit ids."""
     def checked(batches):
         for b in batches:
-            keys, ns, frames = (b.column(k).to_pylist() for k in ("chunk_id", "n", "ids"))
-            ids = [unframed(x, n) for x, n in zip(frames, ns)]
+            keys, ns, ids = (b.column(k).to_pylist() for k in ("chunk_id", "n", "ids"))
             sound = [hashlib.sha256(x).digest()[:16] == k and len(x) in (2 * n, 4 * n) for k, n, x in zip(keys, ns, ids)]
             crc = [zlib.crc32(widened(x, n)) for n, x in zip(ns, ids)]
             yield pa.RecordBatch.from_arrays([b.column("chunk_id"), b.column("n"), pa.array(crc, pa.int64()), pa.array(sound, pa.bool_())], names=["chunk_id", "n", "crc", "sound"])
@@ -235,16 +240,15 @@ def read_back(spark: SparkSession, path: str) -> DataFrame:
 
     def summed(batches):
         for b in batches:
-            doc_parts, roots, chunk_ids, n_tokens, shard_ok = (b.column(k).to_pylist() for k in ("parts", "root", "chunk_ids", "n_tokens", "shard_ok"))
-            if not doc_parts:
+            if not b.num_rows:
                 continue
-            flat = [p for ps in doc_parts for p in ps]
-            firsts = np.cumsum([0, *map(len, doc_parts)])[:-1]
-            crc = combine(np.array([p["crc"] or 0 for p in flat]), np.array([4 * (p["n"] or 0) for p in flat]), firsts)
-            whole = [all(p["sound"] for p in ps) for ps in doc_parts]
-            fine = [bool(ok and w and merkle_root(keys) == root and sum(p["n"] for p in ps) == n)
-                    for ps, root, keys, n, ok, w in zip(doc_parts, roots, chunk_ids, n_tokens, shard_ok, whole)]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("start"), b.column("n_tokens"), pa.array(crc.astype(np.int64), mask=~np.array(whole, dtype=bool)), pa.array(fine, pa.bool_())],
+            parts = b.column("parts")
+            flat, firsts = parts.flatten(), parts.offsets.to_numpy()[:-1] - parts.offsets[0].as_py()
+            n, crc, sound = (np.nan_to_num(pc.cast(flat.field(k), pa.float64()).to_numpy(zero_copy_only=False)).astype(np.int64) for k in ("n", "crc", "sound"))
+            whole, sizes = np.minimum.reduceat(sound, firsts) > 0, np.add.reduceat(n, firsts)
+            rooted = [merkle_root(keys) == root for keys, root in zip(b.column("chunk_ids").to_pylist(), b.column("root").to_pylist())]
+            fine = whole & np.array(rooted) & (sizes == b.column("n_tokens").to_numpy()) & b.column("shard_ok").to_numpy(zero_copy_only=False).astype(bool)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("start"), b.column("n_tokens"), pa.array(combine(crc, 4 * n, firsts).astype(np.int64), mask=~whole), pa.array(fine)],
                                              names=["doc_id", "start", "n_tokens", "ids_crc32", "verified"])
 
     wanted = rows.select("doc_id", "start", "n_tokens", "parts", "root", "chunk_ids", "shard_ok")
@@ -255,8 +259,8 @@ def reconstruct(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, row, ids): every document's ids again (32 bits wide), from recipes and chunks."""
     def wide(batches):
         for b in batches:
-            keys, ns, frames = (b.column(k).to_pylist() for k in ("chunk_id", "n", "ids"))
-            yield pa.RecordBatch.from_pydict({"chunk_id": pa.array(keys, pa.binary()), "ids": pa.array([widened(unframed(x, n), n) for x, n in zip(frames, ns)], pa.binary())})
+            keys, ns, ids = (b.column(k).to_pylist() for k in ("chunk_id", "n", "ids"))
+            yield pa.RecordBatch.from_pydict({"chunk_id": pa.array(keys, pa.binary()), "ids": pa.array([widened(x, n) for x, n in zip(ids, ns)], pa.binary())})
 
     chunks = spark.read.parquet(f"{path}/chunks").mapInArrow(wide, "chunk_id binary, ids binary")
     refs = spark.read.parquet(f"{path}/recipes").select("doc_id", "row", F.posexplode("chunk_ids").alias("seq", "chunk_id"))
