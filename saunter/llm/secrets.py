@@ -1,12 +1,14 @@
 """Secret scans with a trigram inverted index, in DataFrame functions only.
 
 1. From each rule's regex a Boolean trigram query is derived: which trigrams every match
-   must hold (`trigram_query`).
+   must hold (`trigram_clauses`).
 2. One scan posts (trigram, document) for the trigrams that some query asks for; the
    postings are staged on shared storage.
 3. Each rule's postings are intersected and united per document into candidates.
-4. Candidates are verified with the regex. A rule without mandatory trigrams (hex) has
-   every document as a candidate.
+4. The texts of candidates alone are fetched (by a bitmap, then a join) and verified with the regex.
+   A rule without mandatory trigrams (hex) scans every text where it is. The spans meet at the end.
+
+A document is told by its id and its text's digest: rows that share both have the same spans.
 
 Positions are code points, end exclusive: Spark has no function for match positions, so
 they are prefix sums of the lengths of the pieces between matches and of the matches.
@@ -24,7 +26,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from saunter.llm.shared import staged, text_of
+from saunter.llm.shared import likely, staged, text_of
 
 
 @dataclass(frozen=True)
@@ -78,12 +80,11 @@ def _product(items) -> set[str] | None:
     return found
 
 
-def trigram_query(regex: str) -> list[frozenset[str]]:
-    """The derived query: one of these sets of lower-case trigrams lies in every matching text.
+def trigram_clauses(regex: str) -> list[list[frozenset[str]]]:
+    """The derived query: for each clause, one of its sets of lower-case trigrams lies in every matching text.
 
-    An empty list: the regex has no mandatory trigram. Stretches of the pattern with
-    finitely many strings give an alternative per string; of all stretches the one whose
-    shortest string is longest is used.
+    A clause comes from a stretch of the pattern with finitely many strings of three characters or
+    more: an alternative per string. No clause: the regex has no mandatory trigram.
     """
     stretches, run = [], {""}
     for item in [*sre_parse.parse(regex), (None, None)]:
@@ -93,45 +94,59 @@ def trigram_query(regex: str) -> list[frozenset[str]]:
             run = {""}
         if more is not None:
             run = {a + b for a in run for b in more}
-    best = max(stretches, key=lambda s: min(map(len, s)))
-    if min(map(len, best)) < 3:
-        return []
-    sets = {frozenset(s[i : i + 3] for i in range(len(s) - 2)) for s in best}
-    return sorted((s for s in sets if not any(o < s for o in sets)), key=sorted)
+    clauses = []
+    for stretch in sorted((s for s in stretches if min(map(len, s)) >= 3), key=lambda s: -min(map(len, s))):
+        sets = {frozenset(s[i : i + 3] for i in range(len(s) - 2)) for s in stretch}
+        clauses.append(sorted((s for s in sets if not any(o < s for o in sets)), key=sorted))
+    return clauses
+
+
+def trigram_query(regex: str) -> list[frozenset[str]]:
+    """The clause of the longest mandatory strings; empty if the regex has no mandatory trigram."""
+    return next(iter(trigram_clauses(regex)), [])
+
+
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(_id, _key, _text): the key is the text's digest."""
+    return docs.select(F.col(id_col).alias("_id"), text_of(text_col).alias("_text")).select("_id", F.unhex(F.md5("_text")).alias("_key"), "_text")
 
 
-def _postings(docs: DataFrame, trigrams: list[str], id_col: str, text_col: str) -> DataFrame:
-    """(tri, id): which of the asked trigrams each document holds, letter case aside."""
-    low = docs.select(F.col(id_col).alias("_id"), F.lower(text_of(text_col)).alias("low"))
+def _postings(texts: DataFrame, trigrams: list[str]) -> DataFrame:
+    """(tri, _id, _key): which of the asked trigrams each document holds, letter case aside."""
+    low = texts.select("_id", "_key", F.lower("_text").alias("low"))
     held = F.array_compact(F.array(*(F.when(F.contains("low", F.lit(t)), F.lit(t)) for t in trigrams)))
-    return low.select("_id", F.explode(held).alias("tri"))
+    return low.select("_id", "_key", F.explode(held).alias("tri"))
 
 
 def _answers(rule: Rule) -> Column:
     """Whether a document's set of trigrams ``tris`` satisfies the rule's query."""
-    some = F.lit(False)
-    for needed in trigram_query(rule.regex):
-        some = some | (F.size(F.array_except(F.array(*map(F.lit, sorted(needed))), "tris")) == 0)
-    return some
-
-
-def candidates(docs: DataFrame, rules=BASE_RULES + ADDED_RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``_id`` and a boolean per indexed rule, for documents that some indexed rule may match."""
-    indexed = [r for r in rules if trigram_query(r.regex)]
-    trigrams = sorted({t for r in indexed for s in trigram_query(r.regex) for t in s})
-    index = staged(_postings(docs, trigrams, id_col, text_col))
-    by_doc = index.groupBy("_id").agg(F.collect_set("tri").alias("tris"))  # at most len(trigrams) values
-    flags = by_doc.select("_id", *(_answers(r).alias(f"may_{r.kind}") for r in indexed))
+    every = F.lit(True)
+    for clause in trigram_clauses(rule.regex):
+        some = F.lit(False)
+        for needed in clause:
+            some = some | (F.size(F.array_except(F.array(*map(F.lit, sorted(needed))), "tris")) == 0)
+        every = every & some
+    return every
+
+
+def candidates(texts: DataFrame, indexed: list[Rule]) -> DataFrame:
+    """(_id, _key) and a boolean per rule, for the documents of `_texts` that some rule may match."""
+    trigrams = sorted({t for r in indexed for c in trigram_clauses(r.regex) for s in c for t in s})
+    index = staged(_postings(texts, trigrams))
+    by_doc = index.groupBy("_id", "_key").agg(F.collect_set("tri").alias("tris"))  # at most len(trigrams) values
+    flags = by_doc.select("_id", "_key", *(_answers(r).alias(f"may_{r.kind}") for r in indexed))
     return flags.where(" or ".join(f"may_{r.kind}" for r in indexed))
 
 
 def _with_spans(df: DataFrame, rule: Rule, order: int, may: Column) -> DataFrame:
     """Adds ``_sp_<kind>``. A prefix sum in two levels: blocks of 64 matches, then within the block."""
     pattern, k = F.lit(rule.regex), rule.kind
-    hit = may & F.rlike("_text", pattern)
-    lens = lambda group: F.when(hit, F.transform(F.regexp_extract_all("_text", pattern, F.lit(group)), F.length)).otherwise(F.array().cast("array<int>"))
-    gaps = F.when(hit, F.transform(F.split("_text", rule.regex, -1), F.length)).otherwise(F.array().cast("array<int>"))
-    df = df.withColumns({f"_m_{k}": lens(0), f"_p_{k}": gaps} | ({f"_g_{k}": lens(rule.group)} if rule.group else {}))
+    none = F.array().cast("array<int>")
+    df = df.withColumn(f"_m_{k}", F.when(may, F.transform(F.regexp_extract_all("_text", pattern, F.lit(0)), F.length)).otherwise(none))
+    hit = F.size(f"_m_{k}") > 0
+    gaps = F.when(hit, F.transform(F.split("_text", rule.regex, -1), F.length)).otherwise(none)
+    kept = F.when(hit, F.transform(F.regexp_extract_all("_text", pattern, F.lit(rule.group)), F.length)).otherwise(none)
+    df = df.withColumns({f"_p_{k}": gaps} | ({f"_g_{k}": kept} if rule.group else {}))
     long_enough = f"_g_{k}" if rule.group else f"_m_{k}"
     df = df.withColumn(f"_t_{k}", F.expr(f"transform(_m_{k}, (m, i) -> m + _p_{k}[i])"))
     df = df.withColumn(f"_b_{k}", F.expr(f"transform(sequence(0, size(_t_{k}) div 64), b -> aggregate(slice(_t_{k}, int(b * 64 + 1), 64), 0, (a, x) -> a + x))"))
@@ -153,16 +168,26 @@ def find_secrets(docs: DataFrame, rules=BASE_RULES, added=ADDED_RULES, id_col: s
     order; matches of one kind are leftmost and do not overlap; too short ones are dropped.
     """
     every = (*rules, *added)
-    may = candidates(docs, every, id_col, text_col)
-    d = docs.select(F.col(id_col).alias("_doc"), text_of(text_col).alias("_text"))
-    # Merged whatever its size: a plan that broadcasts small candidate tables alone would behave otherwise on large ones.
-    df = d.join(may.hint("merge"), F.col("_doc").eqNullSafe(F.col("_id")), "left")
-    for order, rule in enumerate(every):
-        df = _with_spans(df, rule, order, F.coalesce(F.col(f"may_{rule.kind}"), F.lit(False)) if f"may_{rule.kind}" in may.columns else F.lit(True))
-    base = F.concat(*(F.col(f"_sp_{r.kind}") for r in rules))
+    order = {r.kind: k for k, r in enumerate(every)}
+    indexed = [r for r in every if trigram_clauses(r.regex)]
+    texts = _texts(docs, id_col, text_col)
+    spans = lambda some: [f"_sp_{r.kind}" for r in some]
+
+    may = staged(candidates(texts, indexed))
+    some = likely(texts, may, ["_id", "_key"]).dropDuplicates(["_id", "_key"]).alias("t")
+    found = some.join(may.alias("m"), F.expr("t._id <=> m._id and t._key = m._key")).select("t.*", *(f"may_{r.kind}" for r in indexed))
+    whole = texts
+    for rule in every:
+        if rule in indexed:
+            found = _with_spans(found, rule, order[rule.kind], F.col(f"may_{rule.kind}"))
+        else:
+            whole = _with_spans(whole, rule, order[rule.kind], F.lit(True))
+    found, whole = staged(found.select("_id", "_key", *spans(indexed))), whole.select("_id", "_key", *spans(r for r in every if r not in indexed))
+    df = whole.alias("w").join(found.alias("f"), F.expr("w._id <=> f._id and w._key = f._key"), "left").select(
+        "w._id", *(f"w._sp_{r.kind}" for r in every if r not in indexed), *(F.coalesce(f"f._sp_{r.kind}", F.array().cast(found.schema[f"_sp_{r.kind}"].dataType)).alias(f"_sp_{r.kind}") for r in indexed))
     return df.select(
-        F.col("_doc").alias(id_col),
+        F.col("_id").alias(id_col),
         *(F.size(f"_sp_{r.kind}").cast("long").alias(f"n_{r.kind}") for r in rules),
-        _listed(base).alias("base_spans"),
+        _listed(F.concat(*(F.col(f"_sp_{r.kind}") for r in rules))).alias("base_spans"),
         _listed(F.concat(*(F.col(f"_sp_{r.kind}") for r in every))).alias("spans"),
     )
