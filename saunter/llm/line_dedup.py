@@ -1,16 +1,22 @@
-"""Substring dedup by line hashing.
+"""Substring dedup by hashing of lines and of units below lines.
 
-Texts are cut into units at a separator (a line feed; two for paragraphs). A unit of at
-least ``least_words`` words is normalised (words between white space, A-Z lower-cased, one
-space apart) and hashed to 128 bits. Of all units with one digest the earliest stays, by
-(id, unit number); the rest are removed, with their offsets in the original text.
+`find_units` is the whole operator. Its units are all lines with a word, of any length, and, wherever
+lines begin and end, runs of 26 words that the words themselves choose (`content_cut`). Units are
+normalised (words between white space, A-Z lower-cased) and hashed to 128 bits. Of all units
+with one digest the earliest stays, by (id, row, place); the rest go, with their offsets in the
+original text. Units that go and touch or overlap make one span, so short lines count together;
+a span of fewer than ``least_words`` words stays where it is.
 
-Units are few and small beside texts: texts are not shuffled. The earliest unit is found
-with partial aggregation, so a line that a third of all documents have costs a row per task.
+`find_repeats` is the plain form: lines (or paragraphs) of at least ``least_words`` words, one row each.
+
+Texts are read once and not shuffled. The earliest unit is found with partial aggregation, so a
+line that a third of all documents have costs a row per task; only units whose digest may occur
+twice are shuffled behind that (`shared.split_likely`), and the largest groups meet by a broadcast of
+few keys (`shared.join_groups`).
 
 Defined results: a null text has no units; null ids rank last; repeated rows rank by their
 order of reading, so one of them keeps the unit; an empty table gives no rows; further
-columns pass through `remove_repeats` untouched.
+columns pass through `remove_units` and `remove_repeats` untouched, and these tell rows apart by number.
 """
 
 from __future__ import annotations

@@ -17,50 +17,62 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per row: n_shingles, component_id. No words: an empty set, linked with nothing. Null ids never name a component that has another; equal rows get equal results; an empty table gives no rows."""
     return ngram_join.jaccard_components(_documents(spark, sf_dir))
 
 
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per piece of a row. Null and empty texts are the end id alone; rows with one id or none are packed each for itself; an empty table gives no rows."""
     return packing.pack_documents(_documents(spark, sf_dir))
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per row: a learned language, or `und` with score 0 for a null text or one without a letter. Null ids are neither held out nor learned from; equal texts get equal results; an empty table gives no rows."""
     return langid.identify(_documents(spark, sf_dir))
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per row. Null texts have no words, items without words no windows; a null item id reads `null`; repeated rows get a row each; an empty benchmark leaves all clean."""
     return decontam.report(decontam.find_contamination(_documents(spark, sf_dir), _table(spark, sf_dir, "benchmark")))
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per row. Null text is the empty text; of equal texts the largest id stays, a null id only where all are null; rows that repeat an id and a text are marked alike; an empty table gives no rows."""
     return exact_dedup.mark_duplicates(_documents(spark, sf_dir), keep="largest")
 
 
 def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per row, read back from the store. Null text is the end id alone; null ids come first, repeated ids stand side by side; an empty table gives no rows."""
     return token_store.read_back(spark, token_store.write_store(_documents(spark, sf_dir)))
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per row: words, tokens and unknown words; null and empty texts have none; repeated rows get a row each; an empty table gives no rows."""
     return token_count.count_tokens(_documents(spark, sf_dir))
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per span to remove. Null texts have no units; the earliest of equal units stays by (id, row), null ids last; repeated rows lose all but the first; an empty table gives no rows."""
     return line_dedup.find_units(_documents(spark, sf_dir))
 
 
 def op8_repeated_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per repeated line of any length and per repeated passage of 50 words, exactly. Nulls, ties and empty tables as in `op8_substring_dedup`."""
     return line_dedup.repeated_text(_documents(spark, sf_dir))
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per repeated line of 20 words or more. Nulls, ties and empty tables as in `op8_substring_dedup`."""
     return line_dedup.find_repeats(_documents(spark, sf_dir))
 
 
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per row, null texts scored as empty ones. Null ids are neither held out nor learned from, null labels are not learned from; without labels all scores are 0.5; an empty table gives no rows."""
     return quality.classify(_documents(spark, sf_dir), _table(spark, sf_dir, "labels"))
 
 
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per row, null text as empty. Rows that repeat an id get a row each, by their own texts; an empty table gives no rows."""
     found = secrets.find_secrets(_documents(spark, sf_dir))
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base_spans", 256).alias("base_sha256"), "spans")
 
