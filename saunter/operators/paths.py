@@ -1,12 +1,12 @@
 """Recorded trajectories: path length, wrapped positions, touches and first passage.
 
-Steps are rows (trial_id, walker_id, step, l, theta, phi, x0, y0, z0, u). A window holds one
-walker's steps; for very long trajectories `prefix_sum` does the same in chunks.
+Steps are rows (trial_id, walker_id, step, l, theta, phi, x0, y0, z0, u). Running sums are made in
+chunks of a walker's steps (`running_sums`), so no task holds a whole trajectory.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from saunter.functions.exprs import direction, torus_dist2, wrap
@@ -14,22 +14,37 @@ from saunter.functions.exprs import direction, torus_dist2, wrap
 WALKER = ["walker_id"]
 
 
-def _running(part):
-    return Window.partitionBy(*part).orderBy("step").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+#: Steps of a walker that one window holds.
+CHUNK = 100_000
 
 
-def path_length(steps: DataFrame, part=WALKER) -> DataFrame:
+def running_sums(df: DataFrame, part, order: str, sums: dict[str, Column], chunk: int = CHUNK) -> DataFrame:
+    """Adds a running sum within ``part`` for each of ``sums``, dealt out by chunks of the order column (a whole number).
+
+    A chunk's offset is the sum of the chunks before it: a window over one row per chunk. All sums share
+    the shuffles.
+    """
+    part = list(part)
+    cut = df.withColumns({"_chunk": F.floor(F.col(order) / chunk).cast("long")} | {f"_s_{k}": v for k, v in sums.items()})
+    totals = cut.groupBy(*part, "_chunk").agg(*(F.sum(f"_s_{k}").alias(f"_t_{k}") for k in sums))
+    before = Window.partitionBy(*part).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(*(F.col(c).alias(f"_p_{c}") for c in (*part, "_chunk")), *(F.coalesce(F.sum(f"_t_{k}").over(before), F.lit(0.0)).alias(f"_b_{k}") for k in sums))
+    within = Window.partitionBy(*part, "_chunk").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inner = cut.withColumns({f"_w_{k}": F.sum(f"_s_{k}").over(within) for k in sums})
+    out = inner.join(offsets, [inner[c].eqNullSafe(offsets[f"_p_{c}"]) for c in (*part, "_chunk")])
+    return out.select(*(c for c in df.columns if c not in sums), *((F.col(f"_b_{k}") + F.col(f"_w_{k}")).alias(k) for k in sums))
+
+
+def path_length(steps: DataFrame, part=WALKER, chunk: int = CHUNK) -> DataFrame:
     """Adds ``time``: the path length up to and with each step."""
-    return steps.withColumn("time", F.sum("l").over(_running(part)))
+    return running_sums(steps, part, "step", {"time": F.col("l")}, chunk)
 
 
-def wrapped_position(steps: DataFrame, side: float, part=WALKER) -> DataFrame:
+def wrapped_position(steps: DataFrame, side: float, part=WALKER, chunk: int = CHUNK) -> DataFrame:
     """Adds time and x, y, z after each step. Sums are wrapped once, so they may differ from stepwise wrapping by rounding."""
-    w = _running(part)
-    out = steps.withColumn("time", F.sum("l").over(w))
-    for a, d in zip("xyz", direction("theta", "phi")):
-        out = out.withColumn(a, wrap(F.col(f"{a}0") + F.sum(F.col("l") * d).over(w), side))
-    return out
+    moved = dict(zip("xyz", (F.col("l") * d for d in direction("theta", "phi"))))
+    out = running_sums(steps, part, "step", {"time": F.col("l"), **moved}, chunk)
+    return out.withColumns({a: wrap(F.col(f"{a}0") + F.col(a), side) for a in "xyz"})
 
 
 def hits_of_ball(positions: DataFrame, centre, radius: float, side: float) -> DataFrame:
@@ -80,16 +95,6 @@ def trial_complete(walkers: DataFrame, passages: DataFrame, trial: str = "trial_
     return all_in.groupBy(trial).agg(F.count("*").alias("walkers"), F.first("best_time").alias("best_time"), F.bool_and(done).alias("complete"))
 
 
-def prefix_sum(df: DataFrame, part, order: str, value: str, chunk: int = 100_000, name: str = "running") -> DataFrame:
-    """Running sum within ``part``, dealt out by chunks of the order column (a whole number).
-
-    A chunk's offset is the sum of the chunks before it: a window over one row per chunk.
-    """
-    part = list(part)
-    cut = df.withColumn("_chunk", F.floor(F.col(order) / chunk).cast("long"))
-    sums = cut.groupBy(*part, "_chunk").agg(F.sum(value).alias("_sum"))
-    before = Window.partitionBy(*part).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.withColumn("_before", F.coalesce(F.sum("_sum").over(before), F.lit(0.0))).drop("_sum")
-    within = Window.partitionBy(*part, "_chunk").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = cut.withColumn("_within", F.sum(value).over(within)).join(offsets, [*part, "_chunk"])
-    return out.withColumn(name, F.col("_before") + F.col("_within")).drop("_chunk", "_before", "_within")
+def prefix_sum(df: DataFrame, part, order: str, value: str, chunk: int = CHUNK, name: str = "running") -> DataFrame:
+    """`running_sums` of one column."""
+    return running_sums(df, part, order, {name: F.col(value)}, chunk)

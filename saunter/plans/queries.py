@@ -44,6 +44,11 @@ VIEWS = {
                CASE p_partkey % 6 WHEN 0 THEN 'Ball' WHEN 1 THEN 'Line' WHEN 2 THEN 'Disk' WHEN 3 THEN 'Square'
                     WHEN 4 THEN 'Ball_boundary' ELSE 'Ball_no_boundary' END AS TargetShape, 0.5E0 AS delta
         FROM {part}"""),
+    "other_targets": ("part", """
+        SELECT p_partkey AS target_id, 1.7E0 * p_retailprice - 512 * FLOOR(1.7E0 * p_retailprice / 512) AS x, CAST(93 * p_size % 5120 AS DOUBLE) / 10 AS y,
+               CAST(111 * p_partkey % 5120 AS DOUBLE) / 10 AS z, CAST(CASE WHEN p_partkey % 4 < 2 THEN p_size ELSE 400 * p_size END AS DOUBLE) AS D,
+               CASE p_partkey % 4 WHEN 0 THEN '3Line' WHEN 1 THEN '3Line_convex_hull' WHEN 2 THEN '2D_rectangle' ELSE 'prism_with_elongation' END AS TargetShape, 0.5E0 AS delta
+        FROM {part}"""),
 }
 
 
@@ -351,6 +356,20 @@ def region_hits(points, targets):
     return space.region_hits(points, targets, 512.0).select("event_id", "target_id", "TargetShape")
 
 
+@query("region_hits_other_shapes", f"""AND_WITH d AS (SELECT event_id, target_id, TargetShape, D, delta, p.x AS px, p.y AS py, p.z AS pz, {DELTAS} FROM points p, other_targets t)
+    SELECT event_id, target_id, TargetShape FROM d WHERE CASE TargetShape
+        WHEN '3Line' THEN (dx * dx + dy * dy <= 1 AND dz <= D + 1) OR (dx * dx + dz * dz <= 1 AND dy <= D + 1) OR (dy * dy + dz * dz <= 1 AND dx <= D + 1)
+        WHEN '3Line_convex_hull' THEN dx + dy + dz <= D + 1 WHEN '2D_rectangle' THEN dx < POW(D, delta) / 2 AND dy < POW(D, 1 - delta) / 2 AND dz < 1
+        ELSE GREATEST(ABS(px), ABS(py)) < (SQRT(D) + 2) / 2 AND ABS(pz) < (POW((SQRT(D) + 2) / 2, delta) + 2) / 2 END""", ("points", "other_targets"))
+def region_hits_other_shapes(points, targets):
+    return space.region_hits(points, targets, 512.0).select("event_id", "target_id", "TargetShape")
+
+
+@query("plane_distances", "SELECT event_id, ROUND(SQRT(POW(LEAST(ABS(x - 64), 512 - ABS(x - 64)), 2) + POW(LEAST(ABS(y - 448), 512 - ABS(y - 448)), 2)), 4) AS dist FROM points WHERE event_id % 3 = 0", ("points",))
+def plane_distances(points):
+    return points.where("event_id % 3 = 0").select("event_id", F.round(X.torus_dist(("x", "y"), (F.lit(64.0), F.lit(448.0)), 512), 4).alias("dist"))
+
+
 PLACED = """AND_WITH w AS (SELECT *, SUM(l) OVER o AS time, SUM(l * SIN(phi) * COS(theta)) OVER o AS sx, SUM(l * SIN(phi) * SIN(theta)) OVER o AS sy, SUM(l * COS(phi)) OVER o AS sz
         FROM steps WINDOW o AS (PARTITION BY walker_id ORDER BY step ROWS UNBOUNDED PRECEDING)),
     pos AS (SELECT trial_id, walker_id, step, u, time, x0 + sx - 128 * FLOOR((x0 + sx) / 128) AS x, y0 + sy - 128 * FLOOR((y0 + sy) / 128) AS y, z0 + sz - 128 * FLOOR((z0 + sz) / 128) AS z FROM w),
@@ -420,6 +439,60 @@ def prefix_sum_chunked(steps):
     return rounded(P.prefix_sum(steps, ["walker_id"], "step", "l", chunk=16).select("walker_id", "step", "running"))
 
 
+#: A placement of this kind is a plain sum: rounding edges are moved as for positions.
+@query("offset_placements", f"""SELECT walker_id, step, CAST(7 + 1000 * trial_id + walker_id AS BIGINT) AS seed, CAST(ROUND(CBRT(l * l * 1000)) AS INT) AS side, ROUND(POW(CAST(step AS DOUBLE), 3), 1) AS volume,
+    ROUND(p - 128 * FLOOR(p / 128) + {OFF_EDGE}, 4) AS x, ROUND(q - 128 * FLOOR(q / 128) + {OFF_EDGE}, 4) AS y, ROUND(r - 128 * FLOOR(r / 128) + {OFF_EDGE}, 4) AS z
+    FROM (SELECT *, 64 + 40 * l * SIN(phi) * COS(theta) AS p, 64 + 40 * l * SIN(phi) * SIN(theta) AS q, 64 + 40 * l * COS(phi) AS r FROM steps)""", ("steps",))
+def offset_placements(steps):
+    place = X.offset_placement(F.col("l") * 40, "theta", "phi", F.lit(128))
+    return steps.select("walker_id", "step", X.cell_seed(F.lit(7), "trial_id", "walker_id").cast("long").alias("seed"), X.side_from_volume(F.col("l") * F.col("l") * 1000).alias("side"),
+                        F.round(X.volume_from_side("step"), 1).alias("volume"), *(F.round(c + OFF_EDGE, 4).alias(a) for a, c in zip("xyz", place)))
+
+
+@query("multi_target_passage", PLACED + """, tg AS (SELECT * FROM (VALUES (1, 64.0), (2, 80.0)) v(target_no, c)),
+    mh AS (SELECT walker_id, step, target_no, time, u, ROW_NUMBER() OVER (PARTITION BY walker_id ORDER BY step, target_no) AS touch_no FROM pos, tg WHERE POW(LEAST(ABS(x - c), 128 - ABS(x - c)), 2) + POW(LEAST(ABS(y - c), 128 - ABS(y - c)), 2) + POW(LEAST(ABS(z - c), 128 - ABS(z - c)), 2) <= 900)
+    SELECT walker_id, step, CAST(touch_no AS INT) AS touch_no, target_no, ROUND(time, 6) AS time FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY walker_id ORDER BY step, target_no) AS k FROM mh WHERE touch_no >= 3 OR u <= 0.2) WHERE k = 1""", ("steps",))
+def multi_target_passage(steps):
+    placed = P.wrapped_position(steps, SIDE)
+    hits = [P.hits_of_ball(placed, (c,) * 3, 30.0, SIDE).withColumn("target_no", F.lit(k)) for k, c in ((1, 64.0), (2, 80.0))]
+    return rounded(P.first_passage(hits[0].unionByName(hits[1]), 3, 0.2, order=("step", "target_no"), carry=("target_no", "time")))
+
+
+@query("volume_grid", """AND_WITH ex AS (SELECT DISTINCT TargetShape AS experiment FROM trials), mus AS (SELECT DISTINCT mu FROM trials), ds AS (SELECT DISTINCT surface AS d FROM trials),
+    c AS (SELECT experiment, mu, d AS DiskDiameter, shape AS TargetShape, CASE WHEN shape = 'Disk' THEN d WHEN shape = 'Ball_no_boundary' THEN CBRT(6 * (4 * PI() + 2 * PI() * d) / PI()) END AS D
+          FROM ex, mus, ds, (SELECT experiment AS shape FROM ex) v)
+    SELECT experiment, mu, DiskDiameter, TargetShape, ROUND(D, 6) AS D, 256 AS lmax, ROUND(POW(512.0, 3), 1) AS n_volume FROM c WHERE D IS NOT NULL""")
+def volume_grid(trials):
+    levels = trials.agg(F.collect_set("mu").alias("rangemu_LevyDistrib"), F.collect_set("surface").alias("range_disk_diameter"), F.collect_set("TargetShape").alias("list_shapes"))
+    params = levels.withColumn("experiment", F.explode("list_shapes")).withColumns({"range_side": F.array(F.lit(512)), "range_ntargets": F.array(F.lit(1)), "range_nwalkers": F.array(F.lit(1)), "reference_shape": F.lit("Disk")})
+    return rounded(G.volume_cells(params).select("experiment", "mu", "DiskDiameter", "TargetShape", "D", "lmax", "n_volume"))
+
+
+SIZED = """AND_WITH g AS (SELECT mu, TargetShape, surface AS size, D, MEDIAN(detection_time) AS t FROM trials WHERE n_walkers = 1 AND n_targets = 1 AND fixed_target_dist = 0 AND probability = 1 AND mu IN (1.0, 2.0) GROUP BY ALL),
+    r AS (SELECT a.mu, a.size + 2 AS x, a.t / b.t AS ratio, a.D AS da, b.D AS db FROM g a JOIN g b ON a.TargetShape = 'Ball_no_boundary' AND b.TargetShape = '{}' AND a.mu = b.mu AND a.size = b.size)
+    SELECT CAST(NULL AS VARCHAR) AS facet, 'mu=' || CAST(CAST(mu AS DECIMAL(3, 1)) AS VARCHAR) AS series, x, ROUND(ratio, 6) AS y FROM r UNION ALL SELECT NULL, 'theory', x, {} FROM r WHERE mu = 2"""
+
+
+@query("series_ball_vs_disk", SIZED.format("Disk", "1.0"))
+def series_ball_vs_disk(trials):
+    return rounded(J.ball_ratio_vs_size(trials.withColumn("DiskDiameter", F.col("surface")), 1, 1, 0.0, 1.0, [1.0, 2.0]))
+
+
+@query("series_ball_vs_line_area", SIZED.format("Line", "ROUND((PI() + 2 * db) / (da * da), 6)"))
+def series_ball_vs_line_area(trials):
+    return rounded(J.ball_ratio_vs_size(trials.withColumn("DiskDiameter", F.col("surface")), 1, 1, 0.0, 1.0, [1.0, 2.0], "Line"))
+
+
+@query("empty_slice", "SELECT mu, surface, TargetShape, n_walkers, AVG(detection_time) AS detection_time FROM trials WHERE mu = 9.5 GROUP BY mu, surface, TargetShape, n_walkers")
+def empty_slice(trials):
+    return S.cond_mean(S.checked(S.slice_eq(trials, {"mu": 9.5})), S.BASE_KEYS)
+
+
+@query("surface_exponents", "SELECT CAST(FLOOR(LOG2(surface)) AS INT) AS exponent, CASE TargetShape WHEN 'Ball_no_boundary' THEN 'Ball' ELSE TargetShape END AS label, COUNT(*) AS n FROM trials GROUP BY ALL")
+def surface_exponents(trials):
+    return trials.groupBy(X.surface_exponent("surface").alias("exponent"), X.shape_label("TargetShape").alias("label")).agg(F.count("*").alias("n"))
+
+
 def live_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The running summary over a stream of the trial table's file, drained."""
     import uuid
@@ -447,8 +520,12 @@ def live_passage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _scratch(spark: SparkSession) -> str:
-    """The shared folder that the session names, or a default where it names none."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints").rstrip("/")
+    """The shared folder that the session names; a default only on one machine."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    master = spark.conf.get("spark.master", "")
+    if not base and (not master.startswith("local") or master.startswith("local-cluster")):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return (base or "/tmp/checkpoints").rstrip("/")
 
 
 QUERIES |= {"live_summary": live_summary, "live_passage": live_passage}

@@ -63,7 +63,7 @@ def ball_ratio_vs_size(trials: DataFrame, n_walkers, n_targets, fixed_target_dis
     return _points(ratios, reference, "ratio", F.format_string("mu=%.1f", F.col("mu"))).unionByName(_points(theory, reference, "y", F.lit("theory")))
 
 
-def time_vs_delta(trials: DataFrame, mus=(2.0, 2.5, 3.0), diameters=(50, 100, 200, 300, 400, 500), max_facets: int = 4) -> DataFrame:
+def time_vs_delta(trials: DataFrame, mus, diameters, max_facets: int = 4) -> DataFrame:
     """Mean detection time by delta, a series per mu, a facet per D; facets beyond ``max_facets`` go."""
     require_columns(trials, ["delta", "detection_time", "mu", "D"])
     means = S.cond_mean(S.slice_in(S.slice_in(trials, "mu", mus), "D", diameters), ["mu", "delta", "D"])

@@ -13,10 +13,10 @@ LISTS = {"rangemu_LevyDistrib": "double", "range_diam": "double", "range_disk_di
 
 
 def read_grid_values(spark: SparkSession, path: str) -> DataFrame:
-    """(experiment, key, raw): comment and blank lines skipped, the last value of a key wins."""
+    """(experiment, key, raw): comment and blank lines skipped, the last value of a key wins: by its part of the file, then its line there."""
     lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("experiment"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n"))
     pairs = lines.where(~F.col("value").startswith("#") & (F.length("value") >= 2) & F.col("value").contains("=")).select(
-        "experiment", "n", F.trim(F.substring_index("value", "=", 1)).alias("key"), F.ltrim(F.expr("substring(value, instr(value, '=') + 1)")).alias("raw"))
+        "experiment", F.struct("block", "n").alias("n"), F.trim(F.substring_index("value", "=", 1)).alias("key"), F.ltrim(F.expr("substring(value, instr(value, '=') + 1)")).alias("raw"))
     return pairs.groupBy("experiment", "key").agg(F.max_by("raw", "n").alias("raw"))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,7 +10,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from saunter.functions.exprs import clean, fixed
-from saunter.sources.schema import VARIANTS, schema, schema_of_header
+from saunter.sources.schema import TYPES, VARIANTS, schema, schema_of_header
+
+#: First lines of files that are read at a time.
+READERS = 32
 
 
 def require_columns(df: DataFrame, cols) -> DataFrame:
@@ -29,19 +33,53 @@ def union_trials(*dfs: DataFrame) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), dfs)
 
 
+def _files(spark: SparkSession, paths: list[str]) -> list[str]:
+    """The files that the paths (files, folders or globs) name, hidden ones and those of nested folders left out."""
+    hadoop, found = spark._jvm.org.apache.hadoop.fs, set()
+    for p in paths:
+        where = hadoop.Path(p)
+        fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+        for status in fs.globStatus(where) or []:
+            for x in fs.listStatus(status.getPath()) if status.isDirectory() else [status]:
+                if x.isFile() and x.getLen() and x.getPath().getName()[0] not in "._":
+                    found.add(x.getPath().toString())
+    return sorted(found)
+
+
+def _first_line(spark: SparkSession, file: str) -> str:
+    """The first line of a file; no more than its first buffer is read."""
+    io, where = spark._jvm.java.io, spark._jvm.org.apache.hadoop.fs.Path(file)
+    lines = io.BufferedReader(io.InputStreamReader(where.getFileSystem(spark._jsc.hadoopConfiguration()).open(where), "UTF-8"))
+    try:
+        return (lines.readLine() or "").strip()
+    finally:
+        lines.close()
+
+
 def _headers(spark: SparkSession, paths: list[str]) -> dict[str, list[str]]:
-    """header -> files. One job reads the first line of each file; the driver gets names only."""
-    lines = spark.read.text(paths).where(F.col("value").startswith("n_walkers,")).select("value", F.col("_metadata.file_path").alias("file")).distinct()
+    """header -> files, from the first line of each file. A file with a header of unknown columns is an error."""
+    files = _files(spark, paths)
+    with ThreadPoolExecutor(READERS) as pool:
+        lines = list(pool.map(lambda f: _first_line(spark, f), files))
     by_header: dict[str, list[str]] = {}
-    for r in lines.groupBy("value").agg(F.collect_list("file").alias("files")).collect():
-        by_header[r["value"].strip()] = sorted(r["files"])
+    for file, line in zip(files, lines):
+        if not {c.strip() for c in line.split(",")} & TYPES.keys():
+            raise ValueError(f"{file} has no header with known columns: {line[:200]!r}")
+        by_header.setdefault(line, []).append(file)
     return by_header
 
 
 def _unlike(spark: SparkSession, files: list[str]) -> list[str]:
-    """Of files with the same content, the first by name."""
-    seen = spark.read.format("binaryFile").load(files).groupBy(F.sha2("content", 256).alias("h")).agg(F.min("path").alias("path"))
-    return sorted(r["path"] for r in seen.select("path").collect())
+    """Of files with the same content, the first by name. Only files of one length are hashed."""
+    sizes = spark.read.format("binaryFile").load(files).select("path", "length").collect()  # a row per file; contents are not read
+    by_size: dict[int, list[str]] = {}
+    for r in sizes:
+        by_size.setdefault(r["length"], []).append(r["path"])
+    alone, some = ([p for ps in by_size.values() if (len(ps) > 1) == many for p in ps] for many in (False, True))
+    if not some:
+        return sorted(alone)
+    seen = spark.read.format("binaryFile").load(some).groupBy(F.sha2("content", 256).alias("h")).agg(F.min("path").alias("path"))
+    return sorted(alone + [r["path"] for r in seen.select("path").collect()])
 
 
 def read_trials(spark: SparkSession, *paths: str, dedupe_files: bool = False) -> DataFrame:

@@ -1,5 +1,7 @@
 """Ratios, summaries, levels and trajectories: properties and edge cases."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -33,6 +35,17 @@ def test_named_aggregates(trials):
     assert a == 30 and b == 30
 
 
+def test_exact_medians_are_those_of_spark(spark):
+    r = random.Random(4)
+    rows = [(k, None if r.random() < 0.1 else r.choice([r.uniform(-5, 5), 1.0, 1e300, -1e300, float("nan"), 0.5])) for k in ["a", "b", None] for _ in range(301)]
+    rows += [("one", 3.0), ("same", 2.0), ("same", 2.0), ("nothing", None), ("two", 1.0), ("two", 4.0)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    v = F.when(~F.isnan("v"), F.col("v"))
+    want = {x["k"]: x["m"] for x in df.groupBy("k").agg(F.median(v).alias("m")).collect()}
+    assert {x["k"]: x["m"] for x in S.grouped_median(df, ["k"], v, "m").collect()} == want
+    assert S.cond_median(df, ["k"], "v", drop_null_keys=False).count() == len(want)
+
+
 def test_summary_of_one_value(trials):
     row = S.cond_summary(trials.where("mu = 2 and TargetShape = 'Ball'"), ["mu"]).first()
     assert (row["n"], row["mean"], row["std"], row["sem"]) == (1, 40.0, 0.0, 0.0)
@@ -97,7 +110,7 @@ def test_levels_and_facets(spark, trials):
 def test_series_of_nothing(trials):
     assert J.ratio_vs_mu(trials, 9).count() == 0 and J.time_vs_mu(trials, 9).columns == ["facet", "series", "x", "y"]
     with pytest.raises(ValueError, match="missing"):
-        J.time_vs_delta(trials)
+        J.time_vs_delta(trials, [2.0], [50])
     with pytest.raises(ValueError, match="missing"):
         J.ball_ratio_vs_size(trials, 1, 1, 0, 1, [1.0])
 
@@ -118,6 +131,14 @@ def test_chunked_prefix_sum(spark, chunk):
     assert both < 1e-8
 
 
+def test_positions_in_chunks(spark):
+    steps = walk(spark)
+    one, many = (P.wrapped_position(steps, 16.0, chunk=c).select("walker_id", "step", *(F.col(a).alias(a + str(c)) for a in ("time", "x", "y", "z"))) for c in (1000, 9))
+    both = one.join(many, ["walker_id", "step"])
+    far = F.greatest(*(F.least(F.abs(F.col(f"{a}1000") - F.col(f"{a}9")), 16 - F.abs(F.col(f"{a}1000") - F.col(f"{a}9"))) for a in "xyz"), F.abs(F.col("time1000") - F.col("time9")))
+    assert both.count() == 1500 and both.select(F.max(far)).first()[0] < 1e-8
+
+
 def test_passage_rules(spark):
     rows = [(1, 1, s, float(s), u) for s, u in ((1, 0.9), (2, 0.1), (3, 0.9))] + [(1, 2, 5, 0.5, 0.9)]
     hits = spark.createDataFrame(rows, "trial_id long, walker_id long, step int, time double, u double")

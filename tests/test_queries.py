@@ -1,4 +1,4 @@
-"""Every query of the entry module that has SQL, side by side with DuckDB on the smallest tables."""
+"""Every query of the reference layer that has SQL, side by side with DuckDB on the smallest tables."""
 
 import os
 
@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from saunter.plans import queries as plans
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -24,12 +25,16 @@ def rows(pdf):
     return sorted(tuple(repr(v) if isinstance(v, float) else str(v) for v in r) for r in pdf.itertuples(index=False))
 
 
-@pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(plans.ORACLES))
 def test_query_equals_sql(spark, duck, name):
     got, want = entry.queries()[name](spark, SF).toPandas(), duck.sql(entry.oracle_sql()[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
     assert rows(got) == rows(want)
 
 
+def test_every_query_has_sql():
+    assert plans.QUERIES.keys() == plans.ORACLES.keys() and plans.ORACLES.items() <= entry.oracle_sql().items()
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
