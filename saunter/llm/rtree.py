@@ -11,12 +11,13 @@ from __future__ import annotations
 import numpy as np
 
 FANOUT = 8
+LEAST_GROUPS = 64
 CHUNK = 2048
 
 
 def group_counts(hashes: np.ndarray) -> np.ndarray:
-    """A set's point: two to four elements a group, in 64 to 4096 groups (a power of two)."""
-    groups = 1 << min(12, max(6, (len(hashes) // 4).bit_length()))
+    """A set's point: two to four elements a group, in LEAST_GROUPS to 4096 groups (a power of two)."""
+    groups = max(LEAST_GROUPS, 1 << min(12, (len(hashes) // 4).bit_length()))
     counts = np.bincount((hashes & np.uint64(groups - 1)).astype(np.int64), minlength=groups)
     return counts.astype(np.uint8 if counts.max(initial=0) < 256 else np.uint32)
 
@@ -28,12 +29,17 @@ def folded(points: list[np.ndarray]) -> np.ndarray:
 
 
 class RTree:
-    """Packed bottom-up: entries sorted by class, size and first coordinates; FANOUT children a node."""
+    """Packed bottom-up: entries sorted by class, size and first coordinates; FANOUT children a node.
 
-    def __init__(self, points: np.ndarray, sizes: np.ndarray, classes: np.ndarray):
+    An entry is a point with its size and class, or a box: the largest coordinates of several points,
+    with their ranges of sizes and of classes.
+    """
+
+    def __init__(self, points: np.ndarray, sizes: np.ndarray, classes: np.ndarray, most: np.ndarray | None = None, last: np.ndarray | None = None):
         self.order = np.lexsort((points[:, 1], points[:, 0], sizes, classes))
-        p, n, c = points[self.order], sizes[self.order], classes[self.order]
-        self.levels = [(p, n, n, c, c)]
+        most, last = sizes if most is None else most, classes if last is None else last
+        p = points[self.order]
+        self.levels = [(p, *(x[self.order] for x in (sizes, most, classes, last)))]
         while len(p) > 1:
             at = np.arange(0, len(p), FANOUT)
             p = np.maximum.reduceat(p, at)
