@@ -26,10 +26,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from saunter.llm.shared import crc_mod, staged
-from saunter.llm.words import utf8
+from saunter.llm.words import slices, utf8
 
-FEATURES = ("chars", "words", "word_length", "upper", "digits", "marks", "bars", "exclaims", "signs", "distinct_words", "distinct_lines",
-            "line_length", "repeats", "top_word", "short_words", "high_bytes", "stops", "long_words", "ends_marked")
+FEATURES = ("chars", "words", "word_length", "upper", "digits", "marks", "distinct_words", "distinct_lines",
+            "line_length", "repeats", "top_word", "short_words", "high_bytes", "stops", "long_words")
 MAX_TRAIN = 20_000
 BINS, PAIR_BINS, PAIRS = 64, 8, 6
 ROUNDS, PAIR_ROUNDS, RATE = 120, 40, 0.1
@@ -45,11 +45,10 @@ def text_features(text: bytes) -> list[float]:
     marks = count[33:48].sum() + count[58:65].sum() + count[91:97].sum() + count[123:127].sum()
     tally = Counter(words)
     sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
-    ends = sum(w[-1:] in b"!#$%&*|" for w in tally)
     return [np.log1p(len(text)), np.log1p(len(words)), sizes.mean() if len(words) else 0.0, upper / max(1, upper + lower), count[48:58].sum() / n,
-            marks / n, count[124] / m, count[33] / m, (count[35:39].sum() + count[42]) / m, len(tally) / m, len(set(lines)) / len(lines), np.log1p(len(words) / len(lines)),
+            marks / n, len(tally) / m, len(set(lines)) / len(lines), np.log1p(len(words) / len(lines)),
             sum(map(eq, words, words[1:])) / m, max(tally.values(), default=0) / m, (sizes <= 3).sum() / m, count[128:].sum() / n,
-            count[46] / m, (sizes > 15).sum() / m, ends / max(1, len(tally))]
+            count[46] / m, (sizes > 15).sum() / m]
 
 
 def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -57,7 +56,7 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches, 1):
             table = np.array([text_features(t) for t in utf8(b.column(1))]).reshape(-1, len(FEATURES))
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c) for c in np.ascontiguousarray(table.T))], names=["id", *FEATURES])
 
