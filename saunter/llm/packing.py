@@ -31,9 +31,11 @@ from pyspark.sql import functions as F
 
 from saunter.llm.shared import staged
 from saunter.llm.tokens import default_vocabulary, encoder
+from saunter.llm.words import slices
 
 CAPACITY = 4096
-SALTS = 64
+#: Pieces of one length that a task ranks, about.
+RANKED = 1 << 20
 
 
 def pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | None = None, id_col: str = "doc_id",
@@ -44,7 +46,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | None = N
     def cut(batches):
         n = TaskContext.get().partitionId() << 40
         words = encoder(path)
-        for b in batches:
+        for b in slices(batches, 1):
             cols = {k: [] for k in ("row", "at", "piece", "start", "length", "ids_crc32", "ids")}
             for at, text in enumerate(b.column(1).to_pylist()):
                 ids = words.encode(text)
@@ -156,13 +158,17 @@ def plan_rows(histogram: dict[int, int], capacity: int = CAPACITY) -> np.ndarray
 
 def pack(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """`pieces` (staged, so that ranks stay as they are) with sequence_id and offset."""
-    salted = parts.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("long"))
-    found = salted.groupBy("length", "salt").agg(F.count("*").alias("n")).collect()  # capacity * SALTS rows at most
-    counts = np.zeros((capacity + 1, SALTS), dtype=np.int64)
-    for r in found:
-        counts[r["length"], r["salt"]] = r["n"]
-    before = np.cumsum(counts, axis=1) - counts
-    plan = plan_rows({k: int(n) for k, n in enumerate(counts.sum(axis=1)) if n}, capacity)
+    lengths = {r["length"]: r["n"] for r in parts.groupBy("length").agg(F.count("*").alias("n")).collect()}  # capacity rows at most
+    salts = np.array([-(-lengths.get(k, 1) // RANKED) for k in range(capacity + 1)])
+    first = np.cumsum(salts) - salts  # where a length's salts stand in the list of all
+    salt = F.pmod(F.xxhash64("row", "piece"), F.get(F.lit(salts.tolist()), F.col("length").cast("int")))
+    salted = parts.withColumn("salt", (F.get(F.lit(first.tolist()), F.col("length").cast("int")) + salt).cast("long"))
+    counts = np.zeros(salts.sum(), dtype=np.int64)
+    for r in salted.groupBy("salt").agg(F.count("*").alias("n")).collect():  # a row per salt: one more for each RANKED pieces
+        counts[r["salt"]] = r["n"]
+    before = np.cumsum(counts) - counts
+    before -= np.repeat(before[first], salts)
+    plan = plan_rows(lengths, capacity)
 
     names = parts.columns
 
@@ -170,14 +176,14 @@ def pack(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         keys = (plan[:, 0] << 44) + plan[:, 1]
         for b in batches:
             length, salt, nth = (b.column(k).to_numpy() for k in ("length", "salt", "nth"))
-            rank = before[length, salt] + nth
+            rank = before[salt] + nth
             row = plan[np.searchsorted(keys, (length << 44) + rank, side="right") - 1]
             q = rank - row[:, 1]
             new = {"sequence_id": row[:, 3] + q // np.maximum(row[:, 2], 1), "offset": row[:, 4] + q % np.maximum(row[:, 2], 1) * length}
             kept = {k: b.column(k) for k in names}
             yield pa.RecordBatch.from_pydict(kept | {k: pa.array(v, pa.int64()) for k, v in new.items()})
 
-    nth = F.row_number().over(Window.partitionBy("length", "salt").orderBy("row", "piece")).cast("long") - 1
+    nth = F.row_number().over(Window.partitionBy("salt").orderBy("row", "piece")).cast("long") - 1
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in parts.schema) + ", sequence_id long, offset long"
     return salted.withColumn("nth", nth).mapInArrow(place, schema)
 
@@ -190,7 +196,10 @@ def pack_documents(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str |
 
 
 def sequences(packed: DataFrame) -> DataFrame:
-    """The packed sequences themselves, from rows with ids: sequence_id, length, ids (little-endian 32-bit)."""
+    """The packed sequences themselves, from rows with ids: sequence_id, length, ids (little-endian 32-bit).
+
+    Only the columns sequence_id, offset, length and ids are read; no rows give no sequences.
+    """
     parts = F.array_sort(F.collect_list(F.struct("offset", "ids")))  # capacity pieces at most
     joined = F.aggregate(parts, F.lit(b""), lambda acc, x: F.concat(acc, x["ids"]))
     return packed.groupBy("sequence_id").agg(F.sum("length").alias("length"), joined.alias("ids"))

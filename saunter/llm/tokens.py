@@ -1,10 +1,11 @@
 """Token ids of whole texts with the tokenizers library, through a memo of words.
 
-The normaliser and pre-tokeniser of the vocabularies used here never join text across a
+Where a vocabulary's pre-tokeniser drops white space (`drops_spaces`), no token crosses a
 space or line feed, so a text's ids are the ids of its words in a row. Words repeat, so
 the library sees each distinct word once per worker. A word of Latin letters with ASCII
 punctuation behind it is given to the library's BPE model directly (lower-cased, in the
-byte alphabet); any other word goes through the library's whole pipeline.
+byte alphabet); any other word goes through the library's whole pipeline. With any other
+vocabulary whole texts go through the library.
 """
 
 from __future__ import annotations
@@ -13,10 +14,12 @@ import re
 from functools import lru_cache
 
 import numpy as np
+import regex
 
 END_ID = 1
-#: Entries after which a worker's memos are emptied: bounds their memory.
-MEMO_WORDS, MEMO_CORES = 200_000, 700_000
+#: Entries after which a worker's memo of words is emptied, and after which that of cores begins a new
+#: generation (the last one is kept, and what is asked for again moves on): bounds their memory.
+MEMO_WORDS, MEMO_CORES = 100_000, 200_000
 
 
 def default_vocabulary() -> str:
@@ -32,6 +35,16 @@ def byte_alphabet() -> dict[int, int]:
     return {b: b for b in shown} | {b: 256 + i for i, b in enumerate(hidden)}
 
 
+def drops_spaces(spec: dict) -> bool:
+    """Whether a vocabulary's first pre-tokeniser keeps matches alone, and white space can't be in one."""
+    first = spec["pre_tokenizer"] or {}
+    first = first.get("pretokenizers", [first])[0]
+    if first.get("type") != "Split" or first.get("behavior") != "Removed" or not first.get("invert"):
+        return False
+    pattern = regex.compile(first["pattern"].get("Regex") or regex.escape(first["pattern"]["String"]))
+    return not any(c in m[0] for c in " \n" for probe in (c, f"a{c}", f"{c}a", f"1{c}1", f"!{c}!") for m in pattern.finditer(probe))
+
+
 class WordEncoder(dict):
     """word -> its ids as little-endian unsigned 32-bit integers; missing words are encoded."""
 
@@ -45,15 +58,19 @@ class WordEncoder(dict):
         super().__init__()
         self.library = Tokenizer.from_file(path)
         self.model, self.alphabet, self.cores = self.library.model, byte_alphabet(), {}
+        self.older: dict[str, bytes] = {}
         self.packed = [i.to_bytes(4, "little") for i in range(self.library.get_vocab_size(with_added_tokens=True))]
         spec = json.load(open(path, encoding="utf-8"))
         kinds = {x.get("type") for x in [spec["normalizer"] or {}, *(spec["normalizer"] or {}).get("normalizers", [])]}
-        self.direct = "Lowercase" in kinds and spec["model"].get("end_of_word_suffix") == "</w>"
+        self.spaced = drops_spaces(spec)
+        self.direct = self.spaced and "Lowercase" in kinds and spec["model"].get("end_of_word_suffix") == "</w>"
 
     def _core(self, piece: str) -> bytes:
         if (ids := self.cores.get(piece)) is None:
-            shown = piece.encode().decode("latin-1").translate(self.alphabet)
-            ids = self.cores[piece] = b"".join([self.packed[t.id] for t in self.model.tokenize(shown)])
+            if (ids := self.older.get(piece)) is None:
+                shown = piece.encode().decode("latin-1").translate(self.alphabet)
+                ids = b"".join([self.packed[t.id] for t in self.model.tokenize(shown)])
+            self.cores[piece] = ids
         return ids
 
     def __missing__(self, word: str) -> bytes:
@@ -69,7 +86,9 @@ class WordEncoder(dict):
         if len(self) > MEMO_WORDS:
             self.clear()
         if len(self.cores) > MEMO_CORES:
-            self.cores.clear()
+            self.older, self.cores = self.cores, {}
+        if not self.spaced:
+            return np.array([*self.library.encode(text or "", add_special_tokens=False).ids, END_ID], "<u4").tobytes()
         words = (text or "").replace("\n", " ").split(" ")
         return b"".join(map(self.__getitem__, words)) + END_ID.to_bytes(4, "little")
 
