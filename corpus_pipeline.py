@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that the one before kept; every
 stage but the last returns the columns of ``documents``.
+
+Defined results: a row with a null text or without a letter goes in the first stage; a null id, source or
+language is no reason to go. Of rows that repeat an id and a text one stays. An empty table gives no rows.
+Further columns pass through all stages but the last, whatever they are called.
 """
 
 from __future__ import annotations
@@ -10,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from saunter.llm import decontam, exact_dedup, langid, ngram_join, packing
-from saunter.llm.shared import shared_dir
+from saunter.llm.shared import free_name, shared_dir
 
 #: A document stays if its language is told with this much probability; `und` has 0.
 LEAST_LANGUAGE_SCORE = 0.35
@@ -18,8 +22,9 @@ LEAST_LANGUAGE_SCORE = 0.35
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a recognisable language go; a missing language is filled in."""
-    found = langid.label(docs).where(F.col("lang_pred") != langid.UNKNOWN).where(F.col("lang_score") >= LEAST_LANGUAGE_SCORE)
-    return found.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+    pred, score = free_name(docs, "language_pred"), free_name(docs, "language_score")
+    found = langid.label(docs, names=(pred, score)).where((F.col(pred) != langid.UNKNOWN) & (F.col(score) >= LEAST_LANGUAGE_SCORE))
+    return found.withColumn("lang", F.coalesce("lang", pred)).select(*docs.columns)
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

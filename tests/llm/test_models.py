@@ -87,6 +87,22 @@ def test_contamination_is_brute_force(spark, monkeypatch, block_words, shard_wor
     assert all(sizes[k] == got[k][0] - got[k][1] for k in sizes)
 
 
+def test_ten_blocks_and_repeated_ids(spark):
+    """Many blocks give what one gives; spans are cut from the rows that have them, whatever their ids."""
+    r = random.Random(9)
+    items = [(k, " ".join(f"i{k}-{r.randrange(50)}" for _ in range(14))) for k in range(10)]
+    texts = [f"start {items[k][1]} end{k}" for k in range(10)] + ["clean text", None]
+    docs = table(spark, texts, [1, 1, 1, None, None, 2, 3, 4, 5, 6, 1, None]).withColumn("cut_spans", F.lit("mine"))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    one, many = ([tuple(x) for x in decontam.report(decontam.find_contamination(docs, bench, block_words=n)).orderBy("n_words", "items_sha256").collect()] for n in (1 << 20, 8))
+    assert sorted(map(str, one)) == sorted(map(str, many)) and sum(x[5] for x in one) == 10
+    clean = decontam.cut_contaminated(docs, bench, block_words=8)
+    assert clean.columns == docs.columns and {x["cut_spans"] for x in clean.collect()} == {"mine"}
+    assert sorted(" ".join(words(x["text"])) for x in clean.collect()) == sorted([*(f"start end{k}" for k in range(10)), "clean text", ""])
+    with pytest.raises(ValueError, match="repeats"):
+        decontam.remove_spans(docs, decontam.find_contamination(docs, bench))
+
+
 def test_nothing_to_search(spark):
     docs, bench = table(spark, ["a b c"]), spark.createDataFrame([], "item_id long, text string")
     assert decontam.report(decontam.find_contamination(docs, bench)).first()["contaminated"] is False
@@ -137,8 +153,63 @@ def test_trigram_queries():
     assert frozenset({"tok", "oke", "ken"}) in secrets.trigram_query(secrets.BASE_RULES[0].regex)
 
 
+def test_secrets_of_rows_that_share_an_id(spark):
+    docs = table(spark, ["password=abcdefgh1", "clean", "token: abcdefghijk", "clean", "secret=abcdefgh secret=abcdefgh"], [1, 1, None, None, None])
+    got = sorted((str(r["doc_id"]), r["n_assign"], r["spans"]) for r in secrets.find_secrets(docs).collect())
+    assert got == [("1", 0, ""), ("1", 1, "assign:0:18"), ("None", 0, ""), ("None", 1, "assign:0:18"), ("None", 2, "assign:0:15,assign:16:31")]
+
+
+def test_every_clause_is_asked():
+    assert secrets.trigram_clauses(r"abcd[0-9]+wxyz") == [[frozenset({"abc", "bcd"})], [frozenset({"wxy", "xyz"})]]
+    key = secrets.trigram_clauses(secrets.ADDED_RULES[0].regex)
+    assert len(key) == 2 and all(any(all(t in "-----begin rsa private key-----" for t in s) for s in clause) for clause in key)
+
+
 # Trained models
 
+def test_training_is_follow_the_regularised_leader():
+    """The weights against a plain loop over coordinates, one at a time."""
+    r = np.random.default_rng(3)
+    idf = r.uniform(0.5, 3, langid.BUCKETS)
+    examples = [(("en", "de", "fr")[k % 3], np.sort(r.choice(12, 5, replace=False)) + 10 * (k % 3), r.integers(1, 9, 5).astype(float)) for k in range(25)]
+    model = langid.train(examples, idf)
+    fit = [x for i, x in enumerate(examples) if i % 5]
+    z, n = {}, {}
+
+    def weight(key):
+        a, b = z.get(key, 0.0), n.get(key, 0.0)
+        return 0.0 if abs(a) <= langid.L1 else -(a - np.sign(a) * langid.L1) / ((langid.BETA + b**0.5) / langid.ALPHA + langid.L2)
+
+    for epoch in range(langid.EPOCHS):
+        for i in np.random.default_rng(epoch).permutation(len(fit)):
+            lang, buckets, counts = fit[i]
+            x = {int(b): c / counts.sum() * idf[b] * langid.SCALE for b, c in zip(buckets, counts)} | {-1: 1.0}
+            w = {(b, k): weight((b, k)) for b in x for k in range(3)}
+            logit = [sum(x[b] * w[b, k] for b in x) for k in range(3)]
+            p = np.exp(np.array(logit) - max(logit))
+            p /= p.sum()
+            p[model.languages.index(lang)] -= 1
+            for b, k in w:
+                g, old = x[b] * p[k], n.get((b, k), 0.0)
+                step = ((old + g * g) ** 0.5 - old**0.5) / langid.ALPHA
+                z[b, k], n[b, k] = z.get((b, k), 0.0) + g - step * w[b, k], old + g * g
+    for b in range(40):
+        for k in range(3):
+            assert model.weights[b, k] == pytest.approx(weight((b, k)) * idf[b] * langid.SCALE, rel=1e-4, abs=1e-6)
+    assert model.bias == pytest.approx([weight((-1, k)) for k in range(3)]) and (model.weights == 0).mean() > 0.9
+
+
+def test_scores_are_sums_of_table_entries():
+    r = np.random.default_rng(1)
+    x = r.normal(size=(400, len(quality.FEATURES))).round(1)
+    model = quality.train(x, (x[:, 0] + x[:, 1] * x[:, 2] + r.normal(size=400) > 0).astype(float))
+    assert model.pairs and model.tables.any()
+    for row, got in zip(x[:50], model.score(x[:50])):
+        place = lambda edges, k: sum(e <= row[k] for e in edges[k])
+        z = model.bias + sum(model.tables[k][place(model.edges, k)] for k in range(x.shape[1]))
+        z += sum(t[place(model.coarse, a), place(model.coarse, b)] for (a, b), t in model.pairs.items())
+        assert got == pytest.approx(1 / (1 + np.exp(-z)))
+
 def test_language_on_held_out_rows(spark):
     docs = spark.read.parquet(f"{SF.replace('0.001', '0.01')}/documents.parquet")
     got = langid.identify(docs).join(docs, "doc_id").toPandas()
@@ -218,6 +289,45 @@ def test_pipeline_stages(spark):
     assert {r["doc_id"] for r in packed} == kept["decontamination"].keys()
 
 
-def test_every_query_runs(spark):
-    assert [n.split("_")[0] for n in registry.QUERIES] == [f"op{k}" for k in range(1, 11)]
+def test_pipeline_edges(spark):
+    """Repeated and null ids, columns with the stages' own names, and an empty table."""
+    import corpus_pipeline
+
+    base = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id < 40")
+    more = base.where("doc_id < 3").union(base.where("doc_id between 3 and 5").withColumn("doc_id", F.lit(None).cast("long")).withColumn("text", F.concat(F.lit("Other beginning of it. "), "text")))
+    own = {c: F.lit(f"own {c}") for c in ("lang_pred", "lang_score", "language_pred", "dedup_sha", "marks", "near_id", "row_number", "sig", "row")}
+    docs = base.union(more).withColumns(own)
+    empty = docs.limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        docs, empty = stage(spark, docs, SF), stage(spark, empty, SF)
+        assert empty.count() == 0
+        if name == "packing":
+            break
+        docs = docs.cache()
+        assert docs.columns == [*base.columns, *own] == empty.columns
+        assert all(r[c] == f"own {c}" for r in docs.collect() for c in own)
+        ids = [r["doc_id"] for r in docs.collect() if r["doc_id"] is not None]
+        if name != "language_id":
+            assert len(ids) == len(set(ids))
+    assert docs.count() > 0
+
+
+CONTRACTS = {
+    "op1": {"doc_id", "n_shingles", "component_id"}, "op2": {"doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"}, "op3": {"doc_id", "held_out", "lang_pred", "score"},
+    "op4": {"doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"}, "op5": {"doc_id", "keep_id", "group_size", "kept", "text_sha256"}, "op6": {"doc_id", "start", "n_tokens", "ids_crc32"},
+    "op7": {"doc_id"}, "op8": {"doc_id"}, "op9": {"doc_id", "held_out", "score", "predicted"}, "op10": {"doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"},
+}
+
+
+@pytest.mark.parametrize("name", registry.QUERIES)
+def test_every_query_runs(spark, name):
+    found, n = registry.QUERIES[name](spark, SF), name.split("_")[0]
+    assert CONTRACTS[n] <= set(found.columns)
+    rows = found.toPandas()
+    docs = {r["doc_id"] for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id").collect()}
+    assert set(rows["doc_id"]) == docs if n != "op8" else set(rows["doc_id"]) <= docs and len(rows)
+
+
+def test_every_operator_has_a_query():
+    assert list(dict.fromkeys(n.split("_")[0] for n in registry.QUERIES)) == [f"op{k}" for k in range(1, 11)]
     assert all(words(n) for n in registry.ORACLES)

@@ -10,7 +10,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from saunter.llm import exact_dedup, graph, line_dedup, ngram_join, passages, rtree
+from saunter.llm import exact_dedup, graph, line_dedup, ngram_join, passages, rtree, shared
+from saunter.llm.words import HashedWords
 
 COLS = "doc_id long, text string, lang string, keep_id string, group_size long, _id string, row string, sig string, start string, spans string"
 
@@ -69,9 +70,11 @@ def near_copies(seed=1, n=40):
     return out
 
 
-@pytest.mark.parametrize("block", [512, 3])
-def test_components_are_brute_force(spark, monkeypatch, block):
+@pytest.mark.parametrize("block,far", [(512, 8), (3, 0), (3, 10**9)])
+def test_components_are_brute_force(spark, monkeypatch, block, far):
+    """With blocks of any size, and with some, all or no elements far above the mean."""
     monkeypatch.setattr(ngram_join, "BLOCK", block)
+    monkeypatch.setattr(ngram_join, "FAR_ABOVE", far)
     texts = near_copies()
     texts += [texts[9], texts[9]]
     ids = [None if k == 12 else k * 3 % 1009 for k in range(len(texts) - 1)] + [27]
@@ -150,6 +153,19 @@ def test_exact_dedup_drops_rows(spark):
     assert exact_dedup.drop_duplicates(docs.limit(0)).count() == 0
 
 
+def test_exact_dedup_keeps_columns_of_any_name(spark):
+    docs = table(spark, ["a", "a", "b"], [1, 2, 3]).withColumns({"dedup_sha": F.lit("s"), "dedup_id": F.lit("i"), "marks": F.lit("m"), "__dedup_sha": F.lit("t")})
+    kept = exact_dedup.drop_duplicates(docs)
+    assert kept.columns == docs.columns
+    assert sorted((r["doc_id"], r["dedup_sha"], r["dedup_id"], r["marks"], r["__dedup_sha"]) for r in kept.collect()) == [(1, "s", "i", "m", "t"), (3, "s", "i", "m", "t")]
+
+
+def test_links_with_null_ends(spark):
+    links = spark.createDataFrame([(3, 1), (3, 1), (5, 5), (None, 7), (8, None)], "a long, b long")
+    assert {r["v"]: r["comp"] for r in graph.components(links).collect()} == {1: 1, 3: 1, 5: 5}
+    assert graph.components(links.limit(0)).count() == 0
+
+
 def test_repeated_lines(spark):
     long = " ".join(f"w{k}" for k in range(60))
     texts = [f"start\n{long}\nend", f"{long.upper()}\nother", None, "", f"x\n\n  {long.replace(' ', '  ')} \n{long}", "short line\nshort line"]
@@ -208,6 +224,122 @@ def test_passages_inside_other_lines(spark):
     assert (x["kind"], x["doc_id"], x["unit"], x["start"], x["n_words"], x["keep_id"], x["keep_unit"]) == ("passage", 1, 3, 20, 50, 0, 2)
 
 
+def unit_starts(texts):
+    """Earliest (text, word) of each line and of each run of 26 words."""
+    lines, runs = {}, {}
+    for i, t in enumerate(texts):
+        at = 0
+        for line in (t or "").split("\n"):
+            w = words(line)
+            if w:
+                lines.setdefault(tuple(w), (i, at))
+            at += len(w)
+        w = words(t)
+        for k in range(len(w) - 25):
+            runs.setdefault(tuple(w[k : k + 26]), (i, k))
+    return lines, runs
+
+
+def test_units_to_remove(spark):
+    """Whatever goes lies in a line or a run that stands earlier; of every 50 words that do, some go."""
+    texts = passage_texts()
+    r = random.Random(8)
+    texts += ["\n".join(r.choice(["a short line", "one more line of words", " ".join(f"q{k}" for k in range(30)), " ".join(r.choice("xyz") * 2 for _ in range(9))]) for _ in range(12)) for _ in range(6)]
+    lines, runs = unit_starts(texts)
+    gone = {i: set() for i in range(len(texts))}
+    for x in line_dedup.find_units(table(spark, texts)).collect():
+        t, new = texts[x["doc_id"]], set(range(x["word"], x["word"] + x["n_words"]))
+        assert words(t[x["start"] : x["end"]]) == words(t)[x["word"] : x["word"] + x["n_words"]] and x["n_words"] >= 20
+        assert not new & gone[x["doc_id"]] and x["keep_id"] <= x["doc_id"]
+        gone[x["doc_id"]] |= new
+    for i, t in enumerate(texts):
+        w, held, at = words(t), set(), 0
+        for line in (t or "").split("\n"):
+            n = len(words(line))
+            if n and lines[tuple(words(line))] != (i, at):
+                held |= set(range(at, at + n))
+            at += n
+        for k in range(len(w) - 25):
+            if runs[tuple(w[k : k + 26])] != (i, k):
+                held |= set(range(k, k + 26))
+        assert gone[i] <= held
+    first = {}
+    for i, t in enumerate(texts):
+        w = words(t)
+        for k in range(len(w) - 49):
+            j, q = first.setdefault(tuple(w[k : k + 50]), (i, k))
+            if j != i:
+                assert len(gone[i] & set(range(k, k + 50))) >= 26
+            elif k >= q + 50:
+                assert gone[i] & set(range(k, k + 50))
+    assert sum(map(bool, gone.values())) > 20
+    assert line_dedup.find_units(table(spark, texts).limit(0)).count() == 0
+
+
+def test_units_go_from_their_rows(spark):
+    """Ids may repeat or be null: rows are told apart, other rows and columns stay as they are."""
+    run = " ".join(f"w{k}" for k in range(60))
+    texts = [f"{run}\nfirst", f"second\n{run}", "other text", f"{run}\nthird", None, run]
+    docs = table(spark, texts, [7, 7, 7, None, None, 3]).withColumn("row_number", F.lit("mine"))
+    clean = line_dedup.remove_units(docs)
+    assert clean.columns == docs.columns and {r["row_number"] for r in clean.collect()} == {"mine"}
+    got = sorted((str(r["doc_id"]), words(r["text"]), r["text"] is None) for r in clean.collect())
+    want = [("3", words(run), False), ("7", ["first"], False), ("7", ["second"], False), ("7", ["other", "text"], False), ("None", ["third"], False), ("None", [], True)]
+    assert got == sorted(want)
+    lines = line_dedup.remove_repeats(docs)
+    assert sorted((str(r["doc_id"]), words(r["text"]), r["text"] is None) for r in lines.collect()) == sorted(want)
+    assert line_dedup.remove_units(docs.limit(0)).count() == 0 == line_dedup.remove_repeats(docs.limit(0)).count()
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text("ab é\u3000\x85\n\t\x0b\x1c Z", max_size=40) | st.text(max_size=20) | st.text("x", min_size=15, max_size=40), max_size=6))
+def test_hashed_words_are_the_words(texts):
+    w = HashedWords([t.encode() for t in texts])
+    chars = w.characters()
+    known = {}
+    for k, t in enumerate(texts):
+        own, first = words(t), w.firsts[k]
+        assert w.firsts[k + 1] - first == len(own)
+        spots = [m.span() for m in re.finditer(r"[^\x20\x09-\x0D]+", t)]
+        assert [(int(chars[w.starts[first + n]] - chars[w.begins[k]]), int(chars[w.ends[first + n]] - chars[w.begins[k]])) for n in range(len(own))] == spots
+        for n, x in enumerate(own):
+            assert known.setdefault(x, int(w.hashes[first + n])) == w.hashes[first + n]
+    assert len(set(known.values())) == len(known)
+
+
+def test_bitmap_loses_no_key(spark):
+    rows = spark.range(2000).select("id", (F.col("id") % 700).cast("string").alias("k"), F.lit(1).alias("marks"))
+    keys = rows.where("id % 11 = 0").select("k").distinct()
+    some, rest = shared.split_likely(rows, keys, ["k"])
+    assert some.columns == rest.columns == rows.columns and some.count() + rest.count() == 2000
+    assert rest.join(keys, "k").count() == 0 and some.count() < 1.1 * rows.join(keys, "k").count()
+    assert shared.likely(rows, keys.limit(0), ["k"]).count() == 0
+
+
+def test_long_texts_are_compared_whole(spark):
+    """Texts of thousands of words that differ behind their beginning."""
+    r = random.Random(2)
+    base = [f"w{r.randrange(10**6)}" for _ in range(6000)]
+    near, far = list(base), list(base)
+    near[5000:5100] = [f"n{k}" for k in range(100)]
+    far[2500:] = [f"f{k}" for k in range(3500)]
+    texts = [" ".join(x) for x in (base, near, far)] + ["y " * 20_000]
+    got = sorted((str(x["doc_id"]), x["n_shingles"], str(x["component_id"])) for x in ngram_join.jaccard_components(table(spark, texts)).collect())
+    assert got == brute_components(list(enumerate(texts)))
+    found = line_dedup.find_units(table(spark, texts)).collect()
+    assert {x["doc_id"] for x in found} == {1, 2, 3}
+
+
+def test_near_copies_with_null_ids(spark):
+    base = " ".join(f"w{k}" for k in range(100))
+    texts = [base, f"{base} x", f"{base} y", "alone here", " ".join(f"v{k}" for k in range(90)), " ".join(f"v{k}" for k in range(91)), None]
+    docs = table(spark, texts, [5, None, 2, None, None, None, None]).withColumn("near_id", F.lit("mine"))
+    kept = ngram_join.keep_one(docs)
+    assert kept.columns == docs.columns
+    got = sorted((str(r["doc_id"]), (r["text"] or "")[:5]) for r in kept.collect())
+    assert len(got) == 4 and got[0] == ("2", "w0 w1") and [x[1] for x in got[1:]] == ["", "alone", "v0 v1"]
+
+
 def test_passage_of_repeated_rows(spark):
     run = " ".join(f"w{k}" for k in range(60))
     found = passages.find_passages(table(spark, [run] * 4, [7, 7, None, None])).collect()
