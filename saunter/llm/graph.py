@@ -11,9 +11,9 @@ from saunter.llm.shared import staged
 def components(links: DataFrame, stage=staged) -> DataFrame:
     """(v, comp): for each vertex of ``links`` (a, b) the smallest vertex it is connected with.
 
-    Labels spread to neighbours and then jump to the label of their label; both steps are
+    Labels spread to neighbours and then jump to what their label's label was; both steps are
     joins on keys of staged tables (of a hub's links Spark makes several tasks when it runs), and
-    each round is staged. It ends when no label changes.
+    each round is one staged table. It ends when no label changes.
 
     Defined results: a link of a vertex with itself gives it a row; repeated links are one; null
     ends are no vertices, and a link that has one is left out; no links give no rows.
@@ -23,9 +23,9 @@ def components(links: DataFrame, stage=staged) -> DataFrame:
     labels = stage(both.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("m")).select("v", F.least("v", "m").alias("comp")))
     while True:
         near = both.join(labels.withColumnRenamed("v", "b"), "b").groupBy(F.col("a").alias("v")).agg(F.min("comp").alias("m"))
-        spread = stage(labels.withColumnRenamed("comp", "old").join(near, "v").select("v", "old", F.least("old", "m").alias("l")))
-        jump = spread.select(F.col("v").alias("l"), F.col("l").alias("ll"))
-        new = stage(spread.join(jump, "l", "left").select("v", "old", F.coalesce("ll", "l").alias("comp")))
+        spread = labels.withColumnRenamed("comp", "old").join(near, "v").select("v", "old", F.least("old", "m").alias("l"))
+        jump = labels.select(F.col("v").alias("l"), F.col("comp").alias("ll"))
+        new = stage(spread.join(jump, "l", "left").select("v", "old", F.least("l", "ll").alias("comp")))
         labels = new.select("v", "comp")
         if new.where("old <> comp").isEmpty():
             return labels

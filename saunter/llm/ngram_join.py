@@ -333,7 +333,7 @@ def _dealt(members: DataFrame, percent: int, stage: Scratch) -> DataFrame:
     """Members (sig, comp, ...) of groups with several components, in those pairs (i, j) of blocks that the boxes leave."""
     both = stage(_numbered_blocks(members))
     rows = both.where("box is null").select("block", "sig", "comp", "n", "point", "alone")
-    pairs = stage(_block_pairs(both.where("box is not null"), percent))
+    pairs = _block_pairs(both.where("box is not null"), percent)
     alone = rows.where("alone").drop("alone").withColumns({"i": F.col("block"), "j": F.col("block")})
     return alone.unionByName(rows.where("not alone").drop("alone").join(pairs, "block").drop("block").withColumnRenamed("own", "block"))
 
@@ -435,7 +435,7 @@ def _components(slim: DataFrame, size: int, percent: int) -> DataFrame:
     classes = stage(rows.where("n > 0").groupBy("sig").agg(F.min("id").alias("min_id"), F.first("n").alias("n"), F.first("point").alias("point"), F.count("*").alias("copies")))
     low = classes.select("sig", F.expr("conv(hex(substring(sig, 9, 8)), 16, -10)").cast("long").alias("lo"))
 
-    met = stage(_meetings(stage(_met(slim, spark.sparkContext.broadcast(_common(profile)), size, percent)), stage))
+    met = _meetings(stage(_met(slim, spark.sparkContext.broadcast(_common(profile)), size, percent)), stage)
     stars = met.join(low.select("lo", F.col("sig").alias("b")), "lo").join(low.select(F.col("lo").alias("lead"), F.col("sig").alias("a")), "lead")
     stars = stage(stars.select("a", "b").where("a <> b"))
     near = stage(_possible_stars(stars, classes, percent))
