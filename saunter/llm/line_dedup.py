@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from saunter.llm.passages import find_passages
-from saunter.llm.shared import cut_spans, join_groups, likely, numbered_rows, staged
+from saunter.llm.shared import Scratch, cut_spans, join_groups, likely, numbered_rows, staged
 from saunter.llm.words import HashedWords, mixed, slices, spaced_words, utf8
 
 LEAST_WORDS, PASSAGE_WORDS = 20, 50
@@ -151,10 +151,11 @@ def text_units(texts: DataFrame, least: int, within: int) -> DataFrame:
 
 def _spans(texts: DataFrame, least: int, least_words: int) -> DataFrame:
     """(id, row, word, start, end, n_words, keep_id, keep_word) of `find_units`, for ``texts`` (row, id, text)."""
-    found = staged(text_units(texts, least, max(least // 2, 1)))
+    stage = Scratch(texts.sparkSession)
+    found = stage(text_units(texts, least, max(least // 2, 1)))
     rank = F.struct(F.col("id").isNull().alias("late"), "id", "row", "at", "end", "last")
-    twice = staged(found.groupBy("a", "b").agg(F.min(rank).alias("keep"), F.count("*").alias("n")).where("n > 1"))
-    rest = join_groups(staged(likely(found, twice, ["a", "b"])), twice, ["a", "b"]).where(~((F.col("row") == F.col("keep.row")) & (F.col("at") == F.col("keep.at"))))
+    twice = stage(found.groupBy("a", "b").agg(F.min(rank).alias("keep"), F.count("*").alias("n")).where("n > 1"))
+    rest = join_groups(stage(likely(found, twice, ["a", "b"])), twice, ["a", "b"]).where(~((F.col("row") == F.col("keep.row")) & (F.col("at") == F.col("keep.at"))))
     inside = (F.col("row") == F.col("keep.row")) & (F.col("at") < F.col("keep.last"))  # the words that stay are not cut
     rest = rest.select("id", "row", F.when(inside, F.col("keep.last")).otherwise(F.col("at")).alias("word"), F.when(inside, F.col("keep.end")).otherwise(F.col("start")).alias("start"),
                        "last", "end", F.col("keep.id").alias("keep_id"), F.col("keep.at").alias("keep_word"))
@@ -163,8 +164,9 @@ def _spans(texts: DataFrame, least: int, least_words: int) -> DataFrame:
     rest = rest.withColumn("span", F.sum(F.coalesce(apart, F.lit(True)).cast("int")).over(order))
     head = F.min(F.struct("word", "start", "last", "keep_id", "keep_word"))
     spans = rest.groupBy("row", "span").agg(F.first("id").alias("id"), head.alias("head"), F.max("last").alias("last"), F.max("end").alias("end"))
-    return spans.select("id", "row", F.col("head.word").alias("word"), F.col("head.start").alias("start"), "end", (F.col("last") - F.col("head.word")).cast("long").alias("n_words"),
-                        F.col("head.keep_id").alias("keep_id"), F.col("head.keep_word").alias("keep_word")).where(F.col("n_words") >= least_words)
+    found = spans.select("id", "row", F.col("head.word").alias("word"), F.col("head.start").alias("start"), "end", (F.col("last") - F.col("head.word")).cast("long").alias("n_words"),
+                        F.col("head.keep_id").alias("keep_id"), F.col("head.keep_word").alias("keep_word"))
+    return stage.result(found.where(F.col("n_words") >= least_words))
 
 
 def find_units(docs: DataFrame, least: int = PASSAGE_WORDS, least_words: int = LEAST_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
