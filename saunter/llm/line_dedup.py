@@ -1,7 +1,7 @@
 """Substring dedup by hashing of lines and of units below lines.
 
 `find_units` is the whole operator. Its units are all lines with a word, of any length, and, wherever
-lines begin and end, runs of 26 words that the words themselves choose (`content_cut`). Units are
+lines begin and end, runs of 35 words that the words themselves choose (`content_cut`). Units are
 normalised (words between white space, A-Z lower-cased) and hashed to 128 bits. Of all units
 with one digest the earliest stays, by (id, row, place); the rest go, with their offsets in the
 original text. Units that go and touch or overlap make one span, so short lines count together;
@@ -34,6 +34,8 @@ from saunter.llm.shared import Scratch, cut_spans, join_groups, likely, numbered
 from saunter.llm.words import HashedWords, mixed, slices, spaced_words, utf8
 
 LEAST_WORDS, PASSAGE_WORDS = 20, 50
+#: Neighbouring runs of which one is a unit. Fewer: longer runs (so fewer short repeats go), and more of them.
+WITHIN = 16
 #: Odd numbers whose powers weight the words of a run.
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
@@ -152,7 +154,7 @@ def text_units(texts: DataFrame, least: int, within: int) -> DataFrame:
 def _spans(texts: DataFrame, least: int, least_words: int) -> DataFrame:
     """(id, row, word, start, end, n_words, keep_id, keep_word) of `find_units`, for ``texts`` (row, id, text)."""
     stage = Scratch(texts.sparkSession)
-    found = stage(text_units(texts, least, max(least // 2, 1)))
+    found = stage(text_units(texts, least, max(1, min(WITHIN, least // 2))))
     rank = F.struct(F.col("id").isNull().alias("late"), "id", "row", "at", "end", "last")
     twice = stage(found.groupBy("a", "b").agg(F.min(rank).alias("keep"), F.count("*").alias("n")).where("n > 1"))
     rest = join_groups(stage(likely(found, twice, ["a", "b"])), twice, ["a", "b"]).where(~((F.col("row") == F.col("keep.row")) & (F.col("at") == F.col("keep.at"))))
@@ -175,7 +177,7 @@ def find_units(docs: DataFrame, least: int = PASSAGE_WORDS, least_words: int = L
     Units are all lines with a word and, below lines, the runs that `content_cut` finds. Of the units
     with one digest the earliest stays, by (id, row, place). The others of a text that overlap or touch
     make a span; spans of fewer than ``least_words`` words stay: a short line on its own is not a passage.
-    Of any ``least`` words that stand in an earlier place, at least one unit goes.
+    Of any ``least`` words that stand in an earlier place, at least one unit of ``least - WITHIN + 1`` goes.
     ``keep_id`` and ``keep_word`` say where the first unit of the span stays.
     """
     texts = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))

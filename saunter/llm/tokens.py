@@ -17,9 +17,9 @@ import numpy as np
 import regex
 
 END_ID = 1
-#: Entries after which a worker's memo of words is emptied, and after which that of cores begins a new
-#: generation (the last one is kept, and what is asked for again moves on): bounds their memory.
-MEMO_WORDS, MEMO_CORES = 100_000, 200_000
+#: Entries after which a worker's memos of words and of cores begin a new generation: the last one is kept, and
+#: what is asked for again moves on. Bounds their memory.
+MEMO_WORDS, MEMO_CORES = 100_000, 300_000
 
 
 def default_vocabulary() -> str:
@@ -59,6 +59,7 @@ class WordEncoder(dict):
         self.library = Tokenizer.from_file(path)
         self.model, self.alphabet, self.cores = self.library.model, byte_alphabet(), {}
         self.older: dict[str, bytes] = {}
+        self.older_words: dict[str, bytes] = {}
         self.packed = [i.to_bytes(4, "little") for i in range(self.library.get_vocab_size(with_added_tokens=True))]
         spec = json.load(open(path, encoding="utf-8"))
         kinds = {x.get("type") for x in [spec["normalizer"] or {}, *(spec["normalizer"] or {}).get("normalizers", [])]}
@@ -74,7 +75,9 @@ class WordEncoder(dict):
         return ids
 
     def __missing__(self, word: str) -> bytes:
-        if self.direct and (m := self.plain.fullmatch(word)):
+        if (ids := self.older_words.get(word)) is not None:
+            pass
+        elif self.direct and (m := self.plain.fullmatch(word)):
             ids = self._core(m[1].lower()) + (self._core(m[2]) if m[2] else b"")
         else:
             ids = np.array(self.library.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
@@ -84,6 +87,7 @@ class WordEncoder(dict):
     def encode(self, text: str | None) -> bytes:
         """The ids of a whole text, then the end id."""
         if len(self) > MEMO_WORDS:
+            self.older_words = dict(self)
             self.clear()
         if len(self.cores) > MEMO_CORES:
             self.older, self.cores = self.cores, {}

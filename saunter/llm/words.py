@@ -7,7 +7,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Texts are taken together up to so many bytes: bounds what a task holds of them as Python objects.
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 500_000
 #: Lower-cases A-Z and turns every ASCII byte but a-z and 0-9 into a space; bytes from 0x80 stay.
 ALNUM_TABLE = bytes((b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32) for b in range(256))
 

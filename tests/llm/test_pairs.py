@@ -225,7 +225,7 @@ def test_passages_inside_other_lines(spark):
 
 
 def unit_starts(texts):
-    """Earliest (text, word) of each line and of each run of 26 words."""
+    """Earliest (text, word) of each line and of each run of 35 words."""
     lines, runs = {}, {}
     for i, t in enumerate(texts):
         at = 0
@@ -235,8 +235,8 @@ def unit_starts(texts):
                 lines.setdefault(tuple(w), (i, at))
             at += len(w)
         w = words(t)
-        for k in range(len(w) - 25):
-            runs.setdefault(tuple(w[k : k + 26]), (i, k))
+        for k in range(len(w) - 34):
+            runs.setdefault(tuple(w[k : k + 35]), (i, k))
     return lines, runs
 
 
@@ -259,9 +259,9 @@ def test_units_to_remove(spark):
             if n and lines[tuple(words(line))] != (i, at):
                 held |= set(range(at, at + n))
             at += n
-        for k in range(len(w) - 25):
-            if runs[tuple(w[k : k + 26])] != (i, k):
-                held |= set(range(k, k + 26))
+        for k in range(len(w) - 34):
+            if runs[tuple(w[k : k + 35])] != (i, k):
+                held |= set(range(k, k + 35))
         assert gone[i] <= held
     first = {}
     for i, t in enumerate(texts):
@@ -269,7 +269,7 @@ def test_units_to_remove(spark):
         for k in range(len(w) - 49):
             j, q = first.setdefault(tuple(w[k : k + 50]), (i, k))
             if j != i:
-                assert len(gone[i] & set(range(k, k + 50))) >= 26
+                assert len(gone[i] & set(range(k, k + 50))) >= 35
             elif k >= q + 50:
                 assert gone[i] & set(range(k, k + 50))
     assert sum(map(bool, gone.values())) > 20
