@@ -34,8 +34,8 @@ from saunter.llm.tokens import default_vocabulary, encoder
 from saunter.llm.words import slices
 
 CAPACITY = 4096
-#: Pieces of one length that a task ranks, about.
-RANKED = 1 << 20
+#: Pieces of one length that get a salt, at least, and salts that there are at most (and one for each length).
+RANKED, MOST_SALTS = 64, 1 << 16
 
 
 def pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | None = None, id_col: str = "doc_id",
@@ -159,12 +159,13 @@ def plan_rows(histogram: dict[int, int], capacity: int = CAPACITY) -> np.ndarray
 def pack(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """`pieces` (staged, so that ranks stay as they are) with sequence_id and offset."""
     lengths = {r["length"]: r["n"] for r in parts.groupBy("length").agg(F.count("*").alias("n")).collect()}  # capacity rows at most
-    salts = np.array([-(-lengths.get(k, 1) // RANKED) for k in range(capacity + 1)])
+    each = max(RANKED, -(-sum(lengths.values()) // MOST_SALTS))
+    salts = np.array([-(-lengths.get(k, 1) // each) for k in range(capacity + 1)])
     first = np.cumsum(salts) - salts  # where a length's salts stand in the list of all
     salt = F.pmod(F.xxhash64("row", "piece"), F.get(F.lit(salts.tolist()), F.col("length").cast("int")))
     salted = parts.withColumn("salt", (F.get(F.lit(first.tolist()), F.col("length").cast("int")) + salt).cast("long"))
     counts = np.zeros(salts.sum(), dtype=np.int64)
-    for r in salted.groupBy("salt").agg(F.count("*").alias("n")).collect():  # a row per salt: one more for each RANKED pieces
+    for r in salted.groupBy("salt").agg(F.count("*").alias("n")).collect():  # a row per salt: MOST_SALTS + capacity at most
         counts[r["salt"]] = r["n"]
     before = np.cumsum(counts) - counts
     before -= np.repeat(before[first], salts)
