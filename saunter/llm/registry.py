@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from saunter.llm import decontam, exact_dedup, langid, line_dedup, ngram_join, packing, quality, secrets, token_count, token_store
+from saunter.llm import decontam, exact_dedup, langid, line_dedup, ngram_join, packing, prefix_trie, quality, secrets, token_count, token_store
+from saunter.llm.shared import crc_mod
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -77,9 +78,15 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base_spans", 256).alias("base_sha256"), "spans")
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per node. Rows without a conv_id are of no conversation; null turns first, equal turns by role and text; repeated rows are turns each; an empty table gives no rows."""
+    conv = F.col("conv_id")
+    return prefix_trie.shared_prefixes(_table(spark, sf_dir, "conversations"), conv - conv % 100, crc_mod("conv_id", 6), 5)
+
+
 QUERIES = {f.__name__: f for f in (
     op1_ngram_jaccard_join, op2_best_fit_packing, op3_language_id, op4_decontamination, op5_exact_dedup,
-    op6_token_store, op7_token_counts, op8_substring_dedup, op8_repeated_text, op8_line_dedup, op9_quality_classifier, op10_secret_scan)}
+    op6_token_store, op7_token_counts, op8_substring_dedup, op8_repeated_text, op8_line_dedup, op9_quality_classifier, op10_secret_scan, op11_conversation_trie)}
 
 ORACLES = {
     "op4_decontamination": r"""
@@ -165,3 +172,20 @@ ORACLES["op8_repeated_text"] += r"""
     SELECT 'passage' AS kind, doc_id, CAST(t.word AS INTEGER) AS unit, CAST(t.s AS BIGINT) AS start, CAST(e AS BIGINT) AS "end", CAST(z - t.word AS BIGINT) AS n_words,
            CAST(NULL AS VARCHAR) AS digest, t.kd AS keep_id, CAST(t.ki AS INTEGER) AS keep_unit FROM top)"""
 ORACLES["op10_secret_scan"] = _secrets_sql()
+#: The crc32 of a decimal number, bit by bit; prefixes as lists of turns, ancestors by their digests.
+ORACLES["op11_conversation_trie"] = """
+    WITH t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+                      row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS j FROM conversations WHERE conv_id IS NOT NULL),
+    o AS (SELECT conv_id, list(struct_pack(role, text) ORDER BY j) AS l FROM t GROUP BY conv_id),
+    c AS (SELECT conv_id, l, conv_id - conv_id % 100 AS template,
+                 CAST(xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: [ascii(x)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+                      lambda a, s: CASE WHEN s >= 0 THEN xor(a, s) ELSE xor(a >> 1, (a & 1) * 3988292384::BIGINT) END), 4294967295::BIGINT) % 6 AS BIGINT) AS h FROM o),
+    r AS (SELECT c.conv_id, list_concat(coalesce(b.l, [])[1:c.h], c.l[c.h + 1:]) AS l FROM c LEFT JOIN o b ON b.conv_id = c.template),
+    p AS (SELECT conv_id, len(l) AS size, l, unnest(range(0, len(l) + 1)) AS depth FROM r),
+    k AS (SELECT conv_id, size, depth, CASE WHEN depth > 0 THEN length(l[depth].text) ELSE 0 END AS n_chars, sha256(CAST(l[1:depth] AS JSON)) AS node, sha256(CAST(l[1:depth - 1] AS JSON)) AS up FROM p),
+    n AS (SELECT depth, node, any_value(up) AS up, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(n_chars) AS n_chars,
+                 string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (depth = size) AS ends FROM k GROUP BY depth, node),
+    f AS (SELECT n.*, u.conv_id AS parent_conv_id, (SELECT count(*) FROM n x WHERE x.depth = n.depth + 1 AND x.up = n.node) AS n_children FROM n LEFT JOIN n u ON u.depth = n.depth - 1 AND u.node = n.up),
+    below AS (SELECT k.depth, k.node, x.node AS part, x.n_convs, x.n_chars, x.n_children FROM k JOIN k y ON y.conv_id = k.conv_id AND y.depth >= k.depth JOIN f x ON x.depth = y.depth AND x.node = y.node GROUP BY ALL),
+    s AS (SELECT depth, node, count(*) FILTER (n_children = 0) AS n_leaves, CAST(sum((n_convs - 1) * n_chars) AS BIGINT) AS saved_tokens FROM below GROUP BY depth, node)
+    SELECT f.conv_id, f.depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, sha256(coalesce(ends, '')) AS ends_sha256 FROM f JOIN s USING (depth, node)"""
