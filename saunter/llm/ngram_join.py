@@ -432,12 +432,21 @@ def _components(slim: DataFrame, size: int, percent: int) -> DataFrame:
     spark, stage = slim.sparkSession, Scratch(slim.sparkSession)
     profile = stage(_profile(slim, size, slim.schema["id"].dataType.simpleString()))
     rows = profile.where("cell is null").select("id", "n", "sig", "point")
-    classes = stage(rows.where("n > 0").groupBy("sig").agg(F.min("id").alias("min_id"), F.first("n").alias("n"), F.first("point").alias("point"), F.count("*").alias("copies")))
+    classes = stage(classes_of(rows))
     low = classes.select("sig", F.expr("conv(hex(substring(sig, 9, 8)), 16, -10)").cast("long").alias("lo"))
 
     met = _meetings(stage(_met(slim, spark.sparkContext.broadcast(_common(profile)), size, percent)), stage)
     stars = met.join(low.select("lo", F.col("sig").alias("b")), "lo").join(low.select(F.col("lo").alias("lead"), F.col("sig").alias("a")), "lead")
-    stars = stage(stars.select("a", "b").where("a <> b"))
+    return joined_classes(slim, rows, classes, stage(stars.select("a", "b").where("a <> b")), size, percent, stage)
+
+
+def classes_of(rows: DataFrame, *more: str) -> DataFrame:
+    """A row per distinct set: its smallest id, size, point and copies; and further columns that depend on the set alone."""
+    return rows.where("n > 0").groupBy("sig").agg(F.min("id").alias("min_id"), F.first("n").alias("n"), F.first("point").alias("point"), *(F.first(c).alias(c) for c in more), F.count("*").alias("copies"))
+
+
+def joined_classes(slim: DataFrame, rows: DataFrame, classes: DataFrame, stars: DataFrame, size: int, percent: int, stage: Scratch) -> DataFrame:
+    """(id, n_shingles, component_id): what candidate ``stars`` (a leader and a class it led) and the groups of a leader hold, verified on whole sets."""
     near = stage(_possible_stars(stars, classes, percent))
     wanted = classes.join(near.select(F.col("a").alias("sig")).union(near.select("b")).distinct(), "sig", "left_semi")
     sets = stage(_set_table(slim, wanted, size))

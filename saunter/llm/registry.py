@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from saunter.llm import decontam, exact_dedup, langid, line_dedup, ngram_join, packing, prefix_trie, quality, secrets, token_count, token_store
+from saunter.llm import alignment, decontam, exact_dedup, langid, line_dedup, minhash, ngram_join, packing, prefix_trie, quality, secrets, token_count, token_store
 from saunter.llm.shared import crc_mod
 
 
@@ -84,9 +84,21 @@ def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.shared_prefixes(_table(spark, sf_dir, "conversations"), conv - conv % 100, crc_mod("conv_id", 6), 5)
 
 
+def op12_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per row: n_shingles, component_id and whether the row has that id. No words: an empty set, linked with nothing. Null ids never name a component that has another; equal rows get equal results; an empty table gives no rows."""
+    found = minhash.sketch_components(_documents(spark, sf_dir))
+    return found.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per row. Null and empty texts, and those whose tokens' bytes differ from a space and the text, have zeros and no digest; repeated and null ids get a row each; an empty table gives no rows."""
+    return alignment.link_report(_documents(spark, sf_dir))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_ngram_jaccard_join, op2_best_fit_packing, op3_language_id, op4_decontamination, op5_exact_dedup,
-    op6_token_store, op7_token_counts, op8_substring_dedup, op8_repeated_text, op8_line_dedup, op9_quality_classifier, op10_secret_scan, op11_conversation_trie)}
+    op6_token_store, op7_token_counts, op8_substring_dedup, op8_repeated_text, op8_line_dedup, op9_quality_classifier, op10_secret_scan, op11_conversation_trie,
+    op12_minhash_dedup, op13_tokenizer_alignment)}
 
 ORACLES = {
     "op4_decontamination": r"""
@@ -189,3 +201,23 @@ ORACLES["op11_conversation_trie"] = """
     below AS (SELECT k.depth, k.node, x.node AS part, x.n_convs, x.n_chars, x.n_children FROM k JOIN k y ON y.conv_id = k.conv_id AND y.depth >= k.depth JOIN f x ON x.depth = y.depth AND x.node = y.node GROUP BY ALL),
     s AS (SELECT depth, node, count(*) FILTER (n_children = 0) AS n_leaves, CAST(sum((n_convs - 1) * n_chars) AS BIGINT) AS saved_tokens FROM below GROUP BY depth, node)
     SELECT f.conv_id, f.depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, sha256(coalesce(ends, '')) AS ends_sha256 FROM f JOIN s USING (depth, node)"""
+
+
+def _near_sql(size: int, percent: int, more: str = "") -> str:
+    """Classes of equal sets, pairs of classes by what they share, and least ids spread along links until nothing changes."""
+    return rf"""
+        WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] ELSE list_sort(list_distinct(list_transform(range(1, greatest(len(w) - {size}, 0) + 2),
+                     lambda i: hash(array_to_string(w[i:i + {size - 1}], ' '))))) END AS l FROM d),
+        c AS (SELECT l, min(doc_id) AS id, len(l) AS n FROM s WHERE len(l) > 0 GROUP BY l),
+        e AS (SELECT id, n, unnest(l) AS h FROM c),
+        k AS (SELECT a.id AS a, b.id AS b FROM e a JOIN e b ON a.h = b.h AND a.id < b.id AND 100 * a.n >= {percent} * b.n AND 100 * b.n >= {percent} * a.n
+              GROUP BY a.id, b.id, a.n, b.n HAVING 100 * count(*) >= {percent} * (a.n + b.n - count(*))),
+        links AS (SELECT a, b FROM k UNION ALL SELECT b, a FROM k),
+        reach AS (SELECT id, id AS least FROM c UNION SELECT l.b, r.least FROM reach r JOIN links l ON l.a = r.id AND r.least < l.b),
+        least AS (SELECT id, min(least) AS component_id FROM reach GROUP BY id)
+        SELECT s.doc_id, CAST(len(s.l) AS BIGINT) AS n_shingles, coalesce(component_id, s.doc_id) AS component_id{more} FROM s LEFT JOIN c ON c.l = s.l LEFT JOIN least ON least.id = c.id"""
+
+
+ORACLES["op1_ngram_jaccard_join"] = _near_sql(5, 75)
+ORACLES["op12_minhash_dedup"] = _near_sql(3, 85, ", s.doc_id = coalesce(component_id, s.doc_id) AS kept")
