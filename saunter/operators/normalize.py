@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from saunter.operators.medians import grouped_median
 from saunter.sources.trials import require_columns
 
 
@@ -82,7 +83,8 @@ def all_levels(name: str, *dfs: DataFrame) -> DataFrame:
 
 
 def median_ratio(ratios: DataFrame, keys=("mu", "x_ratio"), value: str = "ratio") -> DataFrame:
-    return ratios.groupBy(*keys).agg(F.median(value).alias(value)).orderBy(*keys)
+    """The median ratio per key, by `grouped_median`; in no order."""
+    return grouped_median(ratios, keys, F.col(value), value)
 
 
 def ratio_matrix(long: DataFrame, levels, row: str = "delta", level: str = "mu", value: str = "ratio") -> DataFrame:

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from saunter.functions.exprs import clean, step_law_mean
+from saunter.operators.medians import grouped_median
 from saunter.sources.trials import require_columns
 
 BASE_KEYS = ["mu", "surface", "TargetShape", "n_walkers"]
@@ -71,37 +70,6 @@ AGGREGATES = {
     "mean": lambda c: F.avg(c),
     "approx_median": lambda c: F.percentile_approx(c, 0.5, 10_000),
 }
-MEDIAN_BUCKETS = 1024
-
-
-def _same_keys(a: str, b: str, keys) -> Column:
-    return reduce(lambda x, y: x & y, (F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}")) for k in keys))
-
-
-def grouped_median(df: DataFrame, keys, value: Column, name: str) -> DataFrame:
-    """Exact medians per group; no task holds a group's values.
-
-    Each group's span is cut into MEDIAN_BUCKETS, whose counts say which of them hold the middle ranks;
-    only the values of these are ordered, counted by value. A group without a value has a null.
-    """
-    keys = list(keys)
-    base = df.select(*keys, value.alias("_v"))
-    ends = base.groupBy(*keys).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.count("_v").alias("_n"))
-    placed = base.where("_v is not null").alias("b").join(ends.alias("e"), _same_keys("b", "e", keys)).select("b.*", "_lo", "_hi", "_n")
-    at = F.coalesce(F.try_divide(F.col("_v") - F.col("_lo"), F.col("_hi") - F.col("_lo")), F.lit(0.0))
-    placed = placed.withColumn("_bucket", F.least(F.floor(at * MEDIAN_BUCKETS), F.lit(MEDIAN_BUCKETS - 1))).drop("_lo", "_hi")
-
-    def reaching_middle(counted: DataFrame, by: str) -> DataFrame:
-        """The rows that hold rank (n + 1) div 2 or n div 2 + 1; ``_before`` counts the values before a row's."""
-        before = F.coalesce(F.sum("_c").over(Window.partitionBy(*keys).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + F.col("_start")
-        return counted.withColumn("_before", before).where("_before < _n div 2 + 1 and _before + _c >= (_n + 1) div 2")
-
-    buckets = placed.groupBy(*keys, "_bucket", "_n").agg(F.count("*").alias("_c")).withColumn("_start", F.lit(0))
-    middle = reaching_middle(buckets, "_bucket").withColumn("_first", F.min("_before").over(Window.partitionBy(*keys))).select(*keys, "_bucket", "_first")
-    some = placed.alias("p").join(middle.alias("m"), _same_keys("p", "m", [*keys, "_bucket"])).select("p.*", F.col("m._first").alias("_start"))
-    values = reaching_middle(some.groupBy(*keys, "_v", "_n", "_start").agg(F.count("*").alias("_c")), "_v")
-    found = values.groupBy(*keys).agg((0.5 * F.min("_v") + 0.5 * F.max("_v")).alias(name))
-    return ends.alias("e").join(found.alias("f"), _same_keys("e", "f", keys), "left").select(*(F.col(f"e.{k}").alias(k) for k in keys), name)
 
 
 def cond_agg(df: DataFrame, keys, agg: str = "mean", value: str = "detection_time", name: str | None = None, drop_null_keys: bool = True) -> DataFrame:

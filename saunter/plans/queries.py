@@ -17,6 +17,7 @@ from saunter.operators import paths as P
 from saunter.operators import space
 from saunter.operators import stats as S
 from saunter.plans import series as J
+from saunter.sources.folders import shared_dir
 from saunter.sources.trials import trial_text, union_trials
 
 VIEWS = {
@@ -503,31 +504,19 @@ def live_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     stream = spark.readStream.schema(batch.schema).parquet(f"{sf_dir}/lineitem.parquet*")
     trials = spark.sql(VIEWS["trials"][1], lineitem=stream)
     name = f"live_summary_{uuid.uuid4().hex}"
-    return rounded(live.run_available(live.live_summary(trials, ["delta", "mu"]), name, "complete", f"{_scratch(spark)}/{name}"), 4)
+    return rounded(live.run_available(live.live_summary(trials, ["delta", "mu"]), name, "complete", shared_dir(spark, name)), 4)
 
 
 def live_passage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stateful passage detector over a stream of steps, drained."""
-    import uuid
-
     from saunter.streaming import live
 
-    name = f"live_passage_{uuid.uuid4().hex}"
-    path = f"{_scratch(spark)}/{name}"
+    path = shared_dir(spark, "live_passage")
     view(spark, sf_dir, "steps").write.parquet(f"{path}/steps")
     stream = spark.readStream.schema(spark.read.parquet(f"{path}/steps").schema).parquet(f"{path}/steps")
     return rounded(live.drain_to_parquet(live.first_passage_stream(stream, CENTRE, RADIUS, SIDE, 2, 0.5, timeout_ms=None), f"{path}/found", f"{path}/checkpoint"))
 
 
-def _scratch(spark: SparkSession) -> str:
-    """The shared folder that the session names; a default only on one machine."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    master = spark.conf.get("spark.master", "")
-    if not base and (not master.startswith("local") or master.startswith("local-cluster")):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return (base or "/tmp/checkpoints").rstrip("/")
-
-
 QUERIES |= {"live_summary": live_summary, "live_passage": live_passage}
 ORACLES["live_summary"] = ORACLES["cond_summary"]
 ORACLES["live_passage"] = ORACLES["first_passage"]

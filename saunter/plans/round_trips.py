@@ -6,8 +6,6 @@ library's own sources, and is compared with SQL over the tables themselves.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,13 +13,14 @@ from saunter.operators import grid as G
 from saunter.operators import normalize as N
 from saunter.operators import stats as S
 from saunter.plans import series as J
-from saunter.plans.queries import MUS, ORACLES, QUERIES, _scratch, _with, rounded, view
+from saunter.plans.queries import MUS, ORACLES, QUERIES, _with, rounded, view
 from saunter.sources import grids, trials
+from saunter.sources.folders import shared_dir
 from saunter.streaming import live
 
 
 def _new_path(spark: SparkSession, name: str) -> str:
-    return f"{_scratch(spark)}/{name}_{uuid.uuid4().hex}"
+    return shared_dir(spark, name)
 
 
 def _written(spark: SparkSession, sf_dir: str) -> str:

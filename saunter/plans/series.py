@@ -84,7 +84,7 @@ def ratio_vs_elongation(trials: DataFrame, mus, surfaces, baseline: float = 2.0,
     some = S.checked(S.slice_in(S.slice_in(trials, "mu", mus), "surface", surfaces), strict)
     grouped = S.with_elongation(S.cond_agg(some, [*keys, "mu"], agg))
     ratios = N.ratio_below_baseline(grouped, [*keys, "x_ratio"], mus, base=baseline)
-    medians = ratios.groupBy("surface", "mu", "x_ratio").agg(F.median("ratio").alias("ratio"))
+    medians = N.median_ratio(ratios, ["surface", "mu", "x_ratio"])
     grid = L.facet_grid(medians, "surface", [float(s) for s in surfaces], ncols)
     return grid.select("facet_no", "grid_row", "grid_col", F.col("surface").alias("facet"), F.col("mu").alias("series"), F.col("x_ratio").alias("x"), F.col("ratio").alias("y"))
 

@@ -151,3 +151,44 @@ def test_passage_rules(spark):
     assert {r["trial_id"]: r["complete"] for r in P.trial_complete(walkers, first).collect()} == {1: False, 2: False}
     got = {r["walker_id"]: (r["first_touch_steps"], r["second_touch_steps"]) for r in P.touch_steps(walkers, hits).collect()}
     assert got == {1: (1, 2), 2: (5, -1), 3: (-1, -1), 4: (-1, -1)}
+
+
+HEAVY = {
+    "outlier": lambda r, k: 1e15 if k == 7 else r.uniform(0, 1000),
+    "power": lambda r, k: r.paretovariate(0.05),
+    "ties": lambda r, k: r.choice([1.0, 2.0, 2.0, r.uniform(0, 3)]),
+    "one value": lambda r, k: 5.0,
+    "two values": lambda r, k: float(k % 2),
+}
+
+
+@pytest.mark.parametrize("n", [20_000, 20_001])
+def test_medians_of_large_groups(spark, monkeypatch, n):
+    """Heavy tails, ties and nulls, narrowed several times, against sorting; small groups beside large ones."""
+    import statistics
+
+    from saunter.operators import medians
+
+    monkeypatch.setattr(medians, "SMALL", 40)
+    r = random.Random(n)
+    rows = [(name, f(r, k)) for name, f in HEAVY.items() for k in range(n)]
+    rows += [(None, v) for _, v in rows[:n]] + [("small", 1.0), ("small", 4.0), ("nothing", None)] + [("outlier", None)] * 50
+    df = spark.createDataFrame(rows, "k string, v double").repartition(7)
+    want = {k: statistics.median([v for x, v in rows if x == k and v is not None] or [0]) for k in {x for x, _ in rows}} | {"nothing": None}
+    assert {x["k"]: x["m"] for x in S.grouped_median(df, ["k"], F.col("v"), "m").collect()} == want
+    assert S.grouped_median(df.where("k = 'power'"), [], F.col("v"), "m").first()["m"] == want["power"]
+    # One step leaves under a hundredth of a group's rows, but for rows of one value.
+    monkeypatch.setattr(medians, "SMALL", n // 100)
+    sizes = df.groupBy("k").agg(F.count("v").alias("_n")).where(f"_n > {n // 100}")
+    state = {x["k"]: x for x in medians.narrowed(df.select("k", F.col("v").alias("_v")), ["k"], sizes).collect()}
+    assert all(state[k]["_inner"] < n / 100 for k in HEAVY) and all(state[k]["_held"] < n / 100 for k in ("outlier", "power"))
+
+
+def test_outlier_of_a_million(spark):
+    """The middle of a million values and one far away is small after one step."""
+    from saunter.operators import medians
+
+    rows = spark.range(1_000_001).select(F.lit("a").alias("k"), F.when(F.col("id") == 5, 1e15).otherwise(F.col("id") * 7919 % 1000003 / 10.0).alias("_v"))
+    state = medians.narrowed(rows, ["k"], rows.groupBy("k").agg(F.count("_v").alias("_n"))).collect()
+    assert len(state) == 1 and state[0]["_held"] < 10_000
+    assert S.grouped_median(rows, ["k"], F.col("_v"), "m").first()["m"] == rows.select(F.median("_v")).first()[0]

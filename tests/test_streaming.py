@@ -47,4 +47,4 @@ def test_passage_query_keeps_its_rows_in_files(spark):
     from saunter.plans.queries import QUERIES
 
     found = QUERIES["live_passage"](spark, "/root/testdata/sf0.001")
-    assert found.count() > 0 and found.inputFiles() and all("live_passage_" in f for f in found.inputFiles())
+    assert found.count() > 0 and found.inputFiles() and all("live_passage-" in f for f in found.inputFiles())
