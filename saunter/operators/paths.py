@@ -18,23 +18,29 @@ WALKER = ["walker_id"]
 CHUNK = 100_000
 
 
-def running_sums(df: DataFrame, part, order: str, sums: dict[str, Column], chunk: int = CHUNK) -> DataFrame:
-    """Adds a running sum within ``part`` for each of ``sums``, dealt out by chunks of the order column (a whole number).
+def running_sums(df: DataFrame, part, order, sums: dict[str, Column], chunk: int = CHUNK, of: Column | None = None) -> DataFrame:
+    """Adds a running sum within ``part`` for each of ``sums``, dealt out by chunks of the first order column (a whole number).
 
     A chunk's offset is the sum of the chunks before it: a window over one row per chunk. All sums share
-    the shuffles.
+    the shuffles. ``of`` gives chunks otherwise: any expression that never falls along the order.
     """
-    part = list(part)
-    cut = df.withColumns({"_chunk": F.floor(F.col(order) / chunk).cast("long")} | {f"_s_{k}": v for k, v in sums.items()})
+    part, order = list(part), [order] if isinstance(order, str) else list(order)
+    cut = df.withColumns({"_chunk": F.floor(F.col(order[0]) / chunk).cast("long") if of is None else of.cast("long")} | {f"_s_{k}": v for k, v in sums.items()})
     totals = cut.groupBy(*part, "_chunk").agg(*(F.sum(f"_s_{k}").alias(f"_t_{k}") for k in sums))
     before = Window.partitionBy(*part).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*(F.col(c).alias(f"_p_{c}") for c in (*part, "_chunk")), *(F.coalesce(F.sum(f"_t_{k}").over(before), F.lit(0.0)).alias(f"_b_{k}") for k in sums))
-    within = Window.partitionBy(*part, "_chunk").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    kinds = dict(totals.dtypes)
+    offsets = totals.select(*(F.col(c).alias(f"_p_{c}") for c in (*part, "_chunk")), *(F.coalesce(F.sum(f"_t_{k}").over(before), F.lit(0).cast(kinds[f"_t_{k}"])).alias(f"_b_{k}") for k in sums))
+    within = Window.partitionBy(*part, "_chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     inner = cut.withColumns({f"_w_{k}": F.sum(f"_s_{k}").over(within) for k in sums})
     out = inner.join(offsets, [inner[c].eqNullSafe(offsets[f"_p_{c}"]) for c in (*part, "_chunk")])
     return out.select(*(c for c in df.columns if c not in sums), *((F.col(f"_b_{k}") + F.col(f"_w_{k}")).alias(k) for k in sums))
 
 
+def ordinals(df: DataFrame, part, order, name: str, chunk: int = CHUNK, of: Column | None = None) -> DataFrame:
+    """Adds 1, 2, ... within ``part`` in ``order``: a running count in chunks, so no task holds all rows of one key."""
+    return running_sums(df, part, order, {name: F.lit(1).cast("long")}, chunk, of).withColumn(name, F.col(name).cast("int"))
+
+
 def path_length(steps: DataFrame, part=WALKER, chunk: int = CHUNK) -> DataFrame:
     """Adds ``time``: the path length up to and with each step."""
     return running_sums(steps, part, "step", {"time": F.col("l")}, chunk)
@@ -52,9 +58,9 @@ def hits_of_ball(positions: DataFrame, centre, radius: float, side: float) -> Da
     return positions.where(torus_dist2(("x", "y", "z"), [F.lit(float(c)) for c in centre], side) <= radius * radius)
 
 
-def touches(hits: DataFrame, part=WALKER, order=("step",)) -> DataFrame:
-    """Adds touch_no to hit rows: 1, 2, ... per walker in order. With several targets a step, order by (step, target_no)."""
-    return hits.withColumn("touch_no", F.row_number().over(Window.partitionBy(*part).orderBy(*order)))
+def touches(hits: DataFrame, part=WALKER, order=("step",), chunk: int = CHUNK) -> DataFrame:
+    """Adds touch_no to hit rows: 1, 2, ... per walker in order, in chunks of steps. With several targets a step, order by (step, target_no)."""
+    return ordinals(hits, part, order, "touch_no", chunk)
 
 
 def touch_steps(walkers: DataFrame, hits: DataFrame, part=WALKER, order=("step",)) -> DataFrame:
@@ -65,13 +71,13 @@ def touch_steps(walkers: DataFrame, hits: DataFrame, part=WALKER, order=("step",
     return out.select(*part, *(F.coalesce(c, F.lit(-1)).alias(c) for c in ("first_touch_steps", "second_touch_steps")))
 
 
-def first_passage(hits: DataFrame, max_touches: int, p: float, part=WALKER, order=("step",), carry=("time",)) -> DataFrame:
+def first_passage(hits: DataFrame, max_touches: int, p: float, part=WALKER, order=("step",), carry=("time",), chunk: int = CHUNK) -> DataFrame:
     """Per walker the touch that ends its search: number ``max(1, max_touches)``, or an earlier one whose draw u is at most p.
 
     With ``max_touches`` of 1 or less the first touch ends it, whatever p is. Walkers without
-    such a touch have no row.
+    such a touch have no row. The first such touch is an aggregate that merges, so a long walker is spread over tasks.
     """
-    final = touches(hits, part, order).where((F.col("touch_no") >= max(1, max_touches)) | (F.col("u") <= p))
+    final = touches(hits, part, order, chunk).where((F.col("touch_no") >= max(1, max_touches)) | (F.col("u") <= p))
     row = F.min_by(F.struct("step", "touch_no", *carry), F.struct(*order))
     return final.groupBy(*part).agg(row.alias("r")).select(*part, "r.*")
 

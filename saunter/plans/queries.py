@@ -20,6 +20,7 @@ from saunter.plans import series as J
 from saunter.sources.folders import shared_dir
 from saunter.sources.trials import trial_text, union_trials
 
+STEP = "CAST(ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS INT)"
 VIEWS = {
     "trials": ("lineitem", """
         SELECT l_orderkey, 1 AS n_walkers, CAST(134217728 AS DOUBLE) AS n_volume, ROUND(1 + 20 * l_discount, 1) AS mu, 256 AS lmax,
@@ -29,12 +30,12 @@ VIEWS = {
                CAST(CASE l_linestatus WHEN 'O' THEN 1.0 ELSE 0.5 END AS DOUBLE) AS probability, ROUND(10 * l_tax, 1) AS delta,
                1 AS surface_selector, 0 AS delta_selector, CAST(l_quantity AS INT) AS first_touch_steps, -1 AS second_touch_steps
         FROM {lineitem}"""),
-    "steps": ("events", """
-        SELECT user_id % 10 AS trial_id, user_id AS walker_id, CAST(ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS INT) AS step,
+    "steps": ("events", f"""
+        SELECT user_id % 10 AS trial_id, user_id AS walker_id, {STEP} AS step,
                value / 10 AS l, 2 * PI() * (event_id % 360) / CAST(360 AS DOUBLE) AS theta, PI() * ((event_id * 7) % 180) / CAST(180 AS DOUBLE) AS phi,
                CAST((user_id * 37) % 128 AS DOUBLE) AS x0, CAST((user_id * 53) % 128 AS DOUBLE) AS y0, CAST((user_id * 71) % 128 AS DOUBLE) AS z0,
                ((event_id * 7919) % 10007) / CAST(10007 AS DOUBLE) AS u
-        FROM {events}"""),
+        FROM {{events}}"""),
     "points": ("events", """
         SELECT event_id, 37 * value - 512 * FLOOR(37 * value / 512) AS x,
                (101 * value + user_id) - 512 * FLOOR((101 * value + user_id) / 512) AS y, CAST(event_id * 137 % 5120 AS DOUBLE) / 10 AS z
@@ -55,7 +56,11 @@ VIEWS = {
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     table, sql = VIEWS[name]
-    return spark.sql(sql, **{table: spark.read.parquet(f"{sf_dir}/{table}.parquet")})
+    rows = spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    if STEP in sql:  # the same numbers, made a walker's day at a time
+        rows = P.ordinals(rows, ["user_id"], ["ts", "event_id"], "_step", of=F.unix_date(F.to_date("ts")))
+        sql = sql.replace(STEP, "_step")
+    return spark.sql(sql, **{table: rows})
 
 
 def _with(*names: str) -> str:

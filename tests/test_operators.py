@@ -192,3 +192,17 @@ def test_outlier_of_a_million(spark):
     state = medians.narrowed(rows, ["k"], rows.groupBy("k").agg(F.count("_v").alias("_n"))).collect()
     assert len(state) == 1 and state[0]["_held"] < 10_000
     assert S.grouped_median(rows, ["k"], F.col("_v"), "m").first()["m"] == rows.select(F.median("_v")).first()[0]
+
+
+@pytest.mark.parametrize("chunk", [1, 4, 10**6])
+def test_touches_in_chunks(spark, chunk):
+    """A walker with most steps, ties told apart by the target, and numbers that a window over the whole walker gives."""
+    from pyspark.sql import Window
+
+    hits = spark.range(400).select(F.when(F.col("id") % 4 < 3, 1).otherwise(F.col("id")).alias("walker_id"), (F.col("id") * 7 % 100).cast("int").alias("step"), F.col("id").alias("target_no"), F.lit(1.0).alias("time"), F.lit(0.9).alias("u"))
+    want = hits.withColumn("n", F.row_number().over(Window.partitionBy("walker_id").orderBy("step", "target_no")))
+    got = P.touches(hits, order=("step", "target_no"), chunk=chunk)
+    assert got.schema["touch_no"].dataType.simpleString() == "int"
+    assert sorted(got.select("walker_id", "target_no", "touch_no").collect()) == sorted(want.select("walker_id", "target_no", "n").collect())
+    end = P.first_passage(hits, 30, 0.0, order=("step", "target_no"), carry=("target_no",), chunk=chunk).collect()
+    assert [(r["walker_id"], r["touch_no"], r["target_no"]) for r in end] == [(1, 30, want.where("walker_id = 1 and n = 30").first()["target_no"])]
