@@ -88,7 +88,17 @@ def live_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(S.cond_summary(spark.read.parquet(f"{path}/table"), ["delta", "mu"]), 4)
 
 
-QUERIES |= {f.__name__: f for f in (trial_files, trial_folder_inferred, config_grids, ratio_file, store_round_trip, live_append)}
+def live_append_twice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trial files appended by content; all batches then run once more, as after a lost checkpoint, and add nothing."""
+    path = _new_path(spark, "live_append_twice")
+    text = trials.trial_text(view(spark, sf_dir, "trials"), "surface")
+    text.write.option("header", True).option("maxRecordsPerFile", 100_000).csv(f"{path}/files")
+    for run in ("first", "again"):
+        live.append_files(spark, f"{path}/files", f"{path}/table", f"{path}/{run}").awaitTermination()
+    return rounded(S.cond_summary(spark.read.parquet(f"{path}/table"), ["delta", "mu"]), 4)
+
+
+QUERIES |= {f.__name__: f for f in (trial_files, trial_folder_inferred, config_grids, ratio_file, store_round_trip, live_append, live_append_twice)}
 ORACLES |= {
     "trial_files": _with("trials") + """ SELECT TargetShape, COUNT(*) AS n, COUNT(surface) AS with_surface, COUNT(DiskDiameter) AS with_disk, ROUND(SUM(t), 2) AS total FROM (
         SELECT TargetShape, surface, NULL AS DiskDiameter, detection_time AS t FROM trials
@@ -99,4 +109,5 @@ ORACLES |= {
     "store_round_trip": _with("trials") + """ SELECT mu, surface, COUNT(*) AS n, ROUND(AVG(detection_time), 4) AS mean, ROUND(CASE WHEN COUNT(*) = 1 THEN 0 ELSE STDDEV_SAMP(detection_time) END, 4) AS std,
         ROUND(CASE WHEN COUNT(*) = 1 THEN 0 ELSE STDDEV_SAMP(detection_time) END / SQRT(COUNT(*)), 4) AS sem FROM trials WHERE TargetShape = 'Line' AND mu IN (1.0, 2.0) GROUP BY mu, surface""",
     "live_append": ORACLES["cond_summary"],
+    "live_append_twice": ORACLES["cond_summary"],
 }

@@ -48,3 +48,65 @@ def test_passage_query_keeps_its_rows_in_files(spark):
 
     found = QUERIES["live_passage"](spark, "/root/testdata/sf0.001")
     assert found.count() > 0 and found.inputFiles() and all("live_passage-" in f for f in found.inputFiles())
+
+
+def _walk_files(spark, steps, folder, cuts):
+    for a, b in cuts:
+        steps.where(f"step > {a} and step <= {b}").coalesce(1).write.mode("append").parquet(folder)
+
+
+def test_state_of_finished_walkers_goes(spark, tmp_path):
+    """Of finished walkers a mark is left, no step waits, and a finished walker that sends all steps again isn't found twice."""
+    steps, folder = walk(spark, 60, 5), str(tmp_path / "in")
+    _walk_files(spark, steps, folder, [(20, 60), (0, 20), (0, 60)])
+    stream = spark.readStream.schema(steps.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    found = live.drain_to_parquet(live.first_passage_stream(stream, (8.0, 8.0, 8.0), 20.0, 32.0, 1, 0.0, timeout_ms=None), str(tmp_path / "out"), str(tmp_path / "ck"))
+    assert found.count() == found.select("walker_id").distinct().count() == 5
+    left = lambda name: spark.read.format("statestore").option("path", str(tmp_path / "ck")).option("stateVarName", name).load().count()
+    assert left("at") == 0 and left("ended") == 5
+
+
+def test_walker_that_times_out_does_not_begin_again(spark, tmp_path):
+    import time
+
+    steps, folder = walk(spark, 40, 1), str(tmp_path / "in")
+    _walk_files(spark, steps, folder, [(1, 5)])
+    stream = spark.readStream.schema(steps.schema).parquet(folder)
+    with live.state_store(spark):
+        q = live.first_passage_stream(stream, (5.0, 5.0, 5.0), 30.0, 32.0, 1, 1.0, timeout_ms=1500).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "ck")).trigger(processingTime="500 milliseconds").start()
+    read = lambda: sum(p["numInputRows"] for p in q.recentProgress)
+    left = lambda name: spark.read.format("statestore").option("path", str(tmp_path / "ck")).option("stateVarName", name).load().count()
+
+    def wait(until) -> bool:
+        end = time.time() + 40
+        while not (done := until()) and time.time() < end:
+            time.sleep(0.5)
+        return done
+
+    try:
+        assert wait(lambda: read() == 4) and wait(lambda: left("at") == 0) and left("ended") == 1
+        _walk_files(spark, steps, folder, [(0, 40)])  # any first step would be a touch
+        assert wait(lambda: read() == 44)
+    finally:
+        q.stop()
+    assert spark.read.schema(live.PASSAGE).parquet(str(tmp_path / "out")).count() == 0
+
+
+def test_file_that_comes_twice_counts_once(spark, tmp_path):
+    folder, path, ck = (str(tmp_path / x) for x in ("in", "table", "ck"))
+    (tmp_path / "in").mkdir()
+    text = lambda k: "\n".join([SURFACE, *(ROW1.replace("123.45", f"{100 + k + j}.00") for j in range(3)), ROW1, ROW1]) + "\n"
+    (tmp_path / "in" / "a.csv").write_text(text(0))
+    live.append_files(spark, folder, path, ck).awaitTermination()
+    (tmp_path / "in" / "again.csv").write_text(text(0))
+    (tmp_path / "in" / "b.csv").write_text(text(7))
+    live.append_files(spark, folder, path, ck).awaitTermination()
+    got = spark.read.parquet(path)
+    assert got.count() == 10 and got.select(live.FILE).distinct().count() == 2
+    live.append_files(spark, folder, path, ck + "-lost").awaitTermination()  # all batches once more
+    assert spark.read.parquet(path).count() == 10
+    want = trials.read_trials(spark, f"{folder}/a.csv", f"{folder}/b.csv")
+    same = lambda df: sorted(map(str, df.select(*sorted(want.columns)).collect()))
+    assert same(spark.read.parquet(path)) == same(want)
+    live.compact(spark, path, str(tmp_path / "less"))
+    assert same(spark.read.parquet(str(tmp_path / "less"))) == same(want)
