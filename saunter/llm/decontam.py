@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from saunter.llm.fm_index import FmIndex, ranges
-from saunter.llm.shared import cut_spans, free_name, numbered_rows, staged
+from saunter.llm.shared import cut_spans, free_name, map_whole_rows, numbered_rows, staged
 from saunter.llm.words import Numbers, alnum_words, slices, utf8
 
 WINDOW = 10
@@ -139,7 +139,7 @@ def _kept(docs: DataFrame, blocks: list, window: int, text_col: str) -> DataFram
             clean = pa.array([not mask.any() for _, _, mask, _ in shard.search(blocks, window)], pa.bool_())
             yield from pa.Table.from_batches(held).filter(clean).to_batches()
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_whole_rows(docs, run, docs.schema)
 
 
 def _blocks(benchmark: DataFrame, item_col: str, item_text_col: str, block_words: int) -> list:

@@ -21,7 +21,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from saunter.llm.shared import free_name, join_groups, likely, split_likely, staged, text_of
+from saunter.llm.shared import columns_of, free_name, join_groups, likely, split_likely, staged, text_of
 
 
 def mark_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest",
@@ -58,4 +58,4 @@ def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     some, alone = split_likely(docs.withColumn(sha, F.sha2(text_of(text_col), 256)), marks, [sha])
     gone = marks.where("not kept").drop("kept").distinct().alias("g")
     stay = some.alias("d").join(gone, F.col(f"d.{id_col}").eqNullSafe(F.col(f"g.{gone_id}")) & (F.col(f"d.{sha}") == F.col(f"g.{sha}")), "left_anti")
-    return alone.unionByName(stay.dropDuplicates([id_col, sha])).select(*docs.columns)
+    return alone.unionByName(stay.dropDuplicates([id_col, sha])).select(*columns_of(docs))

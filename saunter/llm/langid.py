@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from saunter.llm.shared import crc_mod
+from saunter.llm.shared import crc_mod, map_whole_rows
 from saunter.llm.words import Numbers, slices
 
 BUCKETS, LONGEST = 1 << 16, 3
@@ -213,7 +213,7 @@ def predict(docs: DataFrame, model: Model | None, text_col: str = "text", names:
                     pred[i], score[i] = m.languages[best], s
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(pred, pa.string()), pa.array(score)], names=[*b.schema.names, *names])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())]))
+    return map_whole_rows(docs, run, T.StructType([*docs.schema.fields, T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())]))
 
 
 def _training_rows(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFrame:

@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from saunter.llm.graph import components
 from saunter.llm.rtree import LEAST_GROUPS, RTree, candidate_pairs, folded, group_counts
-from saunter.llm.shared import Scratch, free_name, join_groups, likely, numbered_rows, split_likely
+from saunter.llm.shared import Scratch, columns_of, free_name, join_groups, likely, split_likely, text_of
 from saunter.llm.words import HashedWords, mixed, slices, utf8
 
 SHINGLE, PERCENT = 5, 75
@@ -466,18 +466,23 @@ def joined_classes(slim: DataFrame, rows: DataFrame, classes: DataFrame, stars:
 
 
 def keep_one(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay: of each component the row with the component's id.
+    """The rows of ``docs`` that stay: of each component the row with the smallest id, of equal ids the smallest digest of the text.
 
-    Ids are unique or null. Rows with null ids are told apart by number and come after all others: one that
-    is a near copy of another row goes, and of near copies with null ids alone one stays. Rows that stay are
-    not shuffled (but few, by chance of the bitmap).
+    Rows are told apart by id and text, so ids may repeat: only the near copy goes, not another row of its id. Null ids
+    come after all others. Of rows that repeat an id and a text with words one stays. Rows that stay are not shuffled (but
+    few, by chance of the bitmap).
     """
-    key = lambda late, i, row: F.struct(F.lit(late).alias("late"), i.alias("id"), row.alias("row")).alias("id")
-    known, text = docs.where(F.col(id_col).isNotNull()), F.col(text_col).alias("text")
-    nulls, row = numbered_rows(docs.where(F.col(id_col).isNull()))
-    found = _components(known.select(key(False, F.col(id_col), F.lit(None).cast("long")), text).unionByName(nulls.select(key(True, F.col(id_col), F.col(row)), text)), size, percent)
-    gone, name = found.where(~F.col("id").eqNullSafe(F.col("component_id"))), free_name(docs, "near_id")
-    ids = gone.where("not id.late").select(F.col("id.id").alias(name)).distinct()
-    some, rest = split_likely(known, ids.select(F.col(name).alias(id_col)), [id_col])
-    kept = rest.unionByName(some.join(ids, F.col(id_col) == F.col(name), "left_anti"))
-    return kept.unionByName(nulls.join(gone.where("id.late").select(F.col("id.row").alias(row)), row, "left_anti").select(*docs.columns)).select(*docs.columns)
+    digest, late = F.unhex(F.md5(text_of(text_col))), F.col(id_col).isNull()
+    key = F.struct(late.alias("late"), F.col(id_col).alias("id"), digest.alias("digest"))
+    found = _components(docs.select(key.alias("id"), F.col(text_col).alias("text")), size, percent)
+    name, mark = free_name(docs, "near_id"), free_name(docs, "near_digest")
+    told = [F.col("id.id").alias(name), F.col("id.digest").alias(mark)]
+    gone = found.where(~F.col("id").eqNullSafe(F.col("component_id"))).select(*told).distinct()
+    again = found.where("n_shingles > 0").groupBy("id").count().where("count > 1").select(*told)
+    own = free_name(docs, "near_own")
+    some, rest = split_likely(docs.withColumns({own: digest, name: F.col(id_col)}), gone.unionByName(again).withColumnRenamed(mark, own), [name, own])
+    same = F.expr(f"s.`{name}` <=> g.`{name}` and s.`{own}` = g.`{mark}`")
+    stay = some.alias("s").join(gone.alias("g"), same, "left_anti")
+    single = stay.alias("s").join(again.alias("g"), same, "left_anti")
+    repeated = stay.alias("s").join(again.alias("g"), same, "left_semi").dropDuplicates([name, own])
+    return rest.unionByName(single).unionByName(repeated).select(*columns_of(docs))

@@ -138,23 +138,45 @@ def candidates(texts: DataFrame, indexed: list[Rule]) -> DataFrame:
     return flags.where(" or ".join(f"may_{r.kind}" for r in indexed))
 
 
+#: Matches that are added up one after the other; sums of such blocks are added up before.
+BLOCK = 256
+SPANS = "array<struct<s:int,k:int,e:int,n:int,kind:string>>"
+
+
+def _named(value: Column, use) -> Column:
+    """``use(value)``, with the value made once: a lambda's argument is never inlined, as a column's expression may be."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def _with_spans(df: DataFrame, rule: Rule, order: int, may: Column) -> DataFrame:
-    """Adds ``_sp_<kind>``. A prefix sum in two levels: blocks of 64 matches, then within the block."""
+    """Adds ``_sp_<kind>``: each match's end is the sum of the matches and of the pieces between them so far.
+
+    Sums run in two levels, over blocks and within a block, so the work grows with the matches (times BLOCK at most).
+    """
     pattern, k = F.lit(rule.regex), rule.kind
-    none = F.array().cast("array<int>")
-    df = df.withColumn(f"_m_{k}", F.when(may, F.transform(F.regexp_extract_all("_text", pattern, F.lit(0)), F.length)).otherwise(none))
-    hit = F.size(f"_m_{k}") > 0
-    gaps = F.when(hit, F.transform(F.split("_text", rule.regex, -1), F.length)).otherwise(none)
-    kept = F.when(hit, F.transform(F.regexp_extract_all("_text", pattern, F.lit(rule.group)), F.length)).otherwise(none)
-    df = df.withColumns({f"_p_{k}": gaps} | ({f"_g_{k}": kept} if rule.group else {}))
-    long_enough = f"_g_{k}" if rule.group else f"_m_{k}"
-    df = df.withColumn(f"_t_{k}", F.expr(f"transform(_m_{k}, (m, i) -> m + _p_{k}[i])"))
-    df = df.withColumn(f"_b_{k}", F.expr(f"transform(sequence(0, size(_t_{k}) div 64), b -> aggregate(slice(_t_{k}, int(b * 64 + 1), 64), 0, (a, x) -> a + x))"))
-    end = (f"aggregate(slice(_b_{k}, 1, int(i div 64)), 0, (a, x) -> a + x)"
-           f" + aggregate(slice(_t_{k}, int((i div 64) * 64 + 1), int(i % 64 + 1)), 0, (a, x) -> a + x)")
-    df = df.withColumn(f"_e_{k}", F.expr(f"transform(_t_{k}, (t, i) -> {end})"))
-    span = f"transform(_e_{k}, (e, i) -> named_struct('s', e - _m_{k}[i], 'k', {order}, 'e', e, 'n', {long_enough}[i], 'kind', '{k}'))"
-    return df.withColumn(f"_sp_{k}", F.expr(f"filter({span}, x -> x.n >= {rule.least})"))
+    found = lambda group: F.regexp_extract_all("_text", pattern, F.lit(group))
+    sized = F.zip_with(found(0), found(rule.group), lambda m, g: F.struct(F.length(m).alias("size"), F.length(g).alias("n")))
+    placed = F.zip_with(sized, F.split("_text", rule.regex, -1), lambda x, gap: F.struct(F.length(gap).alias("gap"), x["size"].alias("size"), x["n"].alias("n")))
+    every = F.filter(placed, lambda x: x["size"].isNotNull())  # behind the last match is a piece alone
+    moved = lambda at, x: at + x["gap"] + x["size"]
+
+    def span(at: Column, x: Column) -> Column:
+        return F.struct((at + x["gap"]).alias("s"), F.lit(order).alias("k"), moved(at, x).alias("e"), x["n"].alias("n"), F.lit(k).alias("kind"))
+
+    def appended(state: Column, at: Column, item: Column) -> Column:
+        return F.struct(at.alias("at"), F.concat(state["out"], F.array(item)).alias("out"))
+
+    def of_block(block: Column, start: Column) -> Column:
+        return F.aggregate(block, F.struct(start.alias("at"), F.array().cast(SPANS).alias("out")), lambda a, x: appended(a, moved(a["at"], x), span(a["at"], x)), lambda a: a["out"])
+
+    def of_blocks(blocks: Column) -> Column:
+        sums = F.transform(blocks, lambda block: F.aggregate(block, F.lit(0), moved))
+        starts = F.aggregate(sums, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")), lambda a, x: appended(a, a["at"] + x, a["at"]), lambda a: a["out"])
+        return F.flatten(F.zip_with(blocks, starts, of_block))
+
+    cut = lambda all_: F.transform(F.sequence(F.lit(0), F.floor((F.size(all_) - 1) / BLOCK).cast("int")), lambda b: F.slice(all_, b * BLOCK + 1, BLOCK))
+    spans = F.when(may, _named(every, lambda all_: F.when(F.size(all_) > 0, _named(cut(all_), of_blocks))))
+    return df.withColumn(f"_sp_{k}", F.filter(F.coalesce(spans, F.array().cast(SPANS)), lambda x: x["n"] >= rule.least))
 
 
 def _listed(spans: Column) -> Column:

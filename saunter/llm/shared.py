@@ -2,35 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used only where the session names no shared folder and runs on one machine, as in tests.
-LOCAL_DEFAULT = "/tmp/checkpoints"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """A new path below ``spark.checkpoint.dir``, the folder that driver and executors share; on a cluster it must be set."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        master = spark.conf.get("spark.master", "")
-        if not master.startswith("local") or master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = LOCAL_DEFAULT
-    return f"{base.rstrip('/')}/saunter-{uuid.uuid4().hex}"
-
-
-def staged(df: DataFrame, path: str | None = None, compression: str = "snappy") -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back.
-
-    It cuts lineage: what was staged survives lost executors, and rows whose making
-    is costly or order-dependent are made once.
-    """
-    path = path or shared_dir(df.sparkSession)
-    df.write.option("compression", compression).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+from saunter.sources.folders import shared_dir, staged
 
 
 class Scratch:
@@ -63,6 +39,21 @@ def free_name(df: DataFrame, stem: str) -> str:
     return stem
 
 
+def columns_of(df: DataFrame, but: str | None = None) -> list[Column]:
+    """The columns of ``df`` in order (``but`` one), whatever they are called: names may hold dots and spaces."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns if c != but]
+
+
+def map_whole_rows(docs: DataFrame, run, schema) -> DataFrame:
+    """``docs.mapInArrow(run, schema)`` for rows of any columns: it can't be called where a name holds a dot, so columns travel by place."""
+    names = docs.columns
+
+    def renamed(batches):
+        return run(pa.RecordBatch.from_arrays(b.columns, names=names) for b in batches)
+
+    return docs.toDF(*(f"c{k}" for k in range(len(names)))).mapInArrow(renamed, schema)
+
+
 def numbered_rows(docs: DataFrame) -> tuple[DataFrame, str]:
     """``docs`` with a number per row, and that column's name; staged, so a row keeps its number however often it is read."""
     name = free_name(docs, "row_number")
@@ -86,7 +77,7 @@ def split_likely(rows: DataFrame, keys: DataFrame, cols: list[str], bits: int =
     placed = rows.withColumn(place, slot([F.col(c) for c in cols])).withColumn(bucket, F.expr(f"bitmap_bucket_number({place})")).withColumn(place, F.expr(f"bitmap_bit_position({place})"))
     near = placed.join(F.broadcast(marks.withColumnsRenamed({"b": bucket, "m": mark})), bucket, "left")
     set_ = F.expr(f"coalesce(getbit(cast(conv(hex(substring({mark}, int({place} div 8) + 1, 1)), 16, 10) as int), int({place} % 8)) = 1, false)")
-    names = [F.col(f"`{c}`") for c in rows.columns]
+    names = columns_of(rows)
     return near.where(set_).select(*names), near.where(~set_).select(*names)
 
 
@@ -126,4 +117,4 @@ def cut_spans(docs: DataFrame, found: DataFrame, row_col: str, text_col: str) ->
     kept = F.transform(spans, lambda s, i: F.substring(text, (before(i) + 1).cast("int"), (s["start_char"] - before(i)).cast("int")))
     cut = F.concat(F.array_join(kept, ""), F.substring(text, (F.element_at(ends, -1) + 1).cast("int"), F.length(text)))
     joined = docs.join(hit, docs[row_col].eqNullSafe(F.col(row)), "left")
-    return joined.withColumn(text_col, F.when(F.col(spans).isNotNull(), cut).otherwise(text)).select(*(c for c in docs.columns if c != row_col))
+    return joined.withColumn(text_col, F.when(F.col(spans).isNotNull(), cut).otherwise(text)).select(*columns_of(docs, row_col))

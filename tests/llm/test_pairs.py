@@ -349,3 +349,28 @@ def test_passage_of_repeated_rows(spark):
 def test_repeated_rows_keep_one_unit(spark):
     long = " ".join(f"w{k}" for k in range(30))
     assert line_dedup.find_repeats(table(spark, [long] * 3, [7, 7, None])).count() == 2
+
+
+def test_rows_of_one_id_are_told_apart(spark):
+    """A near copy goes alone: not another row of its id. Repeated rows leave one, null ids come last."""
+    base = [f"w{k}" for k in range(60)]
+    near = lambda k: " ".join([*base[:-1], f"x{k}"])
+    rows = [(1, " ".join(base)), (5, near(1)), (5, "another text with words of its own"), (None, near(2)), (None, "alone and long enough to be told"), (7, "twice the same words here again"), (7, "twice the same words here again"), (8, ""), (8, "")]
+    docs = spark.createDataFrame([(i, t, "v") for i, t in rows], "doc_id long, text string, `near_id` string").repartition(3)
+    kept = ngram_join.keep_one(docs)
+    assert kept.columns == docs.columns
+    assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str) == sorted([rows[0], rows[2], rows[4], rows[5], rows[7], rows[8]], key=str)
+
+
+@pytest.mark.parametrize("operator", ["drop_duplicates", "keep_one", "remove_units", "remove_repeats", "cut_contaminated", "drop_contaminated", "language"])
+def test_names_with_dots_and_spaces(spark, operator):
+    import corpus_pipeline
+    from saunter.llm import decontam
+
+    rows = [(k, f"{'one two three four five six seven eight nine ten eleven twelve ' * 2}{k % 2}", "en", "x", k) for k in range(4)] + [(9, None, "en", "x", 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, `a.b` string, `c d` int")
+    bench = spark.createDataFrame([(1, "no such words in any of the documents that are here now")], "item_id long, text string")
+    use = {"drop_duplicates": exact_dedup.drop_duplicates, "keep_one": ngram_join.keep_one, "remove_units": line_dedup.remove_units, "remove_repeats": line_dedup.remove_repeats,
+           "cut_contaminated": lambda d: decontam.cut_contaminated(d, bench), "drop_contaminated": lambda d: decontam.drop_contaminated(d, bench), "language": lambda d: corpus_pipeline.language(spark, d, "")}
+    out = use[operator](docs)
+    assert out.columns == docs.columns and out.count() > 0 and {r["a.b"] for r in out.collect()} == {"x"}

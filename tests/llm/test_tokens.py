@@ -234,3 +234,17 @@ def test_token_counts(spark):
         each = [by_word[w] for w in (t or "").split()]
         assert got[i] == (len(each), sum(1 if n is None else n for n in each), each.count(None))
     assert token_count.count_tokens(table(spark, TEXTS).limit(0)).count() == 0
+
+
+def test_text_of_very_many_secrets(spark):
+    """Spans of 20,000 matches of two kinds in one text, in seconds: sums run in blocks."""
+    import time
+
+    from saunter.llm import secrets
+
+    n, step = 20_000, 50
+    text = "".join(f"token=abcd{k:06d} {'0123456789abcdef' * 2} " for k in range(n))
+    began = time.time()
+    row = secrets.find_secrets(spark.createDataFrame([(1, text), (2, text[: 700 * step])], "doc_id long, text string")).where("doc_id = 1").first()
+    assert time.time() - began < 60 and (row["n_assign"], row["n_hex"]) == (n, n)
+    assert row["base_spans"] == ",".join(f"assign:{k * step}:{k * step + 16},hex:{k * step + 17}:{k * step + 49}" for k in range(n))
