@@ -5,7 +5,8 @@ stage but the last returns the columns of ``documents``.
 
 Defined results: a row with a null text or without a letter goes in the first stage; a null id, source or
 language is no reason to go. Of rows that repeat an id and a text one stays. An empty table gives no rows.
-Further columns pass through all stages but the last, whatever they are called.
+Further columns pass through all stages but the last, whatever they are called (dots and spaces too). Ids may repeat: rows are told apart by
+id and text. The result of a stage is deleted when the next one's is written.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from saunter.llm import decontam, exact_dedup, langid, ngram_join, packing
-from saunter.llm.shared import free_name, shared_dir
+from saunter.llm.shared import columns_of, discard, free_name, shared_dir
 
 #: A document stays if its language is told with this much probability; `und` has 0.
 LEAST_LANGUAGE_SCORE = 0.35
@@ -24,7 +25,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a recognisable language go; a missing language is filled in."""
     pred, score = free_name(docs, "language_pred"), free_name(docs, "language_score")
     found = langid.label(docs, names=(pred, score)).where((F.col(pred) != langid.UNKNOWN) & (F.col(score) >= LEAST_LANGUAGE_SCORE))
-    return found.withColumn("lang", F.coalesce("lang", pred)).select(*docs.columns)
+    return found.withColumn("lang", F.coalesce("lang", pred)).select(*columns_of(docs))
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,9 +56,12 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Applies the stages to ``documents``; each result is written as Parquet and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for _, stage in STAGES:
         path = shared_dir(spark)
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            discard(spark, before)  # its rows are in the next one's result
+        before = path
     return docs
