@@ -2,18 +2,39 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Texts are taken together up to so many bytes: bounds what a task holds of them as Python objects.
 SLICE_BYTES = 500_000
+#: The C library's own way to give freed memory back, where it has one.
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
 #: Lower-cases A-Z and turns every ASCII byte but a-z and 0-9 into a space; bytes from 0x80 stay.
 ALNUM_TABLE = bytes((b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32) for b in range(256))
 
 
 def slices(batches, text_col: int | str, most: int = SLICE_BYTES):
-    """The batches in runs of rows whose texts have about ``most`` bytes; a row is never split."""
+    """The batches in runs of rows whose texts have about ``most`` bytes; a row is never split.
+
+    Behind the last row the worker's freed memory goes back to the system: a worker lives on, and would keep it beside the next stage's.
+    """
+    yield from _runs(batches, text_col, most)
+    released()
+
+
+def released() -> None:
+    """Gives memory that is freed, but held by allocators, back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
+def _runs(batches, text_col: int | str, most: int):
     for b in batches:
         ends = np.cumsum(np.nan_to_num(pc.binary_length(b.column(text_col)).to_numpy(zero_copy_only=False).astype(np.float64)))
         first = 0
