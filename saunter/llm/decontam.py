@@ -25,10 +25,10 @@ from pyspark.sql import functions as F
 
 from saunter.llm.fm_index import FmIndex, ranges
 from saunter.llm.shared import cut_spans, free_name, map_whole_rows, numbered_rows, staged
-from saunter.llm.words import Numbers, alnum_words, slices, utf8
+from saunter.llm.words import Numbers, alnum_words, released, slices, utf8
 
 WINDOW = 10
-SHARD_WORDS = 1 << 20
+SHARD_WORDS = 1 << 19
 BLOCK_WORDS = 1 << 20
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -107,6 +107,7 @@ def _shards(batches, text_col: str):
             held.append(b.slice(first))
     if shard.docs:
         yield shard, held
+        released()
 
 
 def _searched(docs: DataFrame, blocks: list, window: int) -> DataFrame:

@@ -46,7 +46,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | None = N
     def cut(batches):
         n = TaskContext.get().partitionId() << 40
         words = encoder(path)
-        for b in slices(batches, 1):
+        for b in slices(batches, 1, own=encoder):
             cols = {k: [] for k in ("row", "at", "piece", "start", "length", "ids_crc32", "ids")}
             for at, text in enumerate(b.column(1).to_pylist()):
                 ids = words.encode(text)

@@ -95,7 +95,7 @@ def _encode(docs: DataFrame, vocabulary: str, id_col: str, text_col: str, width:
     id_type = docs.schema[id_col].dataType.simpleString()
     def chunked(batches):
         row, words, met = TaskContext.get().partitionId() << 40, encoder(vocabulary), set()
-        for b in slices(batches, 1):
+        for b in slices(batches, 1, own=encoder):
             whole = [words.encode(t) for t in b.column(1).to_pylist()]
             ids, ends = np.frombuffer(b"".join(whole), "<u4"), np.cumsum([len(x) // 4 for x in whole])
             found, of = cuts_of(ids, ends.tolist())

@@ -11,11 +11,12 @@ vocabulary whole texts go through the library.
 from __future__ import annotations
 
 import re
-from functools import lru_cache
 
 import numpy as np
 import regex
 
+from saunter.llm.words import kept_by_worker
+
 END_ID = 1
 #: Entries after which a worker's memos of words and of cores begin a new generation: the last one is kept, and
 #: what is asked for again moves on. Bounds their memory.
@@ -97,7 +98,7 @@ class WordEncoder(dict):
         return b"".join(map(self.__getitem__, words)) + END_ID.to_bytes(4, "little")
 
 
-@lru_cache(maxsize=2)
+@kept_by_worker
 def encoder(path: str) -> WordEncoder:
-    """One per Python worker: reused by the tasks that run there."""
+    """One per Python worker: reused by the tasks that run there, until another operator's do."""
     return WordEncoder(path)

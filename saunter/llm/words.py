@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import gc
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -17,11 +18,26 @@ _TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
 ALNUM_TABLE = bytes((b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32) for b in range(256))
 
 
-def slices(batches, text_col: int | str, most: int = SLICE_BYTES):
+_KEPT: list = []
+
+
+def kept_by_worker(make):
+    """Decorator: what ``make`` returned (for the last two of its arguments) stays in the worker until a task begins that doesn't name it as its own."""
+    made = lru_cache(maxsize=2)(make)
+    _KEPT.append(made)
+    return made
+
+
+def slices(batches, text_col: int | str, most: int = SLICE_BYTES, own=None):
     """The batches in runs of rows whose texts have about ``most`` bytes; a row is never split.
 
-    Behind the last row the worker's freed memory goes back to the system: a worker lives on, and would keep it beside the next stage's.
+    A worker lives on, so another operator's `kept_by_worker` (but ``own``) goes first, and behind the last row
+    freed memory goes back to the system: else the worker would keep both beside what this and the next stage need.
     """
+    if others := [made for made in _KEPT if made is not own and made.cache_info().currsize]:
+        for made in others:
+            made.cache_clear()
+        released()
     yield from _runs(batches, text_col, most)
     released()
 

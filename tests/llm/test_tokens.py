@@ -248,3 +248,18 @@ def test_text_of_very_many_secrets(spark):
     row = secrets.find_secrets(spark.createDataFrame([(1, text), (2, text[: 700 * step])], "doc_id long, text string")).where("doc_id = 1").first()
     assert time.time() - began < 60 and (row["n_assign"], row["n_hex"]) == (n, n)
     assert row["base_spans"] == ",".join(f"assign:{k * step}:{k * step + 16},hex:{k * step + 17}:{k * step + 49}" for k in range(n))
+
+
+def test_a_worker_keeps_its_own_operator_s_things_alone():
+    import pyarrow as pa
+
+    from saunter.llm import words
+
+    made = []
+    keep = words.kept_by_worker(lambda key: made.append(key) or object())
+    batch = pa.RecordBatch.from_pydict({"text": ["a b", None, ""]})
+    first = keep(1)
+    assert [b.num_rows for b in words.slices([batch], "text", own=keep)] == [3] and keep(1) is first
+    assert [b.num_rows for b in words.slices([batch], "text", most=1)] == [1, 1, 1]
+    assert keep(1) is not first and made == [1, 1]
+    words._KEPT.remove(keep)
