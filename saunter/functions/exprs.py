@@ -183,6 +183,17 @@ def volume_ratio(shifted) -> Column:
 CURVES = {"Disk": lambda size, d_line, d_ball: F.lit(1.0), "Line_area": lambda size, d_line, d_ball: area_ratio(d_line, d_ball), "Line_volume": lambda size, d_line, d_ball: volume_ratio(size)}
 
 
+def known_curve(kind) -> Column:
+    """Whether a row names a curve that there is."""
+    return F.coalesce(_c(kind).isin(*CURVES), F.lit(False))
+
+
+def curve_by_row(kind, size, d_line, d_ball) -> Column:
+    """`reference_curve` where each row names its own; null for one that there isn't."""
+    kind = _c(kind)
+    return F.coalesce(*(F.when(kind == name, curve(_c(size), _c(d_line), _c(d_ball))) for name, curve in CURVES.items()))
+
+
 def reference_curve(kind: str, size, d_line=None, d_ball=None) -> Column:
     """The expected ratio of a ball to the reference shape."""
     if kind not in CURVES:

@@ -35,8 +35,7 @@ def surface_cells(params: DataFrame) -> DataFrame:
 def volume_cells(params: DataFrame) -> DataFrame:
     """Cells of the fixed-volume grid; lmax is half the side. Shapes that it doesn't run go."""
     cells = expand_cells(params, VOLUME_ORDER)
-    d = F.when(F.col("TargetShape") == F.col("reference_shape"), F.col("DiskDiameter")).when(
-        F.col("TargetShape") == "Ball_no_boundary", X.diameter_from_measure(4 * X.PI + 2 * X.PI * F.col("DiskDiameter"), F.lit("Ball")))
+    d = X.diameter_fixed_volume("DiskDiameter", "TargetShape", F.col("reference_shape"))
     return cells.withColumn("n_volume", X.volume_from_side("side")).withColumn("lmax", (F.col("side") / 2).cast("int")).withColumn("D", d).where("D is not null")
 
 
@@ -76,3 +75,22 @@ def grid_coverage(cells: DataFrame, trials: DataFrame, on, num_runs: str | int =
     out = cells.join(present, list(on), "left").withColumn("expected", expected).withColumn("actual", F.coalesce("_actual", F.lit(0).cast("long"))).drop("_actual")
     out = out.withColumn("missing", F.greatest(F.col("expected") - F.col("actual"), F.lit(0).cast("long")))
     return out.withColumn("pct", F.try_divide(100.0 * F.col("actual"), F.col("expected")))
+
+
+#: What a trial of each variant is matched on, when the coverage of configurations is asked for.
+SURFACE_KEYS = ["mu", "surface", "TargetShape", "probability"]
+VOLUME_KEYS = ["mu", "DiskDiameter", "TargetShape"]
+
+
+def config_coverage(configs: DataFrame, trials: DataFrame, surface_keys=SURFACE_KEYS, volume_keys=VOLUME_KEYS) -> DataFrame:
+    """Coverage of all configurations, of either variant, by one table of trials: variant, experiment, the keys, expected, actual, missing, pct.
+
+    A configuration with disk diameters is one of fixed volume, whose cells are all run; others run their valid cells.
+    A trial counts for the variant whose keys it has; a cell that several configurations ask for is listed under each.
+    """
+    fixed, keys = F.col("range_disk_diameter").isNotNull(), list(dict.fromkeys([*surface_keys, *volume_keys]))
+    parts = []
+    for variant, cells, on in (("surface", valid_cells(surface_cells(configs.where(~fixed))), surface_keys), ("fixed_volume", volume_cells(configs.where(fixed)), volume_keys)):
+        found = grid_coverage(cells.select("experiment", "num_runs", *on), trials, on)
+        parts.append(found.select(F.lit(variant).alias("variant"), "experiment", *on, "expected", "actual", "missing", "pct"))
+    return parts[0].unionByName(parts[1], allowMissingColumns=True).select("variant", "experiment", *keys, "expected", "actual", "missing", "pct")

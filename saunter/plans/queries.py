@@ -51,6 +51,12 @@ VIEWS = {
                CAST(111 * p_partkey % 5120 AS DOUBLE) / 10 AS z, CAST(CASE WHEN p_partkey % 4 < 2 THEN p_size ELSE 400 * p_size END AS DOUBLE) AS D,
                CASE p_partkey % 4 WHEN 0 THEN '3Line' WHEN 1 THEN '3Line_convex_hull' WHEN 2 THEN '2D_rectangle' ELSE 'prism_with_elongation' END AS TargetShape, 0.5E0 AS delta
         FROM {part}"""),
+    "mixed_targets": ("part", """
+        SELECT p_partkey AS target_id, 1.7E0 * p_retailprice - 512 * FLOOR(1.7E0 * p_retailprice / 512) AS x, CAST(CASE WHEN p_partkey % 11 > 0 THEN 93 * p_size % 5120 END AS DOUBLE) / 10 AS y,
+               CAST(111 * p_partkey % 5120 AS DOUBLE) / 10 AS z, CAST(CASE WHEN p_partkey % 13 > 0 THEN 20 + p_size END AS DOUBLE) AS D,
+               CASE p_partkey % 5 WHEN 0 THEN 'Ball' WHEN 1 THEN '2D_rectangle' WHEN 2 THEN p_brand WHEN 3 THEN 'prism_with_elongation' END AS TargetShape,
+               CAST(CASE WHEN p_partkey % 7 > 0 THEN 0.5 END AS DOUBLE) AS delta
+        FROM {part}"""),
 }
 
 
@@ -464,6 +470,36 @@ def multi_target_passage(steps):
     return rounded(P.first_passage(hits[0].unionByName(hits[1]), 3, 0.2, order=("step", "target_no"), carry=("target_no", "time")))
 
 
+REASONS = """CASE WHEN TargetShape IS NULL THEN 'unknown shape: null' WHEN TargetShape NOT IN ('Ball', '2D_rectangle', 'prism_with_elongation') THEN 'unknown shape: ' || TargetShape
+    WHEN D IS NULL OR (TargetShape <> 'Ball' AND delta IS NULL) THEN 'missing size' WHEN TargetShape <> 'prism_with_elongation' AND y IS NULL THEN 'missing place' END"""
+
+
+@query("region_rejects", f"SELECT * FROM (SELECT target_id, TargetShape, {REASONS} AS reason FROM mixed_targets) WHERE reason IS NOT NULL", ("mixed_targets",))
+def region_rejects(targets):
+    return space.split_targets(targets)[1].select("target_id", "TargetShape", "reason")
+
+
+@query("region_hits_of_known", f"""AND_WITH good AS (SELECT * FROM mixed_targets WHERE ({REASONS}) IS NULL),
+    d AS (SELECT event_id, target_id, TargetShape, D, delta, p.x AS px, p.y AS py, p.z AS pz, {DELTAS} FROM points p, good t)
+    SELECT event_id, target_id, TargetShape FROM d WHERE CASE TargetShape WHEN 'Ball' THEN SQRT(dx * dx + dy * dy + dz * dz) <= D / 2 + 1
+        WHEN '2D_rectangle' THEN dx < POW(D, delta) / 2 AND dy < POW(D, 1 - delta) / 2 AND dz < 1
+        ELSE GREATEST(ABS(px), ABS(py)) < (SQRT(D) + 2) / 2 AND ABS(pz) < (POW((SQRT(D) + 2) / 2, delta) + 2) / 2 END""", ("points", "mixed_targets"))
+def region_hits_of_known(points, targets):
+    return space.region_hits(points, space.split_targets(targets)[0], 512.0).select("event_id", "target_id", "TargetShape")
+
+
+@query("curves_by_row", """AND_WITH k AS (SELECT *, CASE l_orderkey % 5 WHEN 0 THEN 'Disk' WHEN 1 THEN 'Line_area' WHEN 2 THEN 'Line_volume' WHEN 3 THEN TargetShape END AS kind FROM trials),
+    c AS (SELECT kind, surface, CASE kind WHEN 'Disk' THEN 1 WHEN 'Line_area' THEN (PI() + 2 * D) / (D * D) WHEN 'Line_volume' THEN 6 * SQRT(PI()) * (surface / 2 - 2 * PI() / 3) / POW(surface, 1.5) END AS y,
+          CASE WHEN kind IS NULL THEN 'no curve: null' WHEN kind NOT IN ('Disk', 'Line_area', 'Line_volume') THEN 'no curve: ' || kind END AS reason FROM k)
+    SELECT kind, surface, reason, COUNT(*) AS n, ROUND(MAX(y), 6) AS y FROM c GROUP BY kind, surface, reason""")
+def curves_by_row(trials):
+    part = F.col("l_orderkey") % 5
+    named = trials.withColumn("kind", F.when(part == 0, "Disk").when(part == 1, "Line_area").when(part == 2, "Line_volume").when(part == 3, F.col("TargetShape")))
+    reason = F.when(~X.known_curve("kind"), F.concat(F.lit("no curve: "), F.coalesce("kind", F.lit("null"))))
+    told = named.select("kind", "surface", reason.alias("reason"), X.curve_by_row("kind", "surface", "D", "D").alias("y"))
+    return rounded(told.groupBy("kind", "surface", "reason").agg(F.count("*").alias("n"), F.max("y").alias("y")))
+
+
 @query("volume_grid", """AND_WITH ex AS (SELECT DISTINCT TargetShape AS experiment FROM trials), mus AS (SELECT DISTINCT mu FROM trials), ds AS (SELECT DISTINCT surface AS d FROM trials),
     c AS (SELECT experiment, mu, d AS DiskDiameter, shape AS TargetShape, CASE WHEN shape = 'Disk' THEN d WHEN shape = 'Ball_no_boundary' THEN CBRT(6 * (4 * PI() + 2 * PI() * d) / PI()) END AS D
           FROM ex, mus, ds, (SELECT experiment AS shape FROM ex) v)

@@ -116,3 +116,14 @@ def test_fixed_volume_grid(spark):
     cells = grid.volume_cells(spark.createDataFrame(row, kinds))
     assert cells.count() == 8 and {r["lmax"] for r in cells.collect()} == {256}
     assert cells.where("TargetShape = 'Ball_no_boundary' and DiskDiameter = 10").select(F.round("D", 4)).first()[0] == 5.2415
+
+
+def test_coverage_of_configurations_of_both_variants(spark, folder):
+    common = "num_runs=4\nrange_side=512\nrangemu_LevyDistrib=1.2,2.0\nrange_nwalkers=1\nrange_ntargets=1\n"
+    (folder / "confs").mkdir()
+    (folder / "confs" / "s.conf").write_text(common + "surface_selector=1\ndelta_selector=0\nl_max=256\nrange_diam=480,3\nlist_shapes=Ball\nrange_probability=1.0\n")
+    (folder / "confs" / "v.conf").write_text(common + "reference_shape=Disk\nrange_disk_diameter=10\nlist_shapes=Disk,Ball_no_boundary,Line\n")
+    found = grid.config_coverage(grids.read_grids(spark, f"{folder}/confs"), trials.read_trials(spark, f"{folder}/a.csv", f"{folder}/b.csv"))
+    got = sorted((r["variant"], r["mu"], r["TargetShape"], r["expected"], r["actual"], r["missing"], r["pct"]) for r in found.collect())
+    assert got == [("fixed_volume", 1.2, "Ball_no_boundary", 4, 0, 4, 0.0), ("fixed_volume", 1.2, "Disk", 4, 0, 4, 0.0), ("fixed_volume", 2.0, "Ball_no_boundary", 4, 1, 3, 25.0),
+                   ("fixed_volume", 2.0, "Disk", 4, 0, 4, 0.0), ("surface", 1.2, "Ball", 4, 2, 2, 50.0), ("surface", 2.0, "Ball", 4, 0, 4, 0.0)]
