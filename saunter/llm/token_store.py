@@ -14,7 +14,9 @@
 
 `read_back` reads the files, checks every chunk against its id and every root against
 recipe and manifest, and gives each document's checksum by combining those of its chunks:
-ids are not moved to documents. `reconstruct` gives the ids themselves.
+ids are not moved to documents. `reconstruct` gives the ids themselves. Both count first how
+often a chunk is named: a chunk of many documents is broadcast (under a thousand chunks, of
+16 KB at most), so no task gets all that name it.
 
 Defined results: null text is empty (the end id alone); repeated and null ids are
 documents of their own (nulls first); an empty table gives empty files.
@@ -33,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from saunter.llm.shared import discard, shared_dir, staged
+from saunter.llm.shared import discard, join_groups, shared_dir, staged
 from saunter.llm.tokens import default_vocabulary, encoder
 from saunter.llm.words import slices
 
@@ -226,6 +228,11 @@ def read_chunks(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(f"{path}/chunks").select("chunk_id", "n", "ids").mapInArrow(checked, "chunk_id binary, n int, crc long, sound boolean")
 
 
+def _asked(refs: DataFrame, chunks: DataFrame) -> DataFrame:
+    """What is known of each chunk that recipes name, nulls if it is lost, and how many ``refs`` name it: a row per chunk."""
+    return refs.groupBy("chunk_id").agg(F.count("*").alias("refs")).join(chunks, "chunk_id", "left")
+
+
 def read_back(spark: SparkSession, path: str) -> DataFrame:
     """One row per document, from the files: doc_id, start, n_tokens, ids_crc32, verified."""
     recipes = spark.read.parquet(f"{path}/recipes")
@@ -233,7 +240,7 @@ def read_back(spark: SparkSession, path: str) -> DataFrame:
     again = _shard_roots(recipes).alias("a")
     shards = again.join(manifest, "shard", "left").select("shard", F.coalesce(F.expr("a.root = m.root and a.docs = m.docs and a.tokens = m.tokens"), F.lit(False)).alias("shard_ok"))
     refs = recipes.select("row", F.posexplode("chunk_ids").alias("seq", "chunk_id"))
-    known = refs.join(read_chunks(spark, path), "chunk_id", "left")
+    known = join_groups(refs, staged(_asked(refs, read_chunks(spark, path))), ["chunk_id"], "refs")
     parts = known.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("seq", "n", "crc", "sound"))).alias("parts"))
     rows = recipes.join(parts, "row").join(shards, "shard")
     id_type = recipes.schema["doc_id"].dataType.simpleString()
@@ -256,7 +263,7 @@ def read_back(spark: SparkSession, path: str) -> DataFrame:
 
 
 def reconstruct(spark: SparkSession, path: str) -> DataFrame:
-    """(doc_id, row, ids): every document's ids again (32 bits wide), from recipes and chunks."""
+    """(doc_id, row, ids): every document's ids again (32 bits wide), from recipes and chunks; null if one of its chunks is lost."""
     def wide(batches):
         for b in batches:
             keys, ns, ids = (b.column(k).to_pylist() for k in ("chunk_id", "n", "ids"))
@@ -264,5 +271,5 @@ def reconstruct(spark: SparkSession, path: str) -> DataFrame:
 
     chunks = spark.read.parquet(f"{path}/chunks").mapInArrow(wide, "chunk_id binary, ids binary")
     refs = spark.read.parquet(f"{path}/recipes").select("doc_id", "row", F.posexplode("chunk_ids").alias("seq", "chunk_id"))
-    parts = refs.join(chunks, "chunk_id").groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.array_sort(F.collect_list(F.struct("seq", "ids"))).alias("parts"))
+    parts = join_groups(refs, _asked(refs, chunks), ["chunk_id"], "refs").groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.array_sort(F.collect_list(F.struct("seq", "ids"))).alias("parts"))
     return parts.select("doc_id", "row", F.aggregate("parts", F.lit(b""), lambda a, x: F.concat(a, x["ids"])).alias("ids"))

@@ -9,6 +9,7 @@ import pyarrow.parquet as pq
 import pytest
 from hypothesis import example, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from saunter.llm import packing, token_count, token_store, tokens
 from tests.llm.test_pairs import table
@@ -185,6 +186,27 @@ def test_damage_is_seen(spark, tmp_path):
     assert {r["verified"] for r in token_store.read_back(spark, path).collect()} == {False}
 
 
+def test_chunks_of_many_documents_and_lost_ones(spark, tmp_path):
+    texts = ["one text of many rows"] * 40 + [f"text of row {i}" for i in range(20)]
+    path = token_store.write_store(table(spark, texts), f"file://{tmp_path}/store")
+    assert all(r["verified"] for r in token_store.read_back(spark, path).collect())
+    ids = {r["doc_id"]: bytes(r["ids"]) for r in token_store.reconstruct(spark, path).collect()}
+    assert len(ids) == 60 and len(set(ids.values())) == 21
+    crcs = {r["doc_id"]: r["ids_crc32"] for r in token_store.read_back(spark, path).collect()}
+    assert crcs == {k: zlib.crc32(x) for k, x in ids.items()}
+
+    chunks = spark.read.parquet(f"{path}/chunks")
+    many = spark.read.parquet(f"{path}/recipes").select(F.explode("chunk_ids").alias("chunk_id")).groupBy("chunk_id").count().where("count = 40")
+    left = f"file://{tmp_path}/left"
+    chunks.join(many, "chunk_id", "left_anti").write.parquet(f"{left}/chunks")
+    for part in ("recipes", "manifest"):
+        spark.read.parquet(f"{path}/{part}").write.parquet(f"{left}/{part}")
+    got = token_store.read_back(spark, left).collect()
+    assert len(got) == 60 and sorted(crcs[r["doc_id"]] == r["ids_crc32"] for r in got) == [False] * 40 + [True] * 20
+    assert {r["verified"] for r in got if r["ids_crc32"] is None} == {False}
+    assert sum(r["ids"] is None for r in token_store.reconstruct(spark, left).collect()) == 40
+
+
 def test_empty_store(spark):
     assert token_store.read_back(spark, token_store.write_store(table(spark, ["x"]).limit(0))).count() == 0
 
