@@ -6,6 +6,7 @@ import math
 from contextlib import contextmanager
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
@@ -160,12 +161,23 @@ def append_trials(stream: DataFrame, path: str, checkpoint: str):
 FILE = "file_digest"
 
 
+def _contents(spark: SparkSession, path: str) -> DataFrame:
+    """The digests that a table of `append_files` holds, by the names of its folders; no file is opened."""
+    try:
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").load(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], f"{FILE} string")
+    return files.select(F.regexp_extract("path", f"{FILE}=([0-9a-f]+)/", 1).alias(FILE)).distinct()
+
+
 def append_files(spark: SparkSession, folder: str, path: str, checkpoint: str, variant: str = "surface", files_per_trigger: int = 1000):
     """Trial files of a folder, appended to the Parquet table ``path``; a content counts once.
 
-    Rows lie in a folder per file content (a digest of its bytes), and a batch replaces the
-    folders it writes. So a file that comes twice, under another name or in a batch that is run again after a failure,
-    leaves what is there. Files must land whole. `compact` makes fewer files of them.
+    Rows lie in a folder per file content (a digest of its bytes), which is moved to its place whole. So a file that comes
+    twice, under another name or in a batch that is run again after a failure, leaves what is there: its bytes are read for
+    their digest, not its rows. Files must land whole. `compact` makes fewer files of them.
     """
     kinds = "path string, modificationTime timestamp, length long, content binary"
     text = spark.readStream.format("binaryFile").schema(kinds).option("pathGlobFilter", "*.csv").option("maxFilesPerTrigger", files_per_trigger).load(folder)
@@ -173,13 +185,15 @@ def append_files(spark: SparkSession, folder: str, path: str, checkpoint: str, v
     def add(batch: DataFrame, number: int) -> None:
         own = batch.sparkSession
         own_files = batch.select("path", F.sha2("content", 256).alias(FILE)).groupBy(FILE).agg(F.min("path").alias("path"))
-        lines = batch.join(own_files, "path").select(FILE, F.posexplode(F.split(F.decode("content", "UTF-8"), r"\r?\n")).alias("line", "value"))
+        new_files = own_files.join(_contents(own, path), FILE, "left_anti")  # files_per_trigger rows at most
+        lines = batch.join(F.broadcast(new_files), "path").select(FILE, F.posexplode(F.split(F.decode("content", "UTF-8"), r"\r?\n")).alias("line", "value"))
         ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema(variant).fields)
         rows = lines.where("line > 0 and value <> ''").select(F.from_csv("value", ddl).alias("r"), FILE).select("r.*", FILE)
         before = own.conf.get("spark.sql.sources.partitionOverwriteMode", "static")
         own.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
         try:
-            rows.repartition(FILE).write.mode("overwrite").partitionBy(FILE).parquet(path)
+            # A file's rows are in the task that read it: its folder is written there.
+            rows.write.mode("overwrite").partitionBy(FILE).parquet(path)
         finally:
             own.conf.set("spark.sql.sources.partitionOverwriteMode", before)
 

@@ -110,3 +110,21 @@ def test_file_that_comes_twice_counts_once(spark, tmp_path):
     assert same(spark.read.parquet(path)) == same(want)
     live.compact(spark, path, str(tmp_path / "less"))
     assert same(spark.read.parquet(str(tmp_path / "less"))) == same(want)
+
+
+def test_content_that_is_there_is_not_written_again(spark, tmp_path):
+    """All batches once more: the files of the table stay the ones that were there, and a new content beside them is added."""
+    folder, path, ck = (str(tmp_path / x) for x in ("in", "table", "ck"))
+    (tmp_path / "in").mkdir()
+    text = lambda k: "\n".join([SURFACE, *(ROW1.replace("123.45", f"{100 + k + j}.00") for j in range(3))]) + "\n"
+    for k in range(3):
+        (tmp_path / "in" / f"{k}.csv").write_text(text(10 * k))
+    live.append_files(spark, folder, path, ck, files_per_trigger=2).awaitTermination()
+    before = sorted(spark.read.parquet(path).inputFiles())
+    assert len(before) == 3
+    live.append_files(spark, folder, path, ck + "-lost").awaitTermination()
+    assert sorted(spark.read.parquet(path).inputFiles()) == before
+    (tmp_path / "in" / "3.csv").write_text(text(30))
+    live.append_files(spark, folder, path, ck + "-lost").awaitTermination()
+    after = sorted(spark.read.parquet(path).inputFiles())
+    assert len(after) == 4 and set(before) < set(after) and spark.read.parquet(path).count() == 12
