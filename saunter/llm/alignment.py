@@ -1,8 +1,11 @@
 """Links between the tokens of two tokenizers, and how usual each pair of linked ids is in the corpus.
 
-Both encode the same bytes. The cumulative ends of either side go into a dictionary, end -> index; the ends that
-both have, sorted, slice both id lists into groups. Within a slice each stretch between neighbouring ends of either side
-lies in one token of each: it is one link.
+Both encode the same bytes. Ends that both sides' tokens have slice both id lists into groups. Within a slice each stretch
+between neighbouring ends of either side lies in one token of each: it is one link.
+
+Where no token of either side reaches over a space behind another character (``apart``), a text's tokens, groups and links are
+those of its stretches from one such space to the next. Stretches repeat, so a worker aligns each distinct one once and keeps what
+it found of the most used ones (`Stretches`); new ones are joined and aligned together. With other vocabularies a text is one stretch.
 
 1. One pass encodes and aligns. Texts are taken together in chunks of about ``CHUNK_BYTES``: a chunk is one row with the
    distinct id pairs of its texts, in how many of them each is, and the pairs of each text as numbers into that list. A
@@ -19,7 +22,9 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -29,10 +34,12 @@ from pyspark.sql import functions as F
 
 from saunter.llm.shared import Scratch
 from saunter.llm.tokens import byte_alphabet
-from saunter.llm.words import slices
+from saunter.llm.words import Numbers, kept_by_worker, slices
 
 #: Text that is taken together: bounds what a task holds and the size of a chunk's row.
 CHUNK_BYTES = 4 << 20
+#: Stretches that a worker keeps between chunks, their bytes with those of their groups as text, and how many are aligned together.
+KEPT_STRETCHES, KEPT_BYTES, TOGETHER = 200_000, 32 << 20, 20_000
 REPORT = ["n_a", "n_b", "n_groups", "n_links"]
 
 
@@ -56,7 +63,8 @@ class ByteLevel:
         pairs = [m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"]]
         made = [vocabulary[a + b] for a, b in pairs]
         kept = spec["pre_tokenizer"] == {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
-        if kept and spec["normalizer"] is None and made == sorted(set(made)) and min(made, default=256) >= 256 and len(self.bytes) == 256 + len(made):
+        self.apart = kept and spec["normalizer"] is None and made == sorted(set(made)) and min(made, default=256) >= 256 and len(self.bytes) == 256 + len(made)
+        if self.apart:
             # Where ids are merge ranks, the faster library of ranks gives the same ids.
             import public_tokenizers
 
@@ -71,9 +79,13 @@ class Pieces:
     """A sentencepiece vocabulary: its mark is a space, and its byte pieces are bytes."""
 
     def __init__(self, path: str):
-        from sentencepiece import SentencePieceProcessor
+        from sentencepiece import SentencePieceProcessor, sentencepiece_model_pb2
 
-        p = SentencePieceProcessor(model_file=path)
+        p, spec = SentencePieceProcessor(model_file=path), sentencepiece_model_pb2.ModelProto()
+        spec.ParseFromString(p.serialized_model_proto())
+        rules, names = spec.normalizer_spec, [x.piece for x in spec.pieces]
+        plain = not rules.precompiled_charsmap and rules.add_dummy_prefix and rules.escape_whitespaces and not rules.remove_extra_whitespaces
+        self.apart = plain and spec.trainer_spec.model_type == spec.trainer_spec.BPE and not spec.trainer_spec.treat_whitespace_as_suffix and not any("▁" in x.lstrip("▁") for x in names)
         shown = lambda i: bytes([int(p.id_to_piece(i)[3:5], 16)]) if p.is_byte(i) else p.id_to_piece(i).replace("▁", " ").encode()
         self.bytes = {i: shown(i) for i in range(p.get_piece_size())}
         self.ids = lambda text: p.encode(text, num_threads=1)
@@ -81,32 +93,34 @@ class Pieces:
 
 @lru_cache(maxsize=2)
 def _sides(path_a: str, path_b: str):
-    """Either side's encoder and, by id, lengths, bytes and names; one per Python worker."""
+    """Either side's encoder; by id, lengths, bytes and names; and whether its tokens stay apart at spaces. One per Python worker."""
     def side(v):
         most = max(v.bytes) + 1
-        return v.ids, np.array([len(v.bytes.get(i, b"")) for i in range(most)], np.int64), v.bytes, list(map(str, range(most)))
+        return v.ids, np.array([len(v.bytes.get(i, b"")) for i in range(most)], np.int64), v.bytes, list(map(str, range(most))), v.apart
 
     return side(ByteLevel(path_a)), side(Pieces(path_b))
 
 
 class Aligned:
-    """A text's ids on both sides and the places where groups end: ``cut_a[k]``, ``cut_b[k]`` tokens are in the first k + 1 groups."""
+    """A text's ids on both sides, where their tokens end, and the places where groups end: ``cut_a[k]``, ``cut_b[k]`` tokens are in the
+    first k + 1 groups. ``ends`` are those of links, ``keys`` their pairs."""
 
     def __init__(self, text: str | None, a, b):
-        self.a, self.b, self.cut_a, self.cut_b, self.keys = [], [], [], [], np.zeros(0, np.int64)
+        self.a, self.b, self.cut_a, self.cut_b = [], [], [], []
+        self.ends_a = self.ends_b = self.ends = self.keys = np.zeros(0, np.int64)
         if not text:
             return
         want, ids_a, ids_b = b" " + text.encode(), a[0](" " + text), b[0](text)
         if b"".join(map(a[2].__getitem__, ids_a)) != want or b"".join(map(b[2].__getitem__, ids_b)) != want:
             return
         self.a, self.b = ids_a, ids_b
-        both = [(np.array(ids, np.int64), np.cumsum(side[1][ids])) for ids, side in ((ids_a, a), (ids_b, b))]
-        at_a, at_b = ({e: k for k, e in enumerate(ends.tolist(), 1)} for _, ends in both)
-        common = sorted(at_a.keys() & at_b.keys())
-        self.cut_a, self.cut_b = list(map(at_a.__getitem__, common)), list(map(at_b.__getitem__, common))
-        ends = np.union1d(both[0][1], both[1][1])
-        left, right = (ids[np.searchsorted(own, ends)] for ids, own in both)
-        self.keys = left << 32 | right
+        left, right = np.array(ids_a, np.int64), np.array(ids_b, np.int64)
+        self.ends_a, self.ends_b = np.cumsum(a[1][left]), np.cumsum(b[1][right])
+        at = np.searchsorted(self.ends_b, self.ends_a)
+        both = self.ends_b[at] == self.ends_a
+        self.cut_a, self.cut_b = (np.flatnonzero(both) + 1).tolist(), (at[both] + 1).tolist()
+        self.ends = np.union1d(self.ends_a, self.ends_b)
+        self.keys = left[np.searchsorted(self.ends_a, self.ends)] << 32 | right[np.searchsorted(self.ends_b, self.ends)]
 
     def groups(self):
         """(ids of a, ids of b) per group."""
@@ -115,13 +129,89 @@ class Aligned:
             yield self.a[i:x], self.b[j:y]
             i, j = x, y
 
-    def text(self, names_a: list[str], names_b: list[str]) -> str:
-        """Groups as ``a1,a2|b1;a3|b2``."""
+    def shown(self, names_a: list[str], names_b: list[str]) -> list[str]:
+        """Each group as ``a1,a2|b1``."""
         a, b, out, i, j = list(map(names_a.__getitem__, self.a)), list(map(names_b.__getitem__, self.b)), [], 0, 0
         for x, y in zip(self.cut_a, self.cut_b):
             out.append(f"{a[i]}|{b[j]}" if x - i == y - j == 1 else f"{','.join(a[i:x])}|{','.join(b[j:y])}")
             i, j = x, y
-        return ";".join(out)
+        return out
+
+
+def _ragged(firsts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """``sizes[k]`` places from ``firsts[k]`` on, for each k in turn."""
+    return np.repeat(firsts - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+
+
+class Stretches:
+    """What is known of stretches of text, by their numbers: their groups as text (none: the bytes differ), how many tokens, groups
+    and links they have (``counts``), and where their links' pairs are in ``keys``."""
+
+    cut = re.compile(r"(?s)(?<=\S) (?=.)").split
+
+    def __init__(self, path_a: str, path_b: str):
+        self.a, self.b = _sides(path_a, path_b)
+        self.apart = self.a[4] and self.b[4]
+        self.numbers, self.shown = Numbers(), []
+        self.counts, self.firsts, self.keys = np.zeros((0, len(REPORT)), np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.uses, self.bytes = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def of(self, texts: list[str | None]) -> list[np.ndarray]:
+        """The numbers of each text's stretches, none for a text without tokens; what is new among them is aligned."""
+        found = [self.numbers.of((self.cut(t) if self.apart else [t]) if t else []) for t in texts]
+        new = list(islice(self.numbers, len(self.shown), None))
+        for k in range(0, len(new), TOGETHER):
+            self._learn(new[k : k + TOGETHER])
+        wrong = np.array([x is None for x in self.shown], bool)
+        found = [x[:0] if wrong[x].any() else x for x in found]
+        self.uses = self.uses + np.bincount(np.concatenate([*found, np.zeros(0, np.int64)]), minlength=len(self.uses))
+        return found
+
+    def _learn(self, new: list[str]) -> None:
+        joint = [self.apart and "▁" not in x and not x[-1].isspace() for x in new]
+        some = [x for x, j in zip(new, joint) if j]
+        found = iter(self._together(some) or map(self._alone, some))
+        rows = [next(found) if j else self._alone(x) for x, j in zip(new, joint)]
+        self.shown += [shown for shown, _, _ in rows]
+        self.counts = np.concatenate([self.counts, np.array([n for _, n, _ in rows], np.int64)])
+        sizes = self.counts[len(self.firsts) :, 3]
+        self.firsts = np.concatenate([self.firsts, len(self.keys) + np.cumsum(sizes) - sizes])
+        self.keys = np.concatenate([self.keys, *(keys for *_, keys in rows)])
+        self.uses = np.concatenate([self.uses, np.zeros(len(new), np.int64)])
+        self.bytes = np.concatenate([self.bytes, np.array([len(x) + len(shown or b"") for x, (shown, _, _) in zip(new, rows)], np.int64)])
+
+    def _alone(self, stretch: str):
+        one = Aligned(stretch, self.a, self.b)
+        return ";".join(one.shown(self.a[3], self.b[3])).encode() if one.a else None, (len(one.a), len(one.b), len(one.cut_a), len(one.keys)), one.keys
+
+    def _together(self, some: list[str]):
+        """What `_alone` gives for each; None if they don't come apart again."""
+        one, ends = Aligned(" ".join(some), self.a, self.b), np.cumsum([len(x.encode()) + 1 for x in some])
+        sides = (one.ends_a, one.ends_b, one.ends_a[np.array(one.cut_a, np.int64) - 1], one.ends) if one.a else ()
+        if not sides or not all(np.isin(ends, x).all() for x in sides[:2]):
+            return None
+        upto = np.array([np.searchsorted(x, ends) + 1 for x in sides]).T
+        counts, groups = np.diff(upto, axis=0, prepend=0), one.shown(self.a[3], self.b[3])
+        shown = [";".join(groups[j - n : j]).encode() for j, n in zip(upto[:, 2].tolist(), counts[:, 2].tolist())]
+        return zip(shown, counts.tolist(), np.split(one.keys, upto[:-1, 3]))
+
+    def trim(self) -> None:
+        """Keeps the most used stretches, if there are more than the bounds allow."""
+        if len(self.shown) <= KEPT_STRETCHES and self.bytes.sum() <= KEPT_BYTES:
+            return
+        most = np.argsort(-self.uses, kind="stable")[: KEPT_STRETCHES // 2]
+        kept = np.sort(most[np.cumsum(self.bytes[most]) <= KEPT_BYTES // 2])
+        names, self.numbers, self.shown = list(self.numbers), Numbers(), [self.shown[k] for k in kept.tolist()]
+        self.numbers.of([names[k] for k in kept.tolist()])
+        sizes = self.counts[kept, 3]
+        self.keys, self.firsts = self.keys[_ragged(self.firsts[kept], sizes)], np.cumsum(sizes) - sizes
+        self.counts, self.uses, self.bytes = self.counts[kept], self.uses[kept] // 2, self.bytes[kept]
+
+
+@kept_by_worker
+def stretches(path_a: str, path_b: str) -> Stretches:
+    """One per Python worker."""
+    return Stretches(path_a, path_b)
 
 
 def aligned_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabularies: tuple[str, str] | None = None) -> DataFrame:
@@ -153,32 +243,32 @@ def _chunks(docs: DataFrame, id_type: str, paths: tuple[str, str], most: int) ->
     ddl = f"chunk long, ids array<{id_type}>, " + ", ".join(f"{k} array<long>" for k in REPORT) + ", digests array<string>, pairs array<long>, texts array<int>, sizes array<int>, steps binary, times binary"
 
     def run(batches):
-        a, b = _sides(*paths)
-        chunk = TaskContext.get().partitionId() << 40
-        for part in slices(batches, 1, most):
-            rows, found, times = [], [], []
-            for text in part.column(1).to_pylist():
-                one = Aligned(text, a, b)
-                keys, n = np.unique(one.keys, return_counts=True)
-                digest = hashlib.sha256(one.text(a[3], b[3]).encode()).hexdigest() if one.a else ""
-                rows.append((len(one.a), len(one.b), len(one.cut_a), len(one.keys), digest))
-                found.append(keys)
-                times.append(n)
-            sizes = np.array([len(k) for k in found])
-            pairs, place, held = np.unique(np.concatenate(found), return_inverse=True, return_counts=True)
-            order = np.argsort(-held, kind="stable")  # usual pairs get small numbers
+        known, chunk = stretches(*paths), TaskContext.get().partitionId() << 40
+        for part in slices(batches, 1, most, own=stretches):
+            found = known.of(part.column(1).to_pylist())
+            cols = np.array([known.counts[x].sum(0) for x in found]).T
+            digests = [hashlib.sha256(b";".join(map(known.shown.__getitem__, x.tolist()))).hexdigest() if len(x) else "" for x in found]
+            flat = np.concatenate(found)
+            links = _ragged(known.firsts[flat], known.counts[flat, 3])
+            used = np.zeros(len(known.keys), bool)
+            used[links] = True
+            pairs, place = np.unique(known.keys[used], return_inverse=True)
+            number = np.zeros(len(known.keys), np.int64)
+            number[used] = place
+            order = np.argsort(-np.bincount(number[links], minlength=len(pairs)), kind="stable")  # usual pairs get small numbers
             rank = np.empty_like(order)
             rank[order] = np.arange(len(order))
-            number = np.repeat(np.arange(len(sizes)), sizes) << 32 | rank[place]
-            by = np.argsort(number)
-            steps = np.diff(number[by], prepend=0)
+            asked, times = np.unique(np.repeat(np.arange(len(found)), cols[3]) << 32 | rank[number[links]], return_counts=True)
+            held = np.bincount(asked & 0xFFFFFFFF, minlength=len(pairs))
+            sizes = np.bincount(asked >> 32, minlength=len(found))
+            steps = np.diff(asked, prepend=0)
             firsts = (np.cumsum(sizes) - sizes)[sizes > 0]
-            steps[firsts] = number[by][firsts] & 0xFFFFFFFF
-            cols = list(zip(*rows))
+            steps[firsts] = asked[firsts] & 0xFFFFFFFF
+            known.trim()
             one = lambda x, kind: pa.array([x], pa.list_(kind))
             yield pa.RecordBatch.from_arrays(
-                [pa.array([chunk], pa.int64()), pa.ListArray.from_arrays(pa.array([0, part.num_rows], pa.int32()), part.column(0)), *(one(c, pa.int64()) for c in cols[:4]), one(cols[4], pa.string()),
-                 one(pairs[order], pa.int64()), one(held[order], pa.int32()), one(sizes, pa.int32()), pa.array([_planes(steps)], pa.binary()), pa.array([_planes(np.concatenate(times)[by])], pa.binary())],
+                [pa.array([chunk], pa.int64()), pa.ListArray.from_arrays(pa.array([0, part.num_rows], pa.int32()), part.column(0)), *(one(c, pa.int64()) for c in cols), one(digests, pa.string()),
+                 one(pairs[order], pa.int64()), one(held, pa.int32()), one(sizes, pa.int32()), pa.array([_planes(steps)], pa.binary()), pa.array([_planes(times)], pa.binary())],
                 names=["chunk", "ids", *REPORT, "digests", "pairs", "texts", "sizes", "steps", "times"])
             chunk += 1
 

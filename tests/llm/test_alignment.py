@@ -94,3 +94,38 @@ def test_library_where_ids_are_no_ranks(tmp_path):
     other = alignment.ByteLevel(str(path))
     assert type(getattr(other.ids, "__self__", None)).__name__ != "Encoding" and other.ids(" hello") == A.encode(" hello", add_special_tokens=False).ids
     assert public_tokenizers.PATTERN
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.none() | st.text(max_size=40) | st.text(alphabet="ab \n\t\x1f\xa0'é1▁.,", max_size=60), max_size=6))
+def test_stretches_are_whole_texts(texts):
+    """What is put together from stretches is what a whole text gives, whatever was seen and forgotten before."""
+    known = alignment.stretches(*PATHS)
+    for text, numbers in zip(texts, known.of(texts)):
+        one = alignment.Aligned(text, known.a, known.b)
+        assert known.counts[numbers].sum(0).tolist() == [len(one.a), len(one.b), len(one.cut_a), len(one.keys)]
+        assert b";".join(known.shown[k] for k in numbers) == ";".join(one.shown(known.a[3], known.b[3])).encode()
+        assert [k for x in numbers for k in known.keys[known.firsts[x] : known.firsts[x] + known.counts[x, 3]].tolist()] == one.keys.tolist()
+
+
+def test_a_stretch_is_encoded_once(monkeypatch):
+    """Repeated words cost no further call of a library; the most used ones are kept, within the bounds."""
+    monkeypatch.setattr(alignment, "KEPT_STRETCHES", 4)
+    known, sent = alignment.Stretches(*PATHS), []
+    encode = known.a[0]
+    known.a = (lambda text: sent.append(text) or encode(text), *known.a[1:])
+    known.of(["the cat sat on the mat " * 50, None, "the cat"])
+    assert sum(map(len, sent)) < 60
+    known.trim()
+    assert len(known.numbers) == len(known.shown) == 2 and "the" in known.numbers
+    sent.clear()
+    assert len(known.of(["the cat and the dog"])[0]) == 5 and "the" not in " ".join(sent).split()
+
+
+def test_vocabularies_that_reach_over_spaces_get_whole_texts(tmp_path):
+    path = tmp_path / "other.json"
+    path.write_text(open(PATHS[0], encoding="utf-8").read().replace('"use_regex":true', '"use_regex":false').replace('"use_regex": true', '"use_regex": false'))
+    known = alignment.Stretches(str(path), PATHS[1])
+    assert not known.apart and alignment.Stretches(*PATHS).apart
+    one = alignment.Aligned("the cat sat", known.a, known.b)
+    assert [len(x) for x in known.of(["the cat sat"])] == [1] and known.counts[0, 0] == len(one.a)
