@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from saunter.llm.shared import Scratch
 from saunter.llm.tokens import byte_alphabet
-from saunter.llm.words import Numbers, kept_by_worker, slices
+from saunter.llm.words import Numbers, kept_by_worker, ragged, slices
 
 #: Text that is taken together: bounds what a task holds and the size of a chunk's row.
 CHUNK_BYTES = 4 << 20
@@ -138,11 +138,6 @@ class Aligned:
         return out
 
 
-def _ragged(firsts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """``sizes[k]`` places from ``firsts[k]`` on, for each k in turn."""
-    return np.repeat(firsts - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
-
-
 class Stretches:
     """What is known of stretches of text, by their numbers: their groups as text (none: the bytes differ), how many tokens, groups
     and links they have (``counts``), and where their links' pairs are in ``keys``."""
@@ -204,7 +199,7 @@ class Stretches:
         names, self.numbers, self.shown = list(self.numbers), Numbers(), [self.shown[k] for k in kept.tolist()]
         self.numbers.of([names[k] for k in kept.tolist()])
         sizes = self.counts[kept, 3]
-        self.keys, self.firsts = self.keys[_ragged(self.firsts[kept], sizes)], np.cumsum(sizes) - sizes
+        self.keys, self.firsts = self.keys[ragged(self.firsts[kept], sizes)], np.cumsum(sizes) - sizes
         self.counts, self.uses, self.bytes = self.counts[kept], self.uses[kept] // 2, self.bytes[kept]
 
 
@@ -249,7 +244,7 @@ def _chunks(docs: DataFrame, id_type: str, paths: tuple[str, str], most: int) ->
             cols = np.array([known.counts[x].sum(0) for x in found]).T
             digests = [hashlib.sha256(b";".join(map(known.shown.__getitem__, x.tolist()))).hexdigest() if len(x) else "" for x in found]
             flat = np.concatenate(found)
-            links = _ragged(known.firsts[flat], known.counts[flat, 3])
+            links = ragged(known.firsts[flat], known.counts[flat, 3])
             used = np.zeros(len(known.keys), bool)
             used[links] = True
             pairs, place = np.unique(known.keys[used], return_inverse=True)

@@ -40,6 +40,8 @@ from saunter.llm.tokens import default_vocabulary, encoder
 from saunter.llm.words import slices
 
 WINDOW, LEAST, MOST, CUT_BITS = 16, 64, 4096, 9
+#: Text that is encoded together: the more, the fewer distinct words there are in all.
+TOGETHER = 2_000_000
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -97,9 +99,8 @@ def _encode(docs: DataFrame, vocabulary: str, id_col: str, text_col: str, width:
     id_type = docs.schema[id_col].dataType.simpleString()
     def chunked(batches):
         row, words, met = TaskContext.get().partitionId() << 40, encoder(vocabulary), set()
-        for b in slices(batches, 1, own=encoder):
-            whole = [words.encode(t) for t in b.column(1).to_pylist()]
-            ids, ends = np.frombuffer(b"".join(whole), "<u4"), np.cumsum([len(x) // 4 for x in whole])
+        for b in slices(batches, 1, TOGETHER, own=encoder):
+            ids, ends = words.encode_all(b.column(1))
             found, of = cuts_of(ids, ends.tolist())
             raw, to = ids.astype(f"<u{width}").tobytes(), np.array(found, np.int64)
             parts = [raw[width * s : width * e] for s, e in zip([0, *found], found)]

@@ -76,6 +76,11 @@ def alnum_words(text: bytes) -> list[bytes]:
     return text.translate(ALNUM_TABLE).split()
 
 
+def ragged(firsts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """``sizes[k]`` places from ``firsts[k]`` on, for each k in turn."""
+    return np.repeat(firsts - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+
+
 class Numbers(dict):
     """word -> a number that is given out in order of first sight."""
 

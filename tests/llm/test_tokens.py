@@ -5,6 +5,7 @@ import zlib
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from hypothesis import example, given, settings
@@ -55,6 +56,24 @@ def test_given_texts(library, encoder):
         assert np.frombuffer(encoder.encode(t), "<u4").tolist() == direct(library, t)
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.none() | st.text(max_size=40) | st.text(alphabet="aZé'ß.,-| \n\t1İſ́<", max_size=40), max_size=6))
+@example(["<|endoftext|>, x", "", None, "it's, ÀÉ!? ×÷ a.b 'a ,,", "x" * 3000 + "."])
+def test_texts_together_are_the_library(texts):
+    lib, column = loaded(tokens.default_vocabulary()), pa.array(["left out", *texts], pa.string()).slice(1)
+    ids, ends = tokens.encoder(tokens.default_vocabulary()).encode_all(column)
+    want = [direct(lib, t) for t in texts]
+    assert ids.tolist() == [i for x in want for i in x] and ends.tolist() == np.cumsum([len(x) for x in want]).astype(int).tolist()
+
+
+def test_texts_together_look_up_distinct_words():
+    """Of words that repeat with other punctuation and case, only the distinct letters are asked for."""
+    words, asked = tokens.WordEncoder(tokens.default_vocabulary()), []
+    words._core = lambda piece, find=words._core: asked.append(piece) or find(piece)
+    words.encode_all(pa.array(["The cat, the CAT. THE cat! " * 500, "cat; the"]))
+    assert sorted(asked) == [*"!,.;", "cat", "the"] and len(words) <= 1
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_plans_place_everything(seed):
     r = random.Random(seed)
