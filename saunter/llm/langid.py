@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from saunter.llm.shared import crc_mod, map_whole_rows
-from saunter.llm.words import Numbers, slices
+from saunter.llm.words import Numbers, released, slices
 
 BUCKETS, LONGEST = 1 << 16, 3
 MAX_TRAIN = 6000
@@ -139,7 +139,7 @@ class Model:
 def train(examples: list[tuple[str, np.ndarray, np.ndarray]], idf: np.ndarray) -> Model:
     """Follow the regularised leader, proximal, per coordinate; then the temperature."""
     languages = sorted({x[0] for x in examples})
-    rows = [(languages.index(lang), np.append(b, BUCKETS), np.append(c / c.sum() * idf[b] * SCALE, 1.0)) for lang, b, c in examples if len(b)]
+    rows = [(languages.index(lang), np.append(b, np.int32(BUCKETS)), np.append(c / c.sum() * idf[b] * SCALE, 1.0)) for lang, b, c in examples if len(b)]
     fit, held = [r for i, r in enumerate(rows) if i % 5], rows[::5]
     fit = fit or rows
     z, n = np.zeros((BUCKETS + 1, len(languages))), np.zeros((BUCKETS + 1, len(languages)))
@@ -179,7 +179,7 @@ def fit(docs: DataFrame, max_train: int = MAX_TRAIN) -> Model | None:
     sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row per language
     if not sizes:
         return None
-    found = document_frequencies(known).toPandas()  # BUCKETS rows at most
+    found = document_frequencies(known).toArrow()  # BUCKETS rows at most
     idf = np.full(BUCKETS, np.log(1 + sum(sizes.values())))
     idf[found["bucket"].to_numpy()] -= np.log(1 + found["n"].to_numpy())
     idf += 1
@@ -187,8 +187,12 @@ def fit(docs: DataFrame, max_train: int = MAX_TRAIN) -> Model | None:
     drawn = F.xxhash64("id").bitwiseAND((1 << 30) - 1)
     share = F.create_map(*(F.lit(x) for lang, n in sizes.items() for x in (lang, int(min(1.0, each / n) * (1 << 30)))))
     sample = features(known.where(drawn < share[F.col("lang")]).orderBy(drawn).limit(2 * max_train))
-    rows = [(r["lang"], np.array(r["buckets"], np.int64), np.array(r["counts"], np.float64)) for r in sample.toLocalIterator()]
-    return train(rows, idf)
+    rows = [(r["lang"], np.array(r["buckets"], np.int32), np.array(r["counts"], np.int32)) for r in sample.toLocalIterator()]
+    try:
+        return train(rows, idf)
+    finally:
+        del rows
+        released()  # else the driver would keep the examples' memory for the rest of its life
 
 
 def predict(docs: DataFrame, model: Model | None, text_col: str = "text", names: tuple[str, str] = ("lang_pred", "lang_score")) -> DataFrame:

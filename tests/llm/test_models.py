@@ -328,6 +328,22 @@ def test_every_query_runs(spark, name):
     assert set(rows["doc_id"]) == docs if n != "op8" else set(rows["doc_id"]) <= docs and len(rows)
 
 
+def test_training_gives_the_drivers_memory_back(spark, monkeypatch):
+    """The examples are held in 8 bytes a feature, and what they took is given back once a model is there, not kept by the driver."""
+    train, kinds, given_back = langid.train, [], []
+
+    def seen(rows, idf):
+        kinds.extend((b.dtype, c.dtype) for _, b, c in rows)
+        assert not given_back
+        return train(rows, idf)
+
+    monkeypatch.setattr(langid, "train", seen)
+    monkeypatch.setattr(langid, "released", lambda: given_back.append(True))
+    docs = spark.createDataFrame([(k, "the cat and the dog" if k % 2 else "der hund und die katze", "en" if k % 2 else "de") for k in range(40)], "id long, text string, lang string")
+    assert langid.fit(docs).languages == ["de", "en"]
+    assert len(kinds) == 40 and set(kinds) == {(np.dtype(np.int32), np.dtype(np.int32))} and given_back == [True]
+
+
 def test_every_operator_has_a_query():
     assert list(dict.fromkeys(n.split("_")[0] for n in registry.QUERIES)) == [f"op{k}" for k in range(1, 11)]
     assert all(words(n) for n in registry.ORACLES)

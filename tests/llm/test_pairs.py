@@ -121,6 +121,25 @@ def test_rtree_loses_no_similar_pair(sets, percent):
             assert ngram_join.similar(hashed[i], hashed[j], percent) == (100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j]))
 
 
+def test_a_round_of_components_shuffles_its_labels_once(spark):
+    """One shuffle of the labels' table serves its three joins; three of them were a third of a round's tasks."""
+    own, plans = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}, []
+
+    def stage(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return shared.staged(df)
+
+    was = {k: spark.conf.get(k) for k in own}
+    try:
+        for k, v in own.items():
+            spark.conf.set(k, v)
+        graph.components(spark.range(1, 9).selectExpr("id a", "id - 1 b"), stage)
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
+    assert len(plans) > 3 and all(p.count("ReusedExchange") == 2 for p in plans[2:])
+
+
 def test_components_of_a_path(spark):
     links = spark.createDataFrame([(k + 1, k) for k in range(0, 60)] + [(100, 101)], "a long, b long")
     got = {r["v"]: r["comp"] for r in graph.components(links).collect()}
@@ -316,6 +335,15 @@ def test_bitmap_loses_no_key(spark):
     assert shared.likely(rows, keys.limit(0), ["k"]).count() == 0
 
 
+def test_bitmap_has_the_size_of_its_keys(spark):
+    """What is broadcast follows the number of keys, up to the full bitmap; no key is lost and few others pass."""
+    assert [shared.bits_for(n) for n in (0, 1, 511, 512, 10**5, 10**9)] == [16, 16, 16, 17, 24, shared.FILTER_BITS]
+    rows = spark.range(20000).selectExpr("id", "cast(id as string) k")
+    keys = rows.where("id % 20 = 0").select("k")
+    some, rest = shared.split_likely(rows, keys, ["k"], shared.bits_for(1000))
+    assert rest.join(keys, "k").count() == 0 and 1000 <= some.count() < 1300 and some.count() + rest.count() == 20000
+
+
 def test_long_texts_are_compared_whole(spark):
     """Texts of thousands of words that differ behind their beginning."""
     r = random.Random(2)
