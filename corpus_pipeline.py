@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from saunter.llm import decontam, exact_dedup, langid, ngram_join, packing
-from saunter.llm.shared import columns_of, discard, free_name, shared_dir
+from saunter.llm.shared import columns_of, discard, free_name, shared_dir, written
 
 #: A document stays if its language is told with this much probability; `und` has 0.
 LEAST_LANGUAGE_SCORE = 0.35
@@ -59,7 +59,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for _, stage in STAGES:
         path = shared_dir(spark)
-        stage(spark, docs, sf_dir).write.parquet(path)
+        written(stage(spark, docs, sf_dir), path)
         docs = spark.read.parquet(path)
         if before:
             discard(spark, before)  # its rows are in the next one's result

@@ -29,6 +29,7 @@ while there is another; an empty table gives no rows; other columns are not read
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -48,6 +49,8 @@ CELL_BITS = 18
 BLOCK, BLOCK_BYTES = 512, 1 << 24
 #: Times the mean count of a cell that is used, above which its elements are dealt out by their counts.
 FAR_ABOVE = 8
+#: What a step puts into the shuffle at once: so many elements, members or rows with whole sets; larger tables go in slices, MOST_SLICES at most.
+SLICE_ELEMENTS, SLICE_MEMBERS, SLICE_SETS, MOST_SLICES = 1 << 24, 1 << 18, 1 << 14, 8
 STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -138,6 +141,16 @@ def _met(docs: DataFrame, common, size: int, percent: int) -> DataFrame:
     return docs.mapInArrow(keys, "h long, lo long, far boolean")
 
 
+def _sliced(rows: DataFrame, key: str, most: int) -> list[DataFrame]:
+    """``rows`` (staged) in slices of some ``most`` rows by their ``key``, one after another: a slice's shuffle and what its sorts spill are gone before the next."""
+    n = max(1, min(MOST_SLICES, -(-rows.count() // most)))
+    return [rows.where(F.pmod(F.xxhash64(key), F.lit(n)) == k) for k in range(n)] if n > 1 else [rows]
+
+
+def _united(tables: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, tables)
+
+
 def _meetings(met: DataFrame, stage: Scratch) -> DataFrame:
     """Distinct (lead, lo): two classes with an element of their prefixes in common."""
     def led(batches):
@@ -154,7 +167,8 @@ def _meetings(met: DataFrame, stage: Scratch) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, 0])), pa.array(np.ascontiguousarray(pairs[:, 1]))], names=["lead", "lo"])
 
     # Sorted, a key's rows stream by: its first class is the leader, and no group is held.
-    near = met.where("not far").select("h", "lo").repartition("h").sortWithinPartitions("h", "lo").mapInArrow(led, "lead long, lo long")
+    near = _united([stage(some.where("not far").select("h", "lo").repartition("h").sortWithinPartitions("h", "lo").mapInArrow(led, "lead long, lo long").distinct())
+                    for some in _sliced(met, "h", SLICE_ELEMENTS)])
     far = met.where("far").select("h", "lo")
     leads = stage(far.groupBy("h").agg(F.min("lo").alias("lead"), F.count("*").alias("n")).where("n > 1"))
     return near.unionByName(join_groups(far, leads, ["h"]).where("lead <> lo").select("lead", "lo")).distinct()
@@ -218,8 +232,8 @@ def _star_links(stars: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return _paired(stars, sets, ["set"]).select("a", "b", "set_a", "set_b").mapInArrow(run, "a binary, b binary")
 
 
-def _numbered_blocks(members: DataFrame) -> DataFrame:
-    """``members`` with their block, in the order (lead, comp, n); and a row with a box for each block of a lead that may have several.
+def _numbered_blocks(members: DataFrame, part: int = 0) -> DataFrame:
+    """``members`` (of a slice of leads, the ``part``-th) with their block, in the order (lead, comp, n); and a row with a box for each block of a lead that may have several.
 
     A box is (largest coordinates in the fewest groups, size and component ranges, members, bytes of their sets). A lead that begins
     and ends inside a task and fills no block is ``alone`` in its block and needs no box; with one component, no row.
@@ -233,7 +247,7 @@ def _numbered_blocks(members: DataFrame) -> DataFrame:
         return lead, block, None, min(comps), min(sizes), None, most.tobytes(), max(sizes), max(comps), len(rows), 8 * sum(sizes), False
 
     def run(batches):
-        block, lead, rows, held, out = TaskContext.get().partitionId() << 32, None, [], 0, []
+        block, lead, rows, held, out = part << 52 | TaskContext.get().partitionId() << 32, None, [], 0, []
         begun, edge = block, True  # the lead's first block here; whether the lead may have begun in the task before
 
         def close(whole: bool):
@@ -329,9 +343,8 @@ def _block_pairs(boxes: DataFrame, percent: int) -> DataFrame:
     return some.repartition("lead").sortWithinPartitions("lead", "block").mapInArrow(run, "block long, own long, i long, j long")
 
 
-def _dealt(members: DataFrame, percent: int, stage: Scratch) -> DataFrame:
-    """Members (sig, comp, ...) of groups with several components, in those pairs (i, j) of blocks that the boxes leave."""
-    both = stage(_numbered_blocks(members))
+def _dealt(both: DataFrame, percent: int) -> DataFrame:
+    """Members (sig, comp, ...) of groups with several components, in those pairs (i, j) of blocks that the boxes leave. ``both`` are those of `_numbered_blocks`, staged."""
     rows = both.where("box is null").select("block", "sig", "comp", "n", "point", "alone")
     pairs = _block_pairs(both.where("box is not null"), percent)
     alone = rows.where("alone").drop("alone").withColumns({"i": F.col("block"), "j": F.col("block")})
@@ -412,14 +425,20 @@ def _group_links(groups: DataFrame, percent: int) -> DataFrame:
 
 def _rest_links(stars: DataFrame, comps: DataFrame, classes: DataFrame, sets: DataFrame, slim: DataFrame, size: int, percent: int, stage: Scratch) -> DataFrame:
     """Links inside the groups that the leaders have not joined."""
-    members = stars.select(F.col("a").alias("lead"), F.col("b").alias("sig")).union(stars.select("a", "a")).distinct()
-    named = members.join(comps.withColumnRenamed("v", "sig"), "sig", "left").withColumn("comp", F.coalesce("comp", "sig"))
-    named = stage(named.join(classes.select("sig", "n", "point"), "sig"))
-    some = stage(_with_partner(_dealt(named, percent, stage), percent))
+    members, found = stage(stars.select(F.col("a").alias("lead"), F.col("b").alias("sig")).union(stars.select("a", "a")).distinct()), []
+    for part, own in enumerate(_sliced(members, "lead", SLICE_MEMBERS)):
+        named = own.join(comps.withColumnRenamed("v", "sig"), "sig", "left").withColumn("comp", F.coalesce("comp", "sig"))
+        named = stage(named.join(classes.select("sig", "n", "point"), "sig"))
+        both = stage(_numbered_blocks(named, part))
+        stage.drop(named)
+        found.append(stage(_with_partner(_dealt(both, percent), percent)))
+        stage.drop(both)
+    stage.drop(members)
+    some = _united(found)
     missing = stage(classes.join(some.select("sig").distinct(), "sig", "left_semi").join(sets, "sig", "left_anti").select("sig", "min_id"))
     if n := missing.count():
         sets = sets.unionByName(stage(_set_table(slim, missing, n, size)))
-    return stage(_group_links(some.join(sets, "sig"), percent))
+    return _united([stage(_group_links(own.join(sets.join(own.select("sig").distinct(), "sig", "left_semi"), "sig"), percent)) for own in _sliced(some, "i", SLICE_SETS)])
 
 
 def jaccard_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -435,9 +454,12 @@ def _components(slim: DataFrame, size: int, percent: int) -> DataFrame:
     classes = stage(classes_of(rows))
     low = classes.select("sig", F.expr("conv(hex(substring(sig, 9, 8)), 16, -10)").cast("long").alias("lo"))
 
-    met = _meetings(stage(_met(slim, spark.sparkContext.broadcast(_common(profile)), size, percent)), stage)
+    elements = stage(_met(slim, spark.sparkContext.broadcast(_common(profile)), size, percent))
+    met = _meetings(elements, stage)
     stars = met.join(low.select("lo", F.col("sig").alias("b")), "lo").join(low.select(F.col("lo").alias("lead"), F.col("sig").alias("a")), "lead")
-    return joined_classes(slim, rows, classes, stage(stars.select("a", "b").where("a <> b")), size, percent, stage)
+    stars = stage(stars.select("a", "b").where("a <> b"))
+    stage.drop(elements)
+    return joined_classes(slim, rows, classes, stars, size, percent, stage)
 
 
 def classes_of(rows: DataFrame, *more: str) -> DataFrame:
@@ -453,6 +475,7 @@ def joined_classes(slim: DataFrame, rows: DataFrame, classes: DataFrame, stars:
 
     comps = components(_star_links(near, sets, percent), stage)
     more = _rest_links(stars, comps, classes, sets, slim, size, percent, stage)
+    stage.drop(sets, near)
     if not more.isEmpty():
         comps = components(comps.select(F.col("v").alias("a"), F.col("comp").alias("b")).union(more), stage)
 

@@ -6,18 +6,30 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from saunter.sources.folders import shared_dir, staged
+from saunter.sources.folders import shared_dir, staged, written  # noqa: F401
 
 
 class Scratch:
-    """Tables staged during one call of an operator; they go when its result is staged."""
+    """Tables staged during one call of an operator; they go when nothing reads them any more, or when its result is staged."""
 
     def __init__(self, spark: SparkSession):
-        self.spark, self.base, self.n = spark, shared_dir(spark), 0
+        self.spark, self.base, self.n, self.held = spark, shared_dir(spark), 0, []
 
     def __call__(self, df: DataFrame) -> DataFrame:
         self.n += 1
-        return staged(df, f"{self.base}/{self.n}")
+        out = staged(df, path := f"{self.base}/{self.n}")
+        self.held.append((out, path))
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Delete staged ``tables`` that no plan still to run reads."""
+        kept = []
+        for out, path in self.held:
+            if any(out is t for t in tables):
+                discard(self.spark, path)
+            else:
+                kept.append((out, path))
+        self.held = kept
 
     def result(self, df: DataFrame) -> DataFrame:
         out = staged(df)

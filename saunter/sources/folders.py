@@ -6,6 +6,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Spark's setting by which the shuffle files of an execution go when it ends, not when the driver next collects its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Used only where the session names no shared folder and runs on one machine, as in tests.
 LOCAL_DEFAULT = "/tmp/checkpoints"
 
@@ -21,6 +23,17 @@ def shared_dir(spark: SparkSession, stem: str = "saunter") -> str:
     return f"{base.rstrip('/')}/{stem}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame, path: str, compression: str = "snappy") -> None:
+    """Write ``df`` as Parquet; what it shuffled leaves the disk as soon as it is written."""
+    conf = df.sparkSession.conf
+    was = conf.get(CLEANUP, None)
+    conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", compression).parquet(path)
+    finally:
+        conf.unset(CLEANUP) if was is None else conf.set(CLEANUP, was)
+
+
 def staged(df: DataFrame, path: str | None = None, compression: str = "snappy") -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
@@ -28,5 +41,5 @@ def staged(df: DataFrame, path: str | None = None, compression: str = "snappy")
     is costly or order-dependent are made once.
     """
     path = path or shared_dir(df.sparkSession)
-    df.write.option("compression", compression).parquet(path)
+    written(df, path, compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -402,3 +403,28 @@ def test_names_with_dots_and_spaces(spark, operator):
            "cut_contaminated": lambda d: decontam.cut_contaminated(d, bench), "drop_contaminated": lambda d: decontam.drop_contaminated(d, bench), "language": lambda d: corpus_pipeline.language(spark, d, "")}
     out = use[operator](docs)
     assert out.columns == docs.columns and out.count() > 0 and {r["a.b"] for r in out.collect()} == {"x"}
+
+
+def test_a_join_holds_a_slice_on_disk_at_a_time(spark, monkeypatch):
+    """In many slices components are those of brute force; tables go once nothing reads them, and shuffle files with their execution."""
+    for name in ("SLICE_ELEMENTS", "SLICE_MEMBERS", "SLICE_SETS"):
+        monkeypatch.setattr(ngram_join, name, 5)
+    monkeypatch.setattr(ngram_join, "BLOCK", 3)
+    dropped, drop = [], shared.Scratch.drop
+    monkeypatch.setattr(shared.Scratch, "drop", lambda self, *tables: dropped.append(tables) or drop(self, *tables))
+    texts = near_copies()
+    got = sorted((str(x["doc_id"]), x["n_shingles"], str(x["component_id"])) for x in ngram_join.jaccard_components(table(spark, texts)).collect())
+    assert got == brute_components(list(enumerate(texts)))
+    assert len(dropped) > 2 * ngram_join.MOST_SLICES
+
+    def shuffle_files():
+        files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {files.apply(k).getName() for k in range(files.size()) if files.apply(k).getName().startswith("shuffle_")}
+
+    before = shuffle_files()
+    rows = spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count()
+    assert len(shared.staged(rows).collect()) == 7
+    deadline = time.time() + 20  # Spark deletes them in the background
+    while shuffle_files() - before and time.time() < deadline:
+        time.sleep(0.2)
+    assert not shuffle_files() - before
